@@ -17,16 +17,21 @@ TOKEN = re.compile(r"[a-z0-9]+")
 
 
 def hashing_embedder(dimension: int = 64):
-    """Arrow UDF: text -> normalised token-count vector over md5 buckets."""
+    """Arrow UDF: text -> token counts over md5 buckets (exact in float; the cosine
+    normalises)."""
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def embed(texts: pd.Series) -> pd.Series:
+        slot: dict[str, int] = {}
+
         def one(text: str | None) -> np.ndarray:
             tokens = TOKEN.findall((text or "").lower())
-            slots = [int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % dimension for t in tokens]
-            counts = np.bincount(slots, minlength=dimension).astype(np.float64)
-            norm = np.sqrt((counts * counts).sum())
-            return (counts / norm if norm else counts).astype(np.float32)
+            for t in tokens:
+                if t not in slot:
+                    slot[t] = int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % dimension
+            return np.bincount(
+                [slot[t] for t in tokens], minlength=dimension
+            ).astype(np.float32)
 
         return texts.map(one)
 

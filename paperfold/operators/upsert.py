@@ -77,7 +77,7 @@ def upsert_table(path: str, incoming: DataFrame, keys: list[str]) -> None:
     merged.write.parquet(f"{stage}/merged")
     (
         spark.read.parquet(f"{stage}/merged")
-        .repartition(*PARTITIONS)
+        .hint("rebalance", *PARTITIONS)  # AQE splits a hot partition, merges small ones
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*PARTITIONS)
