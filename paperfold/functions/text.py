@@ -31,6 +31,15 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def bind(use, *names: str) -> Column:
+    """``let`` over columns: a struct of them, evaluated once per row.
+
+    The optimizer may merge projections and so inline a computed column into a lambda
+    body; bound this way it still runs once.
+    """
+    return let(F.struct(*[F.col(n).alias(n) for n in names]), use)
+
+
 def strip(c: Column | str) -> Column:
     """Both-side trim over the full Unicode whitespace set."""
     return F.btrim(as_col(c), F.lit(WS_CHARS))

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from paperfold.functions import blocks as B
 from paperfold.functions.keys import stem_of
-from paperfold.functions.text import U, WS, nonempty, rstrip, strip, strip_nul
+from paperfold.functions.text import U, WS, bind, nonempty, rstrip, strip, strip_nul
 from paperfold.schemas import CONTENT_BLOCK, MEDIA_REF, RENDER_BLOCKS
 
 # Layout patterns of the two paper families.
@@ -175,16 +175,18 @@ def drop_running_lines(papers: DataFrame, min_pages: int = 3, max_len: int = 120
             lambda x: (x["t"] != "") & (F.length(x["t"]) <= max_len) & x["p"].isNotNull(),
         )
     ))
-    df = df.withColumn("_pairs", F.filter(
-        "_pairs", lambda x, i: (i == 0) | (F.get("_pairs", i - 1) != x)
-    ))
-    df = df.withColumn("_running", F.array_distinct(F.filter(
-        F.transform("_pairs", lambda x, i: F.when(
-            F.get("_pairs", i + (min_pages - 1))["t"] == x["t"], x["t"]
+    df = df.withColumn("_pairs", bind(lambda s: F.filter(
+        s["_pairs"], lambda x, i: (i == 0) | (F.get(s["_pairs"], i - 1) != x)
+    ), "_pairs"))
+    df = df.withColumn("_running", bind(lambda s: F.array_distinct(F.filter(
+        F.transform(s["_pairs"], lambda x, i: F.when(
+            F.get(s["_pairs"], i + (min_pages - 1))["t"] == x["t"], x["t"]
         )),
         lambda t: t.isNotNull(),
-    )))
-    kept = F.filter("blocks", lambda b: ~F.array_contains("_running", text_of(b)))
+    )), "_pairs"))
+    kept = bind(lambda s: F.filter(
+        s["blocks"], lambda b: ~F.array_contains(s["_running"], text_of(b))
+    ), "blocks", "_running")
     return df.withColumn("blocks", kept).drop("_pairs", "_running")
 
 
@@ -233,14 +235,17 @@ def explode_marker_groups(papers: DataFrame) -> DataFrame:
         )),
         lambda m: m["number"].isNotNull(),
     ))
-    groups = F.transform("_marks", lambda m, g: F.struct(
+    groups = bind(lambda s: F.transform(s["_marks"], lambda m, g: F.struct(
         m["number"].alias("number"),
         F.slice(
-            "blocks", m["i"] + 2,
-            F.coalesce(F.get("_marks", g + 1)["i"], F.size("blocks")) - m["i"] - 1,
+            s["blocks"], m["i"] + 2,
+            F.coalesce(F.get(s["_marks"], g + 1)["i"], F.size(s["blocks"])) - m["i"] - 1,
         ).alias("body"),
-    ))
-    return df.withColumn("g", F.explode(groups)).drop("_marks", "blocks")
+    )), "_marks", "blocks")
+    # The outer form: Spark derives no "array not empty" filter from it, which would be
+    # pushed below this chain of array columns and evaluate all of it twice.
+    df = df.withColumn("g", F.explode_outer(groups)).drop("_marks", "blocks")
+    return df.filter(F.col("g").isNotNull())
 
 
 def bare_questions(papers: DataFrame) -> DataFrame:
@@ -260,9 +265,9 @@ def bare_questions(papers: DataFrame) -> DataFrame:
         cover_fields(F.when(F.col("q1") > 0, F.slice("blocks", F.lit(1), F.col("q1").cast("int") - 1))
                      .otherwise(F.col("blocks"))),
     )
-    df = explode_marker_groups(df.filter(F.col("q1") > 0).withColumn(
-        "blocks", F.slice("blocks", F.col("q1").cast("int"), F.size("blocks"))
-    ))
+    df = explode_marker_groups(df.withColumn("blocks", F.when(
+        F.col("q1") > 0, F.slice("blocks", F.col("q1").cast("int"), F.size("blocks"))
+    )))
     number = F.regexp_extract(F.col("source_pdf"), FILE_NUMBER, 1).try_cast("int")
     meta = F.map_filter(
         F.create_map(
@@ -365,13 +370,13 @@ def preamble_text(segs: Column, starts: Column) -> Column:
 
 def with_sub_questions(df: DataFrame, profile: Profile) -> DataFrame:
     """label, text without label and marks, marks: one per accepted label."""
-    df = df.withColumn("_p", F.transform("starts", lambda a, i: F.struct(
+    df = df.withColumn("_p", bind(lambda s: F.transform(s["starts"], lambda a, i: F.struct(
         a["label"].alias("label"),
         _texts(
-            F.col("segs"), a["k"] + 1,
-            F.coalesce(F.get("starts", i + 1)["k"], F.size("segs")) - a["k"],
+            s["segs"], a["k"] + 1,
+            F.coalesce(F.get(s["starts"], i + 1)["k"], F.size(s["segs"])) - a["k"],
         ).alias("parts"),
-    )))
+    )), "starts", "segs"))
     if not profile.trailing_marks:
         df = df.withColumn("_p", F.transform("_p", lambda s: F.struct(
             s["label"].alias("label"),
@@ -481,18 +486,17 @@ def with_pieces(df: DataFrame, profile: Profile) -> DataFrame:
     Owner 0 is the unlabelled preamble, owner k the k-th accepted label. Items of one
     list block with the same owner form one list block again.
     """
-    def owner(i: Column, j: Column) -> Column:
+    def owner(starts: Column, i: Column, j: Column) -> Column:
         return F.size(F.filter(
-            "starts",
-            lambda s: (s["block"] < i) | ((s["block"] == i) & (s["item"] <= j)),
+            starts, lambda a: (a["block"] < i) | ((a["block"] == i) & (a["item"] <= j))
         ))
 
-    df = df.withColumn("_b", F.transform("body", lambda b, i: F.struct(
-        b.alias("b"), i.alias("i"), owner(i, F.lit(0)).alias("o"),
+    df = df.withColumn("_b", bind(lambda s: F.transform(s["body"], lambda b, i: F.struct(
+        b.alias("b"), i.alias("i"), owner(s["starts"], i, F.lit(0)).alias("o"),
         F.when(b["type"] == "list", F.transform(
-            b["list_items"], lambda _, j: owner(i, j)
+            b["list_items"], lambda _, j: owner(s["starts"], i, j)
         )).alias("os"),
-    )))
+    )), "body", "starts"))
     plain = F.struct
     df = df.withColumn("_p", F.flatten(F.transform("_b", lambda x: F.when(
         x["b"]["type"] == "list",
@@ -508,10 +512,12 @@ def with_pieces(df: DataFrame, profile: Profile) -> DataFrame:
         x["b"]["text"].alias("text"), x["b"]["code_body"].alias("code"),
         F.array().cast("array<string>").alias("shown"),
     ))))))
-    df = df.withColumn("_p", F.transform("_p", lambda x: F.struct(
+    df = df.withColumn("_p", bind(lambda s: F.transform(s["_p"], lambda x: F.struct(
         x.alias("x"), B.list_marker(x["shown"]).alias("marker"),
-        F.get("tables", (F.array_position("table_at", x["i"]) - 1).cast("int")).alias("cells"),
-    )))
+        F.get(
+            s["tables"], (F.array_position(s["table_at"], x["i"]) - 1).cast("int")
+        ).alias("cells"),
+    )), "_p", "tables", "table_at"))
     df = df.withColumn("pieces", F.transform("_p", lambda p: F.struct(
         p["x"]["o"].alias("o"),
         F.when(p["x"]["type"] == "list", B.list_block(p["x"]["shown"], p["marker"]))
@@ -556,16 +562,16 @@ def edit_pieces(df: DataFrame, name: str, hit, edit, last: bool = False) -> Data
         )),
         lambda x: x["h"] & (x["o"] > 0),
     ))
-    df = df.withColumn("_at", F.transform(
-        F.filter("_h", lambda x, k: F.coalesce(
-            F.get("_h", k + step)["o"] != x["o"], F.lit(True)
+    df = df.withColumn("_at", bind(lambda s: F.transform(
+        F.filter(s["_h"], lambda x, k: F.coalesce(
+            F.get(s["_h"], k + step)["o"] != x["o"], F.lit(True)
         )),
         lambda x: x["i"],
-    ))
-    edited = F.transform(name, lambda p, i: F.when(
-        F.array_contains("_at", i),
+    ), "_h"))
+    edited = bind(lambda s: F.transform(s[name], lambda p, i: F.when(
+        F.array_contains(s["_at"], i),
         F.struct(p["o"].alias("o"), edit(p["block"], p["o"]).alias("block")),
-    ).otherwise(p))
+    ).otherwise(p)), name, "_at")
     return df.withColumn(name, edited).drop("_h", "_at")
 
 
@@ -595,7 +601,10 @@ def parse_questions(papers: DataFrame, profile: Profile) -> DataFrame:
     df = with_sub_questions(df, profile)
     df = df.withColumn("preamble", preamble_text(F.col("segs"), F.col("starts")))
     df = df.withColumn("total_marks", total_marks(F.col("subs")))
-    df = df.withColumn("media", media_blocks(F.col("body"), F.col("starts"), F.col("base_dir")))
+    df = df.withColumn("media", bind(
+        lambda s: media_blocks(s["body"], s["starts"], s["base_dir"]),
+        "body", "starts", "base_dir",
+    ))
     df = with_pieces(df, profile)
     return df.drop("t", "tables", "table_at", "segs", "starts", "body")
 
@@ -652,18 +661,20 @@ def build_chunks(questions: DataFrame, university: str | Column) -> DataFrame:
     df = edit_pieces(
         df, "q_pieces", B.takes_label, lambda b, o: B.put_label(b, label_of(o))
     )
-    labels = F.col("labels")
-    df = df.withColumn("q_blocks", F.flatten(F.transform("q_pieces", lambda p, i: F.when(
-        (p["o"] > 0) & F.array_contains("no_holder", p["o"])
-        & ((i == 0) | (F.get("q_pieces", i - 1)["o"] != p["o"])),
-        F.array(B.label_paragraph(label_of(p["o"])), p["block"]),
-    ).otherwise(F.array(p["block"])))))
-    df = df.withColumn("sub_rows", F.transform("subs", lambda s, k: F.struct(
+    df = df.withColumn("q_blocks", F.flatten(bind(lambda z: F.transform(
+        z["q_pieces"],
+        lambda p, i: F.when(
+            (p["o"] > 0) & F.array_contains(z["no_holder"], p["o"])
+            & ((i == 0) | (F.get(z["q_pieces"], i - 1)["o"] != p["o"])),
+            F.array(B.label_paragraph(label_of(p["o"])), p["block"]),
+        ).otherwise(F.array(p["block"])),
+    ), "q_pieces", "no_holder")))
+    df = df.withColumn("sub_rows", bind(lambda z: F.transform(z["subs"], lambda s, k: F.struct(
         s.alias("s"),
         F.transform(
-            F.filter("pieces", lambda p: p["o"] == k + 1), lambda p: p["block"]
+            F.filter(z["pieces"], lambda p: p["o"] == k + 1), lambda p: p["block"]
         ).alias("blocks"),
-    )))
+    )), "subs", "pieces"))
     df = df.withColumn("sub_rows", F.transform("sub_rows", lambda r: F.struct(
         r["s"].alias("s"), r["blocks"].alias("blocks"),
         F.when(F.size(r["blocks"]) > 0, strip(B.flatten_blocks(r["blocks"])))
@@ -686,48 +697,53 @@ def build_chunks(questions: DataFrame, university: str | Column) -> DataFrame:
     ).otherwise(fallback))
     null_text = F.lit(None).cast("string")
 
-    def row(**own: Column) -> Column:
-        common = {
-            c: F.col(c)
-            for c in ("year", "paper", "question_number", "total_marks", "has_code",
-                      "has_figure", "has_table", "source_pdf")
-        }
-        for c in ("topic", "author", "tripos_part"):
-            common[c] = strip_nul(F.col(c))
-        common["metadata"] = strip_nul(
-            F.col("metadata"), T.MapType(T.StringType(), T.StringType())
-        )
-        return F.struct(*[v.alias(k) for k, v in sorted({**common, **own}.items())])
+    shared = ("year", "paper", "question_number", "topic", "author", "tripos_part",
+              "total_marks", "has_code", "has_figure", "has_table", "source_pdf", "metadata")
+    for c in ("topic", "author", "tripos_part"):
+        df = df.withColumn(c, strip_nul(c))
+    df = df.withColumn("metadata", strip_nul(
+        F.col("metadata"), T.MapType(T.StringType(), T.StringType())
+    ))
+
+    def row(source, **own: Column) -> Column:
+        values = {c: source(c) for c in shared} | own
+        return F.struct(*[v.alias(k) for k, v in sorted(values.items())])
 
     df = df.withColumn("q_text", q_text)
     question = row(
+        F.col,
         id=F.col("qid"),
         chunk_level=F.lit("question"),
         parent_chunk_id=null_text,
         sub_question_label=null_text,
         text=strip_nul("q_text"),
         marks=F.lit(None).cast("int"),
-        media=media_refs(F.col("media"), null_text, labels),
+        media=bind(lambda z: media_refs(z["media"], null_text, z["labels"]), "media", "labels"),
         warnings=F.col("warnings"),
         render_blocks=strip_nul(F.col("q_blocks"), RENDER_BLOCKS),
     )
 
-    def sub(r: Column) -> Column:
+    def sub(z: Column, r: Column) -> Column:
         s = r["s"]
         return row(
-            id=F.concat(F.col("qid"), F.lit("-"), s["label"]),
+            lambda c: z[c],
+            id=F.concat(z["qid"], F.lit("-"), s["label"]),
             chunk_level=F.lit("sub_question"),
-            parent_chunk_id=F.col("qid"),
+            parent_chunk_id=z["qid"],
             sub_question_label=s["label"],
             text=strip_nul(r["text"]),
             marks=s["marks"],
-            media=media_refs(F.col("media"), s["label"], labels),
+            media=media_refs(z["media"], s["label"], z["labels"]),
             warnings=F.array().cast("array<string>"),
             render_blocks=strip_nul(r["blocks"], RENDER_BLOCKS),
         )
 
-    rows = F.concat(F.array(question), F.transform("sub_rows", sub))
-    return df.select(F.inline(rows))
+    subs = bind(
+        lambda z: F.transform(z["sub_rows"], lambda r: sub(z, r)),
+        "sub_rows", "qid", "media", "labels", *shared,
+    )
+    rows = F.concat(F.array(question), subs)
+    return df.select(F.inline_outer(rows))
 
 
 def chunk_papers(papers: DataFrame, parser: str, university: str | Column,
