@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from paperfold.functions.text import U, WS, as_col
+from paperfold.functions.text import U, WS, as_col, let
 
 # Key layout and identifier patterns.
 SHA256_PATTERN = r"\A[0-9a-f]{64}\z"
@@ -63,8 +63,9 @@ def run_id(stem: Column | str) -> Column:
     slug = F.btrim(
         F.regexp_replace(F.lower(as_col(stem)), "[^a-z0-9]+", "-"), F.lit("-")
     )
-    value = F.concat(F.lit("run-"), slug)
-    return F.when((slug != "") & value.rlike(RUN_ID_PATTERN), value)
+    return let(F.concat(F.lit("run-"), slug), lambda value: F.when(
+        (value != "run-") & value.rlike(RUN_ID_PATTERN), value
+    ))
 
 
 def artifact_key(run: Column | str, kind: Column | str, filename: Column | str) -> Column:
@@ -81,7 +82,7 @@ def artifact_key(run: Column | str, kind: Column | str, filename: Column | str)
         (kind_c != "image") & (F.coalesce(name, F.lit("")) == ""),
         F.concat(F.lit(ARTIFACT_ROOT), run_c, F.lit("/"), fixed),
     )
-    return F.when(run_c.rlike(RUN_ID_PATTERN) & valid_key(key), key)
+    return let(key, lambda k: F.when(run_c.rlike(RUN_ID_PATTERN) & valid_key(k), k))
 
 
 def basename(c: Column | str) -> Column:

@@ -108,17 +108,17 @@ def artifact_catalogue(files: DataFrame) -> DataFrame:
     Hash and size come from the binary column on the executors; no file passes the
     driver.
     """
-    run = run_id("paper_id")
-    name = F.when(F.col("kind") == "image", basename("path")).otherwise("")
-    sha = F.sha2("content", 256)
-    key = F.when(F.col("kind") == "source_pdf", blob_key(sha, "pdf")).otherwise(
-        artifact_key(run, F.col("kind"), name)
-    )
-    return files.select(
-        "paper_id", run.alias("conversion_run_id"), "kind", key.alias("key"),
-        content_type(F.col("path")).alias("content_type"), sha.alias("sha256_hex"),
+    hashed = files.select(
+        "paper_id", run_id("paper_id").alias("conversion_run_id"), "kind",
+        content_type(F.col("path")).alias("content_type"),
+        F.when(F.col("kind") == "image", basename("path")).otherwise("").alias("_name"),
+        F.sha2("content", 256).alias("sha256_hex"),
         F.length("content").cast("bigint").alias("size_bytes"),
     )
+    key = F.when(F.col("kind") == "source_pdf", blob_key("sha256_hex", "pdf")).otherwise(
+        artifact_key("conversion_run_id", "kind", "_name")
+    )
+    return hashed.withColumn("key", key).drop("_name")
 
 
 def build_manifests(catalogue: DataFrame, version: str, created_at: Column) -> DataFrame:

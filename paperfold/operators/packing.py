@@ -101,7 +101,9 @@ def context_text(packed: DataFrame, schema: list[dict]) -> DataFrame:
     body = F.concat(
         F.lit("[SOURCE "), F.col("n").cast("string"), F.lit("]\nchunk_id: "), F.col("chunk_id"),
         F.lit("\nchunk_level: "), F.col("chunk_level"),
-        F.lit("\nscore: "), F.format_string("%.4f", "score"),
+        F.lit("\nscore: "),
+        # half-even on the exact binary value, as the published context texts use
+        F.call_function("format_number", F.col("score"), F.lit("#0.0000")),
         F.when(lines != "", F.concat(F.lit("\n"), lines)).otherwise(""),
         F.lit("\n\ntext:\n"), F.col("packed_text"),
     )
