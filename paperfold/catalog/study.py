@@ -436,9 +436,8 @@ def source_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT t.query_id AS request_id, t.rank, t.chunk_id FROM tokens t
 JOIN fold f ON f.query_id = t.query_id AND f.rank = t.rank AND f.packed"""))
 def fallback_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    results = ranked_results(spark, sf_dir)
-    packed = P.pack(results, 1000, 400).withColumnRenamed("query_id", "request_id")
-    cards = C.fallback_cards(results.withColumnRenamed("query_id", "request_id"), packed)
+    packed = P.pack(ranked_results(spark, sf_dir), 1000, 400)
+    cards = C.fallback_cards(packed.withColumnRenamed("query_id", "request_id"))
     return cards.select("request_id", "rank", "chunk_id")
 
 

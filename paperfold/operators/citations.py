@@ -7,6 +7,7 @@ valid ids, so everything about one draft is decided inside its row.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paperfold.functions.blocks import excerpt_blocks
@@ -160,15 +161,12 @@ def source_cards(validated: DataFrame, results: DataFrame) -> DataFrame:
     return with_excerpts(cited.join(results, ["request_id", "chunk_id"]))
 
 
-def fallback_cards(results: DataFrame, packed: DataFrame) -> DataFrame:
+def fallback_cards(packed: DataFrame) -> DataFrame:
     """Packed chunks in rank order; where nothing was packed, the first 10 results."""
-    hits = packed.filter("packed").select("request_id", "chunk_id", F.lit(True).alias("_in"))
-    any_hit = hits.select("request_id", F.lit(True).alias("_any")).distinct()
-    df = results.join(hits, ["request_id", "chunk_id"], "left").join(
-        any_hit, "request_id", "left"
-    )
-    kept = df.filter(F.col("_in") | (F.col("_any").isNull() & (F.col("rank") <= 10)))
-    return with_excerpts(kept.drop("_in", "_any").withColumn(
+    w = W.partitionBy("request_id")
+    df = packed.withColumn("_any", F.max(F.col("packed").cast("int")).over(w))
+    kept = df.filter(F.col("packed") | ((F.col("_any") == 0) & (F.col("rank") <= 10)))
+    return with_excerpts(kept.drop("_any").withColumn(
         "why_cited", F.lit(None).cast("string")
     ))
 

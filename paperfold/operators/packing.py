@@ -10,30 +10,54 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperfold.functions.metadata import metadata_lines
-from paperfold.functions.text import token_estimate, truncate_to_tokens
+from paperfold.functions.text import bind, token_estimate, truncate_to_tokens
 
 CONTEXT_BUDGET = 4000
 SINGLE_CHUNK_CAP = 1200
 
 
+def as_lists(results: DataFrame) -> DataFrame:
+    """One row per query: its results in rank order as an array of structs."""
+    own = [c for c in results.columns if c not in ("query_id", "rank")]
+    return results.groupBy("query_id").agg(
+        F.array_sort(F.collect_list(F.struct("rank", "chunk_id", *[
+            c for c in own if c != "chunk_id"
+        ])), _by_rank).alias("items")
+    )
+
+
+def _by_rank(x: Column, y: Column) -> Column:
+    return F.when(x["rank"] < y["rank"], -1).when(x["rank"] > y["rank"], 1).otherwise(0)
+
+
+def from_lists(lists: DataFrame, *extra: str) -> DataFrame:
+    return lists.select("query_id", *extra, F.inline("items"))
+
+
 def dedupe_parent_child(results: DataFrame) -> DataFrame:
     """Of a sub-question and its parent in the same list keep the better one; a tie
-    drops the sub-question. All decisions look at the original list."""
-    keys = results.select(
-        "query_id", F.col("chunk_id").alias("_pid"), F.col("score").alias("_pscore")
-    )
-    pairs = results.filter(
-        (F.col("chunk_level") == "sub_question") & F.col("parent_chunk_id").isNotNull()
-    ).join(
-        keys.withColumnRenamed("query_id", "_q"),
-        (F.col("query_id") == F.col("_q")) & (F.col("parent_chunk_id") == F.col("_pid")),
+    drops the sub-question. All decisions look at the original list.
+
+    Decided inside the list: the results are shuffled once and never joined to
+    themselves, so the search that made them runs once.
+    """
+    def keep(items: Column, x: Column) -> Column:
+        is_sub = x["chunk_level"] == "sub_question"
+        beaten_by_parent = F.exists(items, lambda p: F.coalesce(
+            is_sub & (p["chunk_id"] == x["parent_chunk_id"]) & ~(x["score"] > p["score"]),
+            F.lit(False),
+        ))
+        beaten_by_child = F.exists(items, lambda c: F.coalesce(
+            (c["chunk_level"] == "sub_question") & (c["parent_chunk_id"] == x["chunk_id"])
+            & (c["score"] > x["score"]),
+            F.lit(False),
+        ))
+        return ~beaten_by_parent & ~beaten_by_child
+
+    kept = bind(lambda s: F.filter(s["items"], lambda x: keep(s["items"], x)), "items")
+    return from_lists(as_lists(results).select("query_id", kept.alias("items"))).select(
+        *results.columns
     )
-    removed = pairs.select(
-        "query_id",
-        F.when(F.col("score") > F.col("_pscore"), F.col("_pid"))
-        .otherwise(F.col("chunk_id")).alias("chunk_id"),
-    ).distinct()
-    return results.join(removed, ["query_id", "chunk_id"], "left_anti")
 
 
 def single_cap(setting: int, budget: int) -> int:
@@ -51,9 +75,7 @@ def pack(results: DataFrame, budget: int = CONTEXT_BUDGET, cap: int = SINGLE_CHU
     sized = results.withColumn("truncated", oversize).withColumn(
         "packed_text", F.when(oversize, truncate(F.col("text"), cap)).otherwise(F.col("text"))
     ).withColumn("tokens", estimator(F.col("packed_text")))
-    lists = sized.groupBy("query_id").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "tokens"))).alias("items")
-    )
+    lists = as_lists(sized)
     start = F.struct(
         F.lit(0).alias("used"), F.array().cast("array<int>").alias("kept")
     )
@@ -66,10 +88,10 @@ def pack(results: DataFrame, budget: int = CONTEXT_BUDGET, cap: int = SINGLE_CHU
             .otherwise(acc["kept"]).alias("kept"),
         )
 
-    kept = lists.select(
-        "query_id", F.aggregate("items", start, step, lambda acc: acc["kept"]).alias("kept")
+    lists = lists.withColumn(
+        "kept", F.aggregate("items", start, step, lambda acc: acc["kept"])
     )
-    return sized.join(kept, "query_id").withColumn(
+    return from_lists(lists, "kept").withColumn(
         "packed", F.array_contains("kept", F.col("rank").cast("int"))
     ).withColumn(
         "status", F.when(F.size("kept") == 0, "context_pack_failed").otherwise("ok")

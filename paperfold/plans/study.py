@@ -24,6 +24,7 @@ from paperfold.operators.packing import (
     single_cap,
 )
 from paperfold.schemas import GRADE_DRAFT, PLAN_DRAFT
+from paperfold.session import materialise
 
 # Intents, their routes and the texts of direct answers.
 INTENT_ROUTES = {
@@ -251,7 +252,9 @@ def study(
         )
 
     retrieval = planned.filter(F.col("workflow") == "retrieval")
-    first = _as_requests(searcher(ask(retrieval, F.get("semantic_queries", F.lit(0)))))
+    first = materialise(
+        _as_requests(searcher(ask(retrieval, F.get("semantic_queries", F.lit(0))))), "pass1"
+    )
     d1 = grade_decisions(first, grades.filter(F.col("pass") == 1))
     again = d1.filter(F.col("decision") == "requery").join(
         reformulations, "request_id", "left"
@@ -260,7 +263,7 @@ def study(
         F.coalesce("reformulated_query", F.lit("")), F.col("query")
     ))
     runnable = again.filter(F.col("requery").isNotNull())
-    second = _as_requests(searcher(ask(runnable, F.col("requery"))))
+    second = materialise(_as_requests(searcher(ask(runnable, F.col("requery")))), "pass2")
     d2 = grade_decisions(second, grades.filter(F.col("pass") == 2), True, d1)
 
     final = d1.filter(F.col("decision") != "requery").select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROCKSDB_PROVIDER = (
     "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -49,3 +49,17 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     import uuid
 
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write once to the shared folder and read back: later stages that use the rows
+    several times do not recompute them, and a lost executor re-reads files."""
+    path = fresh_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def use_state_store(spark: SparkSession) -> None:
+    """Arbitrary state (transformWithState) needs the RocksDB provider; a runtime
+    setting, made where such a stream is built."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)

@@ -12,6 +12,7 @@ from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulP
 
 from paperfold.functions.keys import basename, key_problem
 from paperfold.schemas import JOB, JOB_SCHEMA_VERSION, PARSERS
+from paperfold.session import use_state_store
 
 MAX_RECEIVES = 3
 
@@ -71,7 +72,7 @@ def attempts(receives: DataFrame, limit: int = MAX_RECEIVES) -> DataFrame:
         F.count(F.lit(1)).alias("receives"), F.bool_or("ok").alias("done")
     ).withColumn("fate", F.when(F.col("done"), "acked").when(
         F.col("receives") >= limit, "dead_letter"
-    ).otherwise("retry"))
+    ).otherwise("retry")).drop("done")
 
 
 class AttemptCounter(StatefulProcessor):
@@ -91,7 +92,7 @@ class AttemptCounter(StatefulProcessor):
         n, closed = self.seen.get() if self.seen.exists() else (0, False)
         out = []
         for batch in rows:
-            for ok in batch["ok"]:
+            for ok in batch.sort_values("seq")["ok"]:
                 if closed:
                     continue
                 n += 1
@@ -107,7 +108,11 @@ class AttemptCounter(StatefulProcessor):
 
 
 def attempt_fates(receives: DataFrame, limit: int = MAX_RECEIVES) -> DataFrame:
-    """Streaming form: emits a job once, when it is acknowledged or given up."""
+    """Streaming form: emits a job once, when it is acknowledged or given up.
+
+    receives: job_id, ok, seq (arrival order). Needs the RocksDB state store.
+    """
+    use_state_store(receives.sparkSession)
     return receives.groupBy("job_id").transformWithStateInPandas(
         statefulProcessor=AttemptCounter(limit), outputStructType=AttemptCounter.OUTPUT,
         outputMode="Append", timeMode="None",

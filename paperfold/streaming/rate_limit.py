@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from paperfold.functions.keys import hmac_sha256
 from paperfold.functions.text import nonempty, strip
+from paperfold.session import use_state_store
 
 # Fixed values: (limit, window seconds) per endpoint and scope.
 POLICIES = {
@@ -113,6 +114,7 @@ class SlidingWindow(StatefulProcessor):
 
 def decide(requests: DataFrame) -> DataFrame:
     """request_id, ts, policy, identity -> allowed, remaining, reset, retry-after."""
+    use_state_store(requests.sparkSession)
     keyed = requests.select(
         F.col("request_id").cast("string").alias("request_id"), "policy", "identity",
         (F.unix_micros("ts") / 1e6).alias("epoch"),
