@@ -37,10 +37,11 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only where the cluster names none (local tests) is a temporary folder set.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not path:
         path = tempfile.mkdtemp(prefix="paperfold-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        context.setCheckpointDir(path)
     return path.rstrip("/")
 
 
