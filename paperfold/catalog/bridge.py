@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperfold.functions.providers import hashing_embedder
+from paperfold.session import spread
 
 SCHEMA = [
     {"key": "year", "label": "Year", "type": "integer", "operators": ["eq", "gte", "lte"],
@@ -62,6 +63,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A text table, spread over the cores for per-text work."""
+    return spread(table(spark, sf_dir, name))
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents with labels and topic, as a flat chunk table."""
     d = table(spark, sf_dir, "documents")
@@ -128,7 +134,8 @@ def condition(field: str, op: str, value, kind: str):
 def text_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks embedded from their whole text by the default embedder."""
     embed = hashing_embedder(64)
-    return chunks(spark, sf_dir).withColumn("embedding", embed("text"))
+    embedded = texts(spark, sf_dir).select("doc_id", embed("text").alias("embedding"))
+    return chunks(spark, sf_dir).drop("text").join(embedded, "doc_id")
 
 
 def text_queries(spark: SparkSession, sf_dir: str, limit: int, rerank: bool) -> DataFrame:

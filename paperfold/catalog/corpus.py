@@ -69,7 +69,7 @@ def bracket_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
         (d + 1).cast("string"), F.lit(" Topic "), F.col("lang"), F.lit(" (ab"),
         (d % 7).cast("string"), F.lit(")"),
     ))
-    docs = b.table(spark, sf_dir, "documents")
+    docs = b.texts(spark, sf_dir)
     return docs.select(
         F.concat(F.lit("/papers/"), "source", F.lit("/d"), d, F.lit("_content_list.json"))
         .alias("path"),
@@ -108,7 +108,7 @@ def bare_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
         content_block("text", text=F.concat(
             F.lit("Exam diet of "), (d % 25 + 2000).cast("string"))),
     )
-    return b.table(spark, sf_dir, "documents").select(
+    return b.texts(spark, sf_dir).select(
         F.concat(d, F.lit("_X.pdf")).alias("source_pdf"), F.lit("/papers").alias("base_dir"),
         F.concat(
             cover, F.flatten(F.transform(F.split("text", "\n"), line_blocks))
@@ -179,7 +179,7 @@ FROM documents JOIN ids USING (doc_id)""")
 def chunk_metadata_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Downloader metadata joined by file name: numbers parser-first, topic theirs first."""
     papers, _ = C.parse_content_lists(bracket_papers(spark, sf_dir))
-    meta = b.table(spark, sf_dir, "documents").select(
+    meta = b.texts(spark, sf_dir).select(
         F.concat(F.lit("d"), F.col("doc_id"), F.lit(".pdf")).alias("filename"),
         F.lit(1999).alias("year"), F.lit(99).alias("paper"), F.lit(7).alias("question"),
         F.when(F.col("doc_id") % 2 == 0, F.col("source")).otherwise("").alias("topic"),
@@ -245,7 +245,7 @@ WHERE NOT EXISTS (SELECT 1 FROM (
 GROUP BY doc_id""")
 def running_lines_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines (four to a page) that repeat on three pages are dropped everywhere."""
-    docs = b.table(spark, sf_dir, "documents").select("doc_id", F.transform(
+    docs = b.texts(spark, sf_dir).select("doc_id", F.transform(
         F.split("text", "\n"),
         lambda t, i: content_block("text", text=t, page=F.floor(i / 4).cast("int")),
     ).alias("blocks"))
@@ -270,7 +270,7 @@ acc AS (
 SELECT doc_id, chr(97 + step) AS label, i AS line_no FROM acc""")
 def sequential_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line initials as labels: only a, b, c, ... in order are accepted."""
-    docs = b.table(spark, sf_dir, "documents").select("doc_id", F.transform(
+    docs = b.texts(spark, sf_dir).select("doc_id", F.transform(
         F.split("text", "\n"), lambda t: X.strip(t)
     ).alias("ls"))
     segs = docs.select("doc_id", F.transform("ls", lambda t, i: F.struct(
@@ -291,7 +291,7 @@ FROM (SELECT doc_id, trim(regexp_replace(text, '([a-z]+ing)', '$\\1$', 'g'), """
 def inline_math_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words in -ing as inline math: runs counted, and flattened back unchanged."""
     t = X.strip(F.regexp_replace("text", "([a-z]+ing)", r"\$$1\$"))
-    df = b.table(spark, sf_dir, "documents").select("doc_id", t.alias("t"))
+    df = b.texts(spark, sf_dir).select("doc_id", t.alias("t"))
     df = df.withColumn("runs", B.inline_runs(F.col("t")))
     return df.select(
         "doc_id", F.size(F.filter("runs", lambda r: r["type"] == "math")).alias("math_runs"),
@@ -310,7 +310,7 @@ SELECT page_id, length(t) AS chars, md5(t) AS digest FROM (
     '{SPACES}', ' ', 'g')) AS t FROM pages)""")
 def page_fallback_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole pages through the malformed-table text: tags out, entities in, collapsed."""
-    pages = b.table(spark, sf_dir, "pages").select(
+    pages = b.texts(spark, sf_dir, "pages").select(
         "page_id", B.unescape_html(B.untagged("html")).alias("t")
     )
     text = B.table_fallback_text("t")
@@ -331,7 +331,7 @@ def page_link_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.concat(F.lit("<table>"), F.array_join(F.transform(links, lambda t: F.concat(
         F.lit("<tr><th>link</th><td> "), t, F.lit("</td></tr>")
     )), ""), F.lit("</table>"))
-    pages = b.table(spark, sf_dir, "pages").select("page_id", F.array(body).alias("t"))
+    pages = b.texts(spark, sf_dir, "pages").select("page_id", F.array(body).alias("t"))
     rows = F.get(B.table_cells("t", F.transform("t", B.untagged)), F.lit(0))["rows"]
     return pages.withColumn("rows", rows).filter(F.size("rows") > 0).select(
         "page_id", F.size("rows").alias("n_rows"),
@@ -344,7 +344,7 @@ SELECT doc_id, greatest(1, length(text) // 4) AS tokens, md5(text[1:500]) AS exc
   CASE WHEN length(c) <= 80 THEN c ELSE rtrim(c[1:77], {WSQ}) || '...' END AS preview
 FROM (SELECT doc_id, text, trim(regexp_replace(text, '{SPACES}', ' ', 'g')) AS c FROM documents)""")
 def text_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return b.table(spark, sf_dir, "documents").select(
+    return b.texts(spark, sf_dir).select(
         "doc_id", X.token_estimate("text").alias("tokens"),
         F.md5(X.excerpt("text")).alias("excerpt_digest"),
         X.truncate_text("text", 80).alias("preview"),
@@ -362,7 +362,7 @@ SELECT doc_id, md5(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE chars
 FROM cum GROUP BY doc_id""")
 def token_budget_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document cut to 60 tokens at a word boundary, marker included."""
-    return b.table(spark, sf_dir, "documents").select(
+    return b.texts(spark, sf_dir).select(
         "doc_id", F.md5(X.truncate_to_tokens("text", 60)).alias("digest")
     )
 
@@ -383,7 +383,7 @@ def object_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(
         F.regexp_replace("url", "^https?://", "")
     )
-    pages = b.table(spark, sf_dir, "pages").withColumn("run", K.run_id("url"))
+    pages = b.texts(spark, sf_dir, "pages").withColumn("run", K.run_id("url"))
     return pages.select(
         "page_id", K.key_problem(key).alias("problem"),
         K.blob_key(F.sha2("html", 256)).alias("blob_key"), F.col("run").alias("run_id"),

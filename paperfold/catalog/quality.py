@@ -98,7 +98,7 @@ def odd_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
 
     blocks = F.transform(F.split("text", "\n"), one)
-    return b.table(spark, sf_dir, "documents").select(
+    return b.texts(spark, sf_dir).select(
         "doc_id", F.concat(F.lit("d"), F.col("doc_id")).alias("chunk_id"), "text",
         F.when(F.col("doc_id") % 10 == 0, F.lit(None))
         .when(F.col("doc_id") % 10 == 1, B.no_blocks()).otherwise(blocks).alias("render_blocks"),

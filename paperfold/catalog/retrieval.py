@@ -136,7 +136,7 @@ def ranked_results(spark: SparkSession, sf_dir: str) -> DataFrame:
         "name string, vector_min_score double, rerank_min_score double",
     )
     return S.search(
-        b.text_queries(spark, sf_dir, 15, True), b.text_vectors(spark, sf_dir).drop("text"),
+        b.text_queries(spark, sf_dir, 15, True), b.text_vectors(spark, sf_dir),
         b.stored_chunks(spark, sf_dir), thresholds, lexical_overlap,
     )
 
@@ -164,7 +164,7 @@ FROM slots GROUP BY id
 UNION ALL SELECT id, 0, 0, 0 FROM texts WHERE id NOT IN (SELECT id FROM slots)"""))
 def hash_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     embed = hashing_embedder(64)
-    texts = b.table(spark, sf_dir, "documents").select(
+    texts = b.texts(spark, sf_dir).select(
         F.concat(F.lit("d"), F.col("doc_id")).alias("id"), "text"
     ).unionByName(b.table(spark, sf_dir, "benchmark").select(
         F.concat(F.lit("q"), F.col("item_id")).alias("id"), "text"

@@ -308,7 +308,7 @@ def study_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array().cast("array<string>").alias("limitations"),
     )).alias("draft_json"))
     embed = hashing_embedder(64)
-    vectors = b.text_vectors(spark, sf_dir).drop("text")
+    vectors = b.text_vectors(spark, sf_dir)
     stored = b.stored_chunks(spark, sf_dir)
 
     def searcher(queries: DataFrame) -> DataFrame:

@@ -77,7 +77,7 @@ def strip_nul(c: Column | str, dtype: T.DataType | None = None) -> Column:
     col = as_col(c)
     dtype = dtype or T.StringType()
     if isinstance(dtype, T.StringType):
-        return F.translate(col, "\u0000", "")
+        return F.replace(col, F.lit("\u0000"), F.lit(""))
     if isinstance(dtype, T.ArrayType):
         return F.transform(col, lambda x: strip_nul(x, dtype.elementType))
     if isinstance(dtype, T.MapType):

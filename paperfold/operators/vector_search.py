@@ -137,15 +137,24 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return rows[order[:k]]
 
 
-def _emit(queries: QuerySet, held: dict) -> pd.DataFrame:
-    parts = []
-    for q, (ids, scores) in held.items():
-        parts.append(pd.DataFrame({
-            "query_id": queries.ids[q], "chunk_id": ids, "score": scores, "k": queries.k[q],
-        }))
-    if not parts:
-        return pd.DataFrame({"query_id": [], "chunk_id": [], "score": [], "k": []})
-    return pd.concat(parts, ignore_index=True)
+def _emit(queries: QuerySet | None, held: dict) -> pd.DataFrame:
+    """Held lists as one frame. Text columns stay plain object arrays: Arrow then
+    makes one contiguous array of them, as Spark expects."""
+    sizes = [len(ids) for ids, _ in held.values()]
+    members = list(held)
+    rows = np.repeat(np.array(members, dtype=np.int64), sizes)
+
+    def joined(parts: list, dtype) -> np.ndarray:
+        return np.concatenate(parts).astype(dtype) if parts else np.array([], dtype=dtype)
+
+    ids = joined([i for i, _ in held.values()], object)
+    scores = joined([s for _, s in held.values()], np.float64)
+    asked = queries.ids[rows].astype(object) if members else ids
+    depth = queries.k[rows] if members else np.array([], dtype=np.int64)
+    return pd.DataFrame({
+        "query_id": pd.Series(asked, dtype=object), "chunk_id": pd.Series(ids, dtype=object),
+        "score": scores, "k": depth,
+    })
 
 
 def _merge(queries: QuerySet, batches: Iterator[pd.DataFrame]) -> pd.DataFrame:

@@ -64,3 +64,11 @@ def use_state_store(spark: SparkSession) -> None:
     """Arbitrary state (transformWithState) needs the RocksDB provider; a runtime
     setting, made where such a stream is built."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Before heavy per-row work: use all cores even when the input came as a few big
+    splits (one parquet row group cannot be split). A no-op once there are enough
+    splits, as on large inputs, so it costs no shuffle there."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
