@@ -83,10 +83,10 @@ class QuerySet:
         self.ids = rows["query_id"].astype(str).to_numpy()
         self.k = rows["k"].to_numpy(dtype=np.int64)
         self.matrix = normalise(np.stack([np.asarray(v) for v in rows["vector"]]))
-        self.groups: dict[tuple[str, str], np.ndarray] = {}
-        keys = list(zip(rows["collection"], rows["filters"]))
-        for key in dict.fromkeys(keys):
-            self.groups[key] = np.array([i for i, x in enumerate(keys) if x == key])
+        # collection -> filter list -> positions of the queries that share both
+        self.groups: dict[str, dict[str, list[int]]] = {}
+        for i, (collection, filters) in enumerate(zip(rows["collection"], rows["filters"])):
+            self.groups.setdefault(collection, {}).setdefault(filters, []).append(i)
 
     def score(self, batch: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Per query: its best chunk ids and scores within one batch of vectors."""
@@ -96,19 +96,18 @@ class QuerySet:
         if vectors.shape[1] != self.matrix.shape[1]:
             raise ValueError("query dimension mismatch")
         unit = normalise(vectors)
-        ids = batch["chunk_id"].astype(str).to_numpy()
-        collections = batch["collection"].to_numpy()
-        for (collection, filters), members in self.groups.items():
-            mask = collections == collection
-            for item in json.loads(filters):
-                mask = mask & matches(batch[item["field"]], item)
-            rows = np.flatnonzero(mask)
-            if rows.size == 0:
-                continue
-            scores = np.round(unit[rows] @ self.matrix[members].T, SCORE_DIGITS)
-            for j, q in enumerate(members):
-                keep = best(scores[:, j], ids[rows], int(self.k[q]))
-                yield q, ids[rows][keep], scores[keep, j]
+        ids = np.asarray(batch["chunk_id"].astype(str), dtype=object)
+        for collection, at in batch.groupby("collection").indices.items():
+            for filters, members in self.groups.get(collection, {}).items():
+                rows = at
+                for item in json.loads(filters):
+                    rows = rows[matches(batch[item["field"]].iloc[rows], item)]
+                if len(rows) == 0:
+                    continue
+                scores = np.round(unit[rows] @ self.matrix[members].T, SCORE_DIGITS)
+                for j, q in enumerate(members):
+                    keep = best(scores[:, j], ids[rows], int(self.k[q]))
+                    yield q, ids[rows][keep], scores[keep, j]
 
 
 def matches(values: pd.Series, item: dict) -> np.ndarray:
@@ -133,7 +132,7 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     if len(key) > k:
         cut = np.partition(key, len(key) - k)[len(key) - k]
         rows = np.flatnonzero(key >= cut)
-    order = np.lexsort((ids[rows], -key[rows]))
+    order = np.lexsort((ids[rows].astype(str), -key[rows]))
     return rows[order[:k]]
 
 

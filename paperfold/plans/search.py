@@ -94,6 +94,15 @@ def search(
         df = df.withColumn("_second", second).withColumn(
             "score", F.when(F.col("rerank"), F.col("_second")).otherwise(F.col("score"))
         )
+    df = df.filter(F.col("chunk_level").isin(*CHUNK_LEVELS))
+    first = F.when(reranked, F.when(F.isnan("score"), float("-inf")).otherwise(F.col("score")))
+    w = W.partitionBy("query_id").orderBy(
+        F.coalesce(first, F.lit(0.0)).desc(), F.col("vec_rank").asc()
+    )
+    df = df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= F.col("limit"))
+    # Rows above the threshold are a prefix of this ranking, so it applies after the
+    # rank; below the window it would make Spark compute the rerank score twice.
+    drop = ["limit", "rerank", "query"] + (["_second"] if reranker is not None else [])
     if collections is not None:
         limits = collections.select(
             F.col("name").alias("collection"), "vector_min_score", "rerank_min_score"
@@ -101,17 +110,8 @@ def search(
         df = df.join(limits, "collection", "left")
         minimum = F.when(reranked, F.col("rerank_min_score")).otherwise(F.col("vector_min_score"))
         df = df.filter(passes_threshold(F.col("score"), minimum))
-    df = df.filter(F.col("chunk_level").isin(*CHUNK_LEVELS))
-    first = F.when(reranked, F.when(F.isnan("score"), float("-inf")).otherwise(F.col("score")))
-    w = W.partitionBy("query_id").orderBy(
-        F.coalesce(first, F.lit(0.0)).desc(), F.col("vec_rank").asc()
-    )
-    drop = [c for c in ("_second", "vector_min_score", "rerank_min_score") if c in df.columns]
-    return (
-        df.withColumn("rank", F.row_number().over(w))
-        .filter(F.col("rank") <= F.col("limit"))
-        .drop("limit", "rerank", "query", *drop)
-    )
+        drop += ["vector_min_score", "rerank_min_score"]
+    return df.drop(*drop)
 
 
 def response_totals(queries: DataFrame, results: DataFrame) -> DataFrame:

@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paperfold.functions.text import compact, nonempty, strip, words
@@ -213,12 +212,15 @@ def label_attempts(calls: DataFrame) -> DataFrame:
         .when(title == "QueryReformulationDraft", "reflect")
         .otherwise("generation")
     )
-    w = W.partitionBy("request_id", "kind").orderBy("call_index")
-    df = calls.withColumn("kind", kind).withColumn("_n", F.row_number().over(w))
-    return df.withColumn("attempt", F.when(
+    df = calls.withColumn("kind", kind)
+    # the first generation by partial aggregation: no per-request sort in one task
+    first = df.filter(F.col("kind") == "generation").groupBy("request_id").agg(
+        F.min("call_index").alias("_first")
+    )
+    return df.join(first, "request_id", "left").withColumn("attempt", F.when(
         F.col("kind") == "generation",
-        F.when(F.col("_n") == 1, "primary").otherwise("repair"),
-    ).otherwise(F.col("kind"))).drop("_n")
+        F.when(F.col("call_index") == F.col("_first"), "primary").otherwise("repair"),
+    ).otherwise(F.col("kind"))).drop("_first")
 
 
 def _as_requests(results: DataFrame) -> DataFrame:
