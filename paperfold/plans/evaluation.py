@@ -190,3 +190,92 @@ def abstention_metrics(flagged: DataFrame) -> DataFrame:
         ),
         F.count_if(negative & F.col("requery_attempted")).alias("negative_requery_attempts"),
     )
+
+
+# --- whole jobs ------------------------------------------------------------------
+#
+# ``searcher`` maps (query_id, query, collection, filters, limit, rerank) to ranked
+# results (query_id, rank, chunk_id, score, topic, ...): one search for all cases.
+
+def _asked(rows: DataFrame, key: str, limit: int, rerank: bool) -> DataFrame:
+    return rows.select(
+        F.col(key).alias("query_id"), "query", "collection", "filters",
+        F.lit(limit).alias("limit"), F.lit(rerank).alias("rerank"),
+    )
+
+
+def evaluate(cases: DataFrame, searcher, limit: int, rerank: bool) -> DataFrame:
+    """Search evaluation: every case searched once at the common depth, then matched."""
+    depth = effective_limit(cases, limit)
+    results = searcher(_asked(cases, "case_id", depth, rerank))
+    return match_cases(cases, results.withColumnRenamed("query_id", "case_id"))
+
+
+def calibrate(cases: DataFrame, negatives: DataFrame, searcher, limit: int,
+              rerank: bool) -> DataFrame:
+    """Threshold calibration. ``searcher`` must run without thresholds.
+
+    negatives: query, collection. Their filters are empty; duplicates count once.
+    """
+    depth = effective_limit(cases, limit)
+    none = F.array().cast(cases.schema["filters"].dataType)
+    off_topic = negatives.select("query", "collection").distinct().select(
+        F.sha2("query", 256).alias("query_id"), "query", "collection", none.alias("filters"),
+    )
+    tops = top_scores(searcher(_asked(off_topic, "query_id", depth, rerank)))
+    return score_gap(evaluate(cases, searcher, limit, rerank), tops)
+
+
+def compare_planned(variants: DataFrame, plans: DataFrame, searcher, top_k: int,
+                    rerank: bool = False) -> DataFrame:
+    """Planner A/B: each variant searched raw and as planned, one row each.
+
+    variants: variant_id, query, collection, filters, any_chunk_ids, any_topics,
+    expected_intent. plans: variant_id, planning_status, intent, semantic_queries
+    (a fallback plan holds the raw query, so it searches the same text).
+    """
+    expected = variants.select("variant_id", "any_chunk_ids", "any_topics")
+
+    def hits(rows: DataFrame, name: str) -> DataFrame:
+        found = searcher(_asked(rows, "variant_id", top_k, rerank)).withColumnRenamed(
+            "query_id", "variant_id"
+        )
+        return found.join(expected, "variant_id").groupBy("variant_id").agg(
+            F.bool_or(is_match()).alias(name)
+        )
+
+    planned = variants.join(
+        plans.select("variant_id", F.get("semantic_queries", F.lit(0)).alias("_q")),
+        "variant_id", "left",
+    ).withColumn("query", F.coalesce("_q", "query")).drop("_q")
+    df = variants.select("variant_id", "expected_intent").join(
+        plans.select(
+            "variant_id", "planning_status",
+            F.when(F.col("planning_status") == "ok", F.col("intent")).alias("intent"),
+        ), "variant_id", "left",
+    )
+    df = df.join(hits(variants, "raw_hit"), "variant_id", "left")
+    df = df.join(hits(planned, "planned_hit"), "variant_id", "left")
+    return df.select(
+        "variant_id", "planning_status", "intent", "expected_intent",
+        *[F.coalesce(c, F.lit(False)).alias(c) for c in ("raw_hit", "planned_hit")],
+    )
+
+
+def evaluate_study(cases: DataFrame, responses: DataFrame, topics: DataFrame) -> DataFrame:
+    """Study evaluation: responses joined to their cases, then the metrics.
+
+    cases: variant_id, case_id, any_chunk_ids, any_topics, expected_answer_status.
+    responses: the study job's rows (request_id = variant_id). topics: chunk_id, topic.
+    """
+    cited = responses.select("request_id", F.explode("source_ids").alias("chunk_id"))
+    source_topics = cited.join(topics, "chunk_id").groupBy("request_id").agg(
+        F.collect_set("topic").alias("source_topics")
+    )
+    none = F.array().cast("array<string>")
+    joined = cases.join(
+        responses.withColumnRenamed("request_id", "variant_id"), "variant_id"
+    ).join(source_topics.withColumnRenamed("request_id", "variant_id"), "variant_id", "left")
+    return abstention_metrics(study_flags(
+        joined.withColumn("source_topics", F.coalesce("source_topics", none))
+    ))
