@@ -68,6 +68,11 @@ def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFram
     return spread(table(spark, sf_dir, name))
 
 
+def corpus_of(key: str):
+    """The collection of a row. Not a bare literal: joins on it stay equi joins."""
+    return F.when(F.col(key).isNotNull(), "corpus").alias("collection")
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents with labels and topic, as a flat chunk table."""
     d = table(spark, sf_dir, "documents")
@@ -77,7 +82,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     part = F.col("doc_id") % 3
     return d.join(labels, "doc_id", "left").join(topics, "doc_id", "left").select(
-        F.lit("corpus").alias("collection"), "source", "doc_id",
+        corpus_of("doc_id"), "source", "doc_id",
         F.concat(F.lit("d"), F.col("doc_id")).alias("chunk_id"),
         F.when(part == 0, "question").otherwise("sub_question").alias("chunk_level"),
         F.when(part != 0, F.concat(F.lit("d"), F.col("doc_id") - part)).alias("parent_chunk_id"),
@@ -143,7 +148,7 @@ def text_queries(spark: SparkSession, sf_dir: str, limit: int, rerank: bool) ->
     embed = hashing_embedder(64)
     return table(spark, sf_dir, "benchmark").select(
         F.concat(F.lit("q"), F.col("item_id")).alias("query_id"),
-        F.col("text").alias("query"), F.lit("corpus").alias("collection"),
+        F.col("text").alias("query"), corpus_of("item_id"),
         embed("text").alias("vector"), no_filters().alias("filters"),
         F.lit(limit).alias("limit"), F.lit(rerank).alias("rerank"),
     )

@@ -46,7 +46,7 @@ SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM (
 WHERE rank <= 10"""))
 def cosine_topk_topic_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries = b.topic_queries(spark, sf_dir).select(
-        "query_id", F.lit("corpus").alias("collection"), "vector", F.lit(10).alias("k"),
+        "query_id", b.corpus_of("label"), "vector", F.lit(10).alias("k"),
         F.lit("[]").alias("filters"),
     )
     top = V.top_k_batch(b.vectors(spark, sf_dir), queries)
@@ -105,7 +105,7 @@ def search_mixed_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(b.no_filters())
     )
     queries = b.topic_queries(spark, sf_dir).select(
-        "query_id", F.col("query_id").alias("query"), F.lit("corpus").alias("collection"),
+        "query_id", F.col("query_id").alias("query"), b.corpus_of("label"),
         "vector", filters.alias("filters"), F.lit(8).alias("limit"), F.lit(False).alias("rerank"),
     )
     out = S.search(queries, b.vectors(spark, sf_dir), b.chunks(spark, sf_dir))

@@ -285,7 +285,7 @@ def study_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = b.table(spark, sf_dir, "benchmark")
     rid = F.concat(F.lit("q"), k).alias("request_id")
     requests = items.select(
-        rid, F.col("text").alias("query"), F.lit("corpus").alias("collection"),
+        rid, F.col("text").alias("query"), b.corpus_of("item_id"),
         b.no_filters().alias("filters"), F.lit(15).alias("top_k"),
     )
     plans = items.select(rid, F.to_json(F.struct(

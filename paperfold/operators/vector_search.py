@@ -187,19 +187,22 @@ def top_k_batch(
         F.col("vector").cast("array<double>").alias("vector"), F.col("k").cast("int").alias("k"),
         "filters",
     )
-    wanted = queries.select("collection").distinct()
-    scoped = vectors.join(wanted, "collection", "left_semi")
     head = queries.limit(max_broadcast + 1).toPandas()
     size = sum(len(v) * 8 for v in head["vector"])
     if len(head) <= max_broadcast and size <= MAX_BROADCAST_BYTES:
         if head.empty:
             return keep_top(spark.createDataFrame([], CANDIDATES), 1)
         shared = spark.sparkContext.broadcast(head)
+        # a literal list: static partition pruning and a predicate the scan understands
+        named = sorted(set(head["collection"]))
+        scoped = vectors.filter(F.col("collection").isin(named)) if len(named) <= 256 else vectors
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield _merge(QuerySet(shared.value), batches)
 
         return keep_top(scoped.mapInPandas(scan, CANDIDATES), int(head["k"].max()))
+    wanted = queries.select("collection").distinct()
+    scoped = vectors.join(wanted, "collection", "left_semi")
     deepest = queries.agg(F.max("k")).first()[0]
     return keep_top(_grid(scoped, queries), deepest)
 
