@@ -22,7 +22,7 @@ from paperfold.llm import blocks as b
 from paperfold.llm.store import Stages, text_of
 
 BITS = 22
-LEAST_Z = 5.0
+LEAST_Z = 8.0
 LEAST_TEXTS = 4
 SMOOTHING = 1.0
 # Classes of bytes for tokens: 0 white space, 1 letters, digits and non-ASCII, 2 the rest.
@@ -55,6 +55,7 @@ def tokens(rows: pa.RecordBatch, data: np.ndarray, at: np.ndarray) -> tuple[np.n
 class Features:
     units: Callable
     orders: tuple[int, ...]
+    echo: bool = False  # one more feature: two equal units in a row
 
     def each(self, batches: Iterator[pa.RecordBatch], wanted: np.ndarray | None) -> Iterator[tuple]:
         """(rows, features, documents): the distinct (document, feature) pairs of a block, of
@@ -76,6 +77,8 @@ class Features:
                         use &= wanted[place]
                     use = np.flatnonzero(use)
                     found.append(doc[use] << BITS | place[use])
+                if self.echo and len(h) > 1 and (wanted is None or wanted[0]):
+                    found.append(doc[1:][(h[1:] == h[:-1]) & (doc[1:] == doc[:-1])] << BITS)
                 pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
                 yield rows, pairs & ((1 << BITS) - 1), pairs >> BITS
 

@@ -1,6 +1,6 @@
 """Quality: naive Bayes support vectors over token n-grams.
 
-Indicators of token unigrams and bigrams are scaled by class log-count ratios; a linear
+Indicators of token unigrams and bigrams, and of a token that follows itself, are scaled by class log-count ratios; a linear
 hinge-loss model is fitted to them by dual coordinate descent.
 
 Edge cases: as in ``toxicity``.
@@ -18,7 +18,7 @@ ORDERS = (1, 2)
 SAMPLE_PER_CLASS = 4000
 PASSES = 20
 COST = 0.1
-FEATURES = nb.Features(nb.tokens, ORDERS)
+FEATURES = nb.Features(nb.tokens, ORDERS, echo=True)
 
 
 def dual_coordinate_descent(found: list[np.ndarray], y: np.ndarray, ratios: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
