@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paperfold.llm import (
+    decontaminate,
     near_duplicates,
     packing,
+    pii,
     quality_classifier,
     quality_rules,
     repeats,
+    secrets,
     toxicity,
     warc,
 )
@@ -66,3 +69,31 @@ def op9_suffix_repeats(spark, sf_dir):
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
                       F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def joined(spans):
+    """kind:start:end, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+@query("op2_secrets")
+def op2_secrets(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.withColumn("repository", F.concat_ws("/", "source", "lang"))
+    found = secrets.scan(docs, repository="repository", owner="source")
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    judged = lambda verdict: F.size(F.filter("spans", lambda s: s["verdict"] == verdict)).cast("long")
+    return found.select(
+        "doc_id", of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"),
+        F.sha2(joined(F.filter("spans", lambda s: s["kind"] != "owned")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
+        judged("live").alias("n_live"), judged("example").alias("n_example"))
+
+
+@query("op4_decontaminate")
+def op4_decontaminate(spark, sf_dir):
+    return decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op10_pii")
+def op10_pii(spark, sf_dir):
+    return pii.replaced(table(spark, sf_dir, "documents"), count="n_replaced").select("doc_id", "text", "n_replaced")
