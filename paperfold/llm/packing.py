@@ -2,13 +2,14 @@
 
 Each partition keeps OPEN_WINDOWS open windows. A piece goes where it leaves the least
 room (best fit); if it fits nowhere, the fullest window is emitted and a new one opened.
-What is open at the end of a partition is merged: groups of partitions run the same rule
-over their leftover windows, round after round, until one group is left. No task holds more
-than the open windows of MERGE_FAN partitions, whatever the input.
+What is open at the end of a partition is merged: the pieces of the leftover windows of
+MERGE_FAN partitions are packed anew, and the emptiest windows go on, round after round,
+until one group is left. No task holds more than the open windows of MERGE_FAN partitions,
+whatever the input.
 
 A document longer than a window is cut; the full parts are windows of their own and the rest
 is packed like any other piece. Token ids come from a public tokenizer that drops white
-space, so a text is encoded word by word and each distinct word once (a bounded cache).
+space, so each distinct word is encoded once.
 
 Edge cases: a null or empty text is the end id alone; repeated rows are packed each by
 itself; an empty table gives no piece; columns besides id and text are not read.
@@ -16,8 +17,12 @@ itself; an empty table gives no piece; columns besides id and text are not read.
 
 from __future__ import annotations
 
+import sys
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from itertools import chain
+from types import ModuleType
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +36,7 @@ WINDOW = 4096
 OPEN_WINDOWS = 64
 MERGE_FAN = 64
 END_ID = 2
-CACHED_WORDS = 400_000
+CACHED_WORDS = 700_000
 PIECE = "doc_id {kind}, start long, length long, doc_tokens long, window long, at long, open boolean, ids binary"
 
 
@@ -42,25 +47,101 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Codes:
+    """Ids of strings, one after another in one array."""
+
+    def __init__(self) -> None:
+        self.place: dict[str, int] = {}
+        self.ids, self.ends = np.zeros(1 << 16, np.uint32), np.zeros(1, np.int64)
+
+    def add(self, keys: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        held, used = len(self.place), int(self.ends[-1])
+        self.place.update(zip(keys, range(held, held + len(keys)), strict=True))
+        self.ends = np.r_[self.ends, used + np.cumsum(sizes)]
+        if used + len(ids) > len(self.ids):
+            self.ids = np.r_[self.ids, np.zeros(max(len(self.ids), len(ids)), np.uint32)]
+        self.ids[used : used + len(ids)] = ids
+
+    def of(self, keys) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all keys and where each key's ids end."""
+        where = np.fromiter(map(self.place.__getitem__, keys), np.int64)
+        sizes = self.ends[where + 1] - self.ends[where]
+        upto = np.cumsum(sizes)
+        return self.ids[np.arange(int(sizes.sum())) + np.repeat(self.ends[where] - upto + sizes, sizes)], upto
+
+    def forget(self, keys: list[str]) -> None:
+        """Drops the keys that came last."""
+        for key in keys:
+            del self.place[key]
+        self.ends = self.ends[: len(self.place) + 1]
+
+
 class WordEncoder:
-    """Token ids of texts. The tokenizer's pre-split never joins characters across space or
-    newline, so the ids of a text are those of its space-separated parts."""
+    """Token ids of texts, each distinct word encoded once.
+
+    The tokenizer's pre-split never joins characters across space or newline, so the ids of a
+    text are those of its words. A plain word (letters, digits and ASCII signs, composed
+    form) is cut once more, at the changes between letters, digits and signs, where the
+    pre-split cuts too; new pieces go to the tokenizer in one string, a digit between them.
+    Words with an apostrophe (contractions), special tokens or any other character go there
+    by themselves. Up to ``most`` words are remembered for the life of the process; later new
+    words are encoded block by block.
+    """
 
-    def __init__(self, path: str, cached: int = CACHED_WORDS) -> None:
-        from tokenizers import Tokenizer
+    SEPARATOR = "7"
 
-        self.tokenizer, self.cached, self.known = Tokenizer.from_file(path), cached, {}
+    def __init__(self, path: str, most: int = CACHED_WORDS) -> None:
+        import regex
+        from tokenizers import Tokenizer
 
-    def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > self.cached:
-            self.known = {}
-        known = self.known
-        new = list({w for p in parts for w in p if w not in known})
-        for word, code in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[word] = tuple(code.ids)
-        for p in parts:
-            yield np.fromiter(chain.from_iterable(map(known.__getitem__, p)), np.uint32)
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.mark = self.encode(self.SEPARATOR)[0]
+        self.plain = regex.compile(r"[\p{L}\p{N}!-&(-/:-@\[-`{-~]+").fullmatch
+        self.pieces = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
+        self.words, self.parts = Codes(), Codes()
+
+    def encode(self, word: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([word], add_special_tokens=False)[0].ids, np.uint32)
+
+    def learn(self, words: list[str]) -> None:
+        """Adds new words, by way of their new pieces."""
+        whole = [not (self.plain(w) and is_normalized("NFC", w)) or "\u0130" in w or "<|" in w for w in words]
+        cut = [[w] if alone else self.pieces(w) for w, alone in zip(words, whole, strict=True)]
+        new = set(chain.from_iterable(cut)).difference(self.parts.place)
+        alone = [p for p in {w for w, x in zip(words, whole, strict=True) if x} | {p for p in new if len(p) == 1} if p in new]
+        many = list(new.difference(alone))
+        if alone:
+            ids = [self.encode(p) for p in alone]
+            self.parts.add(alone, np.concatenate(ids), np.array([len(i) for i in ids]))
+        if many:
+            ids = self.encode(f" {self.SEPARATOR} ".join(many))
+            marks = np.flatnonzero(ids == self.mark)
+            self.parts.add(many, np.delete(ids, marks), np.diff(np.r_[-1, marks, len(ids)]) - 1)
+        ids, upto = self.parts.of(chain.from_iterable(cut))
+        last = np.cumsum([len(c) for c in cut])
+        ends = np.r_[0, upto][last]
+        self.words.add(words, ids, np.diff(np.r_[0, ends]))
+        if len(self.parts.place) > self.most:
+            self.parts.forget([*alone, *many])
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        new = list(set(chain.from_iterable(split)).difference(self.words.place))
+        if new:
+            self.learn(new)
+        ids, upto = self.words.of(chain.from_iterable(split))
+        if len(self.words.place) > self.most:  # what was known before this block stays
+            self.words.forget(new)
+        ends = upto[np.cumsum([len(p) for p in split]) - 1]
+        return [ids[a:b] for a, b in zip(np.r_[0, ends[:-1]], ends, strict=True)]
+
+
+def encoder(path: str) -> WordEncoder:
+    """The encoder of this process: a reused Python worker keeps its words between tasks."""
+    held = sys.modules.setdefault("llm_word_encoders", ModuleType("llm_word_encoders")).__dict__
+    if path not in held:
+        held[path] = WordEncoder(path)
+    return held[path]
 
 
 class OpenWindows:
@@ -107,7 +188,7 @@ def pack(docs: DataFrame, ident: str = "doc_id", text: str = "text", path: str |
     kind = docs.schema[ident].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordEncoder(path)
+        encode = encoder(path)
         space = OpenWindows(window, open_windows, numbering(0, TaskContext.get().partitionId()))
         waiting: dict[int, list[tuple]] = {}  # pieces of open windows
         done: list[tuple] = []
@@ -145,54 +226,55 @@ def pack(docs: DataFrame, ident: str = "doc_id", text: str = "text", path: str |
     pieces = stages.put("pieces", docs.select(docs[ident].alias("doc_id"), docs[text].cast("string").alias("text"))
                         .mapInArrow(run, PIECE.format(kind=kind)))
     closed = pieces.where(~F.col("open")).select("*", F.col("window").alias("sequence_id"), F.col("at").alias("offset"))
-    left = stages.put("left", pieces.where("open").groupBy("window").agg(F.sum("length").alias("used")))
+    left = stages.put("left", pieces.where("open").select("window", "at", "length"))
     moved = merge(stages, left, window, open_windows)
-    rest = pieces.where("open").join(moved, "window").withColumn("offset", F.col("at") + F.col("base"))
+    rest = pieces.where("open").join(moved, ["window", "at"])
     out = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
     return closed.select(*out).unionByName(rest.select(*out)).withColumnRenamed("doc_id", ident)
 
 
 def team_placer(round_: int, window: int, open_windows: int):
-    """Places the leftover windows of a team, the longest first; what a window holds moves
-    with it."""
+    """Places the pieces of a team of leftover windows: the longest first, each where it
+    leaves the least room. The ``open_windows`` emptiest windows stay open."""
 
     def run(key, rows):
         import pandas as pd
 
-        space = OpenWindows(window, open_windows, numbering(round_, int(key[0])))
-        ordered = sorted(zip(rows["holder"], rows["holder_used"], strict=True), key=lambda x: (-x[1], x[0]))
-        placed = [(w, *space.place(int(u))[:2]) for w, u in ordered]
-        return pd.DataFrame({"holder": [p[0] for p in placed], "number": [p[1] for p in placed],
-                             "shift": [p[2] for p in placed], "open": [p[1] in space.used for p in placed]})
+        number = numbering(round_, int(key[0]))
+        rooms: list[tuple[int, int]] = []  # (room, window), ascending
+        rows = rows.sort_values(["length", "window", "at"], ascending=[False, True, True])
+        holder, offset = [], []
+        for length in rows["length"].tolist():
+            i = bisect_left(rooms, (length, -1))
+            room, chosen = rooms.pop(i) if i < len(rooms) else (window, number())
+            holder.append(chosen)
+            offset.append(window - room)
+            if room > length:
+                insort(rooms, (room - length, chosen))
+        still = {w for _, w in rooms[-open_windows:]}
+        return pd.DataFrame({"window": rows["window"], "at": rows["at"], "length": rows["length"], "sequence_id": holder,
+                             "offset": offset, "open": [w in still for w in holder]})
 
     return run
 
 
 def merge(stages: Stages, left: DataFrame, window: int, open_windows: int) -> DataFrame:
-    """Places every leftover window, whole, in a sequence: (window, sequence_id, base).
+    """Places every leftover piece in a sequence: (window, at, sequence_id, offset).
 
-    A leftover's origin is the upper half of its number. A round groups the windows of
-    MERGE_FAN origins; what it emits is final, its own leftovers go to the next round.
+    A leftover's origin is the upper half of its window's number. A round packs the pieces
+    of MERGE_FAN origins; its full windows are final, its emptiest go to the next round.
     """
     origins = 1 + (left.agg(F.max(F.shiftright("window", 32))).first()[0] or 0)
-    current = left.select("window", "used", F.col("window").alias("holder"), F.lit(0).cast("long").alias("base"),
-                          F.shiftright("window", 32).alias("origin"))
+    current = left.withColumn("origin", F.shiftright("window", 32))
     settled, round_ = None, 0
     while True:
         round_ += 1
-        width = -(-origins // MERGE_FAN)
-
-        run = team_placer(round_, window, open_windows)
-        holders = (current.groupBy("holder", "origin").agg(F.sum("used").alias("holder_used"))
-                   .withColumn("team", F.floor(F.col("origin") / MERGE_FAN)))
-        put = holders.groupBy("team").applyInPandas(run, "holder long, number long, shift long, open boolean")
-        current = stages.put(f"merge{round_}", current.join(put, "holder").select(
-            "window", "used", F.col("number").alias("holder"), (F.col("base") + F.col("shift")).alias("base"),
-            "open", F.shiftright(F.col("number") - F.lit(round_ << 56), 32).alias("origin")))
-        over = width <= 1
-        final = current if over else current.where(~F.col("open"))
-        final = final.select("window", F.col("holder").alias("sequence_id"), "base")
+        over = origins <= MERGE_FAN
+        packed = stages.put(f"merge{round_}", current.withColumn("team", F.floor(F.col("origin") / MERGE_FAN)).groupBy("team").applyInPandas(
+            team_placer(round_, window, open_windows), "window long, at long, length long, sequence_id long, offset long, open boolean"))
+        final = (packed if over else packed.where("NOT open")).select("window", "at", "sequence_id", "offset")
         settled = final if settled is None else settled.unionByName(final)
         if over:
             return settled
-        current, origins = current.where("open").drop("open"), width
+        origins = -(-origins // MERGE_FAN)
+        current = packed.where("open").select("window", "at", "length", F.shiftright(F.col("sequence_id") - F.lit(round_ << 56), 32).alias("origin"))

@@ -73,7 +73,7 @@ def scan(docs: DataFrame, ident: str = "doc_id", text: str = "text", repository:
     owners = places.groupBy("value_sha256", "owner").agg(F.count(F.lit(1)).alias("repositories"))
     owned = stages.put("owned", owners.groupBy("value_sha256").agg(F.sum("repositories").alias("repositories"), F.count(F.lit(1)).alias("owners")))
     judged = spans.select("row", "s.*").join(owned, "value_sha256").withColumn(
-        "verdict", F.when(F.col("owners") >= COPIED_OWNERS, "example").when("random", "live").otherwise("weak"))
+        "verdict", F.when(F.col("owners") >= COPIED_OWNERS, "example").when(F.col("random"), "live").otherwise("weak"))
     judged = judged.where((F.col("kind") != "owned") | (F.col("verdict") == "live"))
     order = ["start", "rank", "kind", "end", "value_sha256", "repositories", "owners", "verdict"]
     held = judged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct(*order))).alias("spans"))
