@@ -24,6 +24,7 @@ from paperfold.llm.store import Stages, text_of
 BITS = 22
 LEAST_Z = 8.0
 LEAST_TEXTS = 4
+MOST_FEATURES = 1 << 16
 SMOOTHING = 1.0
 # Classes of bytes for tokens: 0 white space, 1 letters, digits and non-ASCII, 2 the rest.
 KINDS = np.full(256, 2, np.uint8)
@@ -91,10 +92,15 @@ class Model:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, train: Column) -> DataFrame:
-    """(doc_id, y, text) of the training rows. Several labels of one id: the largest holds."""
+    """(doc_id, y, text) of the training rows. Several labels of one id: the largest holds.
+    Of rows with equal texts one is taken, with the largest label, so that a text with
+    thousands of copies counts once."""
     y = (labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).where(train)
          .groupBy("doc_id").agg(F.max(label).cast("int").alias("y")))
-    return docs.select("doc_id", text_of(F.col("text").cast("string")).alias("text")).join(y, "doc_id").select("doc_id", "text", "y")
+    rows = docs.select("doc_id", text_of(F.col("text").cast("string")).alias("text"))
+    once = (rows.select("doc_id", F.xxhash64("text").alias("key")).join(y, "doc_id")
+            .groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("y").alias("y")).groupBy("doc_id").agg(F.max("y").alias("y")))
+    return rows.join(once, "doc_id").select("doc_id", "text", "y")
 
 
 def class_counts(rows: DataFrame, features: Features) -> DataFrame:
@@ -127,7 +133,7 @@ def log_count_ratios(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, float,
     z = (p1 - p0) / F.sqrt(p * (1 - p) * (1 / ones + 1 / zeros) + 1e-12)
     ratio = F.log((F.col("ones") + SMOOTHING) / (ones + 2 * SMOOTHING)) - F.log((F.col("zeros") + SMOOTHING) / (zeros + 2 * SMOOTHING))
     told = (counts.where("place >= 0").where((F.col("ones") + F.col("zeros") >= LEAST_TEXTS) & (F.abs(z) >= LEAST_Z))
-            .select("place", ratio.alias("ratio")).toPandas().sort_values("place"))
+            .orderBy(F.abs(z).desc(), "place").limit(MOST_FEATURES).select("place", ratio.alias("ratio")).toPandas().sort_values("place"))
     return told["place"].to_numpy(np.int64), told["ratio"].to_numpy(float), ones, zeros
 
 
@@ -147,10 +153,10 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, featur
         for part, found, doc in features.each(batches, table):
             at = np.searchsorted(doc, np.arange(len(part) + 1))
             cols = [found[at[i] : at[i + 1]] for i in range(len(part))]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(cols, pa.list_(pa.int64()))], names=["doc_id", "y", "places"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([c.astype(np.int32) for c in cols], pa.list_(pa.int32()))], names=["doc_id", "y", "places"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = picked.mapInArrow(run, f"doc_id {kind}, y int, places array<long>").toPandas()
+    rows = picked.mapInArrow(run, f"doc_id {kind}, y int, places array<int>").toPandas()
     rows = rows.sort_values("doc_id", kind="stable")
     return [np.searchsorted(places, np.asarray(p, np.int64)) for p in rows["places"]], rows["y"].to_numpy(int)
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from paperfold.llm import nb_features as nb
 
 ORDERS = (1, 2)
-SAMPLE_PER_CLASS = 4000
+SAMPLE_PER_CLASS = 2000
 PASSES = 20
 COST = 0.1
 FEATURES = nb.Features(nb.tokens, ORDERS, echo=True)

@@ -5,10 +5,11 @@ smallest hash among its k-grams: equal windows have equal anchors, so two equal
 always meet in one shard, wherever they stand in the corpus. Neighbouring windows with one
 anchor form a segment; each window start lies in exactly one segment.
 
-1. Segments are counted by anchor. An anchor with one segment in the corpus ends here.
+1. Segments are counted by anchor. An anchor with one segment in the corpus ends here,
+   unless it stands twice in that segment (periodic text).
 2. Segments with equal bytes are counted once, with their multiplicity (a passage in a third
-   of all documents is one segment). Where all segments of an anchor are equal, no sorting
-   is needed: every window repeats.
+   of all documents is one segment). Where all segments of an anchor are equal, and none
+   holds it twice, no sorting is needed: every window repeats.
 3. The distinct segments of the other anchors go, with their bytes, to shards. A shard sorts
    its suffixes by induced sorting and computes permuted common prefixes; a run of suffixes
    that share LENGTH bytes is a class, and its windows repeat if the class holds two window
@@ -43,34 +44,49 @@ HOT_SEGMENTS = 4096
 SEEDS = (0, 0x5851F42D4C957F2D)
 
 
+def sliding(pick: np.ufunc, values: np.ndarray, width: int) -> np.ndarray:
+    """The least or greatest of every ``width`` neighbours, by doubling."""
+    span = 1
+    while 2 * span <= width:
+        values = pick(values[:-span], values[span:])
+        span *= 2
+    return pick(values[: len(values) - (width - span)], values[width - span :]) if span < width else values
+
+
 def segments(data: np.ndarray, at: np.ndarray, length: int, k: int, seed: int) -> tuple[np.ndarray, ...]:
-    """(document, first window start in it, number of starts, anchor, hash of the bytes)."""
+    """(document, first window start in it, number of starts, anchor, hash of the bytes, and
+    whether the anchor stands in the segment twice, without which no window can repeat within
+    it)."""
     n = len(data)
     empty = np.zeros(0, np.int64)
     if n < length:
-        return empty, empty, empty, empty, empty
+        return empty, empty, empty, empty, empty, empty
     sums = b.prefix(data)
-    least = b.mix((sums[k:] - sums[:-k]) * b.powers(n + 1, b.BASE_INV)[: n - k + 1] ^ b.U64(seed))
-    width, span = length - k + 1, 1
-    while 2 * span <= width:
-        least = np.minimum(least[:-span], least[span:])
-        span *= 2
-    if span < width:
-        least = np.minimum(least[: len(least) - (width - span)], least[width - span :])
+    gram = b.mix((sums[k:] - sums[:-k]) * b.powers(n + 1, b.BASE_INV)[: n - k + 1] ^ b.U64(seed))
+    width = length - k + 1
+    least = sliding(np.minimum, gram, width)
     whole = np.zeros(n + 1, np.int8)
     long = np.flatnonzero(np.diff(at) >= length)
     whole[at[long]] += 1
     whole[at[long + 1] - length + 1] -= 1
     where = np.flatnonzero(np.cumsum(whole[:-1], dtype=np.int8))
     if not len(where):
-        return empty, empty, empty, empty, empty
+        return empty, empty, empty, empty, empty, empty
     new = np.ones(len(where), bool)
     new[1:] = (where[1:] != where[:-1] + 1) | (least[where[1:]] != least[where[:-1]])
     first = np.flatnonzero(new)
     start, count = where[first], np.diff(np.r_[first, len(where)])
     doc = np.searchsorted(at, start, "right") - 1
     h = b.substring(sums, start, start + count + length - 1)
-    return doc, start - at[doc], count, least[start].view(np.int64), h.view(np.int64)
+    # A k-gram is an anchor of some window if the greatest of the minima around it is its own.
+    around = np.r_[np.zeros(width - 1, b.U64), least, np.zeros(width - 1, b.U64)]
+    anchors = np.flatnonzero(gram == sliding(np.maximum, around, width))
+    pair = np.flatnonzero((gram[anchors[1:]] == gram[anchors[:-1]]) & (anchors[1:] - anchors[:-1] <= width))
+    first, second = anchors[pair], anchors[pair + 1]
+    next_pair = np.searchsorted(first, start)
+    last = np.r_[second, len(data)][next_pair]
+    twice = last <= start + count - 1 + width - 1
+    return doc, start - at[doc], count, least[start].view(np.int64), h.view(np.int64), twice
 
 
 def repeated_starts(texts: list[bytes], counts: np.ndarray, starts: np.ndarray, length: int) -> list[tuple[int, int, int]]:
@@ -98,14 +114,14 @@ def segment_rows(docs: DataFrame, length: int, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, at in b.split(batch, "text"):
-                doc, start, count, anchor, h = segments(data, at, length, k, SEEDS[0])
+                doc, start, count, anchor, h, twice = segments(data, at, length, k, SEEDS[0])
                 pick = pa.array(doc)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(anchor), pa.array(h), rows.column(0).take(pick), rows.column(1).take(pick),
-                     pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))],
-                    names=["anchor", "h", "key_id", "key_text", "start", "starts"])
+                     pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(twice.astype(bool))],
+                    names=["anchor", "h", "key_id", "key_text", "start", "starts", "twice"])
 
-    return docs.mapInArrow(run, "anchor long, h long, key_id long, key_text long, start int, starts int")
+    return docs.mapInArrow(run, "anchor long, h long, key_id long, key_text long, start int, starts int, twice boolean")
 
 
 def deal_again(slices: DataFrame, length: int, k: int) -> DataFrame:
@@ -119,7 +135,7 @@ def deal_again(slices: DataFrame, length: int, k: int) -> DataFrame:
             joined = np.frombuffer(b"".join(texts), np.uint8)
             for lo, hi in b.blocks(joined, size):
                 part, at = joined[size[lo] : size[hi]], size[lo : hi + 1] - size[lo]
-                doc, start, count, anchor, _ = segments(part, at, length, k, SEEDS[1])
+                doc, start, count, anchor, _, _ = segments(part, at, length, k, SEEDS[1])
                 row = doc + lo
                 pick = pa.array(row)
                 own = batch.column(0).to_numpy(zero_copy_only=False)[row]
@@ -170,9 +186,9 @@ def cut_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", leng
     keyed = source.select("key_id", "key_text", "text")
     every = segment_rows(keyed, length, k)
     anchors = stages.put("anchors", every.groupBy("anchor").agg(
-        F.count(F.lit(1)).alias("n"), F.min("h").alias("least"), F.max("h").alias("most")
-    ).where("n > 1").select("anchor", (F.col("least") != F.col("most")).alias("mixed")))
-    shared = stages.put("shared", every.join(anchors, "anchor"))
+        F.count(F.lit(1)).alias("n"), F.min("h").alias("least"), F.max("h").alias("most"), F.max("twice").alias("twice")
+    ).where("n > 1 OR twice").select("anchor", ((F.col("least") != F.col("most")) | F.col("twice")).alias("mixed")))
+    shared = stages.put("shared", every.drop("twice").join(anchors, "anchor"))
 
     distinct = shared.where("mixed").groupBy("anchor", "h").agg(
         F.count(F.lit(1)).alias("copies"), F.min(F.struct("key_id", "key_text", "start", "starts")).alias("at"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from paperfold.llm import nb_features as nb
 
 ORDERS = (3, 4, 5)
-SAMPLE_PER_CLASS = 4000
+SAMPLE_PER_CLASS = 2000
 STEPS = 300
 RATE = 0.5
 DECAY = 1e-4
