@@ -3,8 +3,8 @@
 Features are hashed n-grams of units (characters or tokens) in 2 ** BITS places. How many
 labelled texts of each class hold a feature is counted over all of them by Spark; features
 whose rates differ by LEAST_Z standard errors or more stay, each scaled by its log-count
-ratio. A linear model is fitted on a bounded, hash-ordered sample of labelled rows
-(``per_class`` of each class) and is itself bounded by 2 ** BITS weights.
+ratio. Counting and fitting take bounded, hash-ordered samples of the labelled rows (their
+bounds are parameters), so training costs the same at any size; every text is scored.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from paperfold.llm.store import Stages, text_of
 BITS = 22
 LEAST_Z = 8.0
 LEAST_TEXTS = 4
+TASKS = 8  # for the bounded sample
 MOST_FEATURES = 1 << 16
 SMOOTHING = 1.0
 # Classes of bytes for tokens: 0 white space, 1 letters, digits and non-ASCII, 2 the rest.
@@ -91,16 +92,20 @@ class Model:
     bias: float
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, train: Column) -> DataFrame:
-    """(doc_id, y, text) of the training rows. Several labels of one id: the largest holds.
-    Of rows with equal texts one is taken, with the largest label, so that a text with
-    thousands of copies counts once."""
+def labelled(docs: DataFrame, labels: DataFrame, label: str, train: Column, per_class: int, stages: Stages) -> DataFrame:
+    """(doc_id, text, y) of at most ``per_class`` training rows of each class, in hash order.
+    Several labels of one id: the largest holds. Of rows with equal texts one is taken, so
+    that a text with many copies counts once. The chosen ids are broadcast: their number is
+    bounded, and no text is shuffled."""
     y = (labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).where(train)
          .groupBy("doc_id").agg(F.max(label).cast("int").alias("y")))
-    rows = docs.select("doc_id", text_of(F.col("text").cast("string")).alias("text"))
-    once = (rows.select("doc_id", F.xxhash64("text").alias("key")).join(y, "doc_id")
-            .groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("y").alias("y")).groupBy("doc_id").agg(F.max("y").alias("y")))
-    return rows.join(once, "doc_id").select("doc_id", "text", "y")
+    some = [y.where(F.col("y") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
+    chosen = stages.put("chosen", some[0].unionByName(some[1]))
+    rows = docs.select("doc_id", text_of(F.col("text").cast("string")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = stages.put("rows", rows.select("doc_id", "text", "y").coalesce(TASKS))
+    once = rows.groupBy(F.xxhash64("text").alias("key")).agg(F.min("doc_id").alias("doc_id"), F.max("y").alias("label"))
+    once = stages.put("once", once.groupBy("doc_id").agg(F.max("label").alias("label")))
+    return rows.join(F.broadcast(once), "doc_id").select("doc_id", "text", F.col("label").alias("y"))
 
 
 def class_counts(rows: DataFrame, features: Features) -> DataFrame:
@@ -137,15 +142,12 @@ def log_count_ratios(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, float,
     return told["place"].to_numpy(np.int64), told["ratio"].to_numpy(float), ones, zeros
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, features: Features,
-           places: np.ndarray, per_class: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """At most ``per_class`` labelled rows of each class, in hash order, as positions in
-    ``places``; so many rows fit the driver whatever the input."""
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).where(train)
-    some = [known.where(F.col(label).cast("int") == c).select("doc_id", label).distinct()
-            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
-    picked = labelled(docs, some[0].unionByName(some[1]), label, F.lit(True))
-    wanted = docs.sparkSession.sparkContext.broadcast(places)
+def sample(rows: DataFrame, features: Features, places: np.ndarray, per_class: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """At most ``per_class`` of the training rows of each class, in hash order, as positions
+    in ``places``."""
+    some = [rows.where(F.col("y") == c).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
+    picked = rows.join(F.broadcast(some[0].unionByName(some[1])), "doc_id").select("doc_id", "text", "y")
+    wanted = rows.sparkSession.sparkContext.broadcast(places)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << BITS, bool)
@@ -155,7 +157,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, featur
             cols = [found[at[i] : at[i + 1]] for i in range(len(part))]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([c.astype(np.int32) for c in cols], pa.list_(pa.int32()))], names=["doc_id", "y", "places"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kind = rows.schema["doc_id"].dataType.simpleString()
     rows = picked.mapInArrow(run, f"doc_id {kind}, y int, places array<int>").toPandas()
     rows = rows.sort_values("doc_id", kind="stable")
     return [np.searchsorted(places, np.asarray(p, np.int64)) for p in rows["places"]], rows["y"].to_numpy(int)
@@ -178,17 +180,20 @@ def score(docs: DataFrame, features: Features, model: Model, ident: str = "doc_i
     return docs.select(docs[ident].alias("doc_id"), text_of(docs["text"].cast("string")).alias("text")).mapInArrow(run, f"doc_id {kind}, margin double")
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str, rows: Column, features: Features, per_class: int,
+def train(docs: DataFrame, labels: DataFrame, label: str, train_on: Column, features: Features, counted: int, fitted: int,
           fit: Callable[[list[np.ndarray], np.ndarray, np.ndarray, float], tuple[np.ndarray, float]], name: str) -> Model:
-    """Counts all training rows, fits on the sample. Without both classes among them the
-    model has no feature and its bias is the log odds of the only class."""
+    """Counts at most ``counted`` and fits at most ``fitted`` labelled rows of each class.
+    Without both classes among them the model has no feature and its bias is the log odds of
+    the only class. The intercept follows the balance of the classes among all labels."""
     stages = Stages(docs.sparkSession, name)
-    counts = stages.put("counts", class_counts(labelled(docs, labels, label, rows), features))
-    places, ratios, ones, zeros = log_count_ratios(counts)
-    stages.drop("counts")
-    prior = math.log((ones + 1e-6) / (zeros + 1e-6))
-    if not len(places):
-        return Model(places, ratios, max(-30.0, min(30.0, prior)))
-    found, y = sample(docs, labels, label, rows, features, places, per_class)
-    weights, bias = fit(found, y, ratios, prior)
-    return Model(places, weights, bias)
+    known = labels.where(F.col(label).isNotNull()).where(train_on).agg(F.sum(F.col(label).cast("int")).alias("ones"), F.count(F.lit(1)).alias("n")).first()
+    prior = math.log(((known["ones"] or 0) + 1e-6) / (known["n"] - (known["ones"] or 0) + 1e-6))
+    rows = labelled(docs, labels, label, train_on, counted, stages)
+    counts = stages.put("counts", class_counts(rows, features))
+    places, ratios, _, _ = log_count_ratios(counts)
+    model = Model(places, ratios, max(-30.0, min(30.0, prior)))
+    if len(places):
+        found, y = sample(rows, features, places, fitted)
+        model = Model(places, *fit(found, y, ratios, prior))
+    stages.drop("counts", "rows", "once", "chosen")
+    return model
