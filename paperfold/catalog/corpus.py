@@ -332,7 +332,7 @@ def page_link_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("<tr><th>link</th><td> "), t, F.lit("</td></tr>")
     )), ""), F.lit("</table>"))
     pages = b.texts(spark, sf_dir, "pages").select("page_id", F.array(body).alias("t"))
-    rows = F.get(B.table_cells("t", F.transform("t", B.untagged)), F.lit(0))["rows"]
+    rows = F.get(B.table_cells("t"), F.lit(0))["rows"]
     return pages.withColumn("rows", rows).filter(F.size("rows") > 0).select(
         "page_id", F.size("rows").alias("n_rows"),
         F.array_join(F.transform("rows", lambda r: F.get(r, F.lit(1))), "|").alias("labels"),

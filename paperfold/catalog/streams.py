@@ -6,7 +6,7 @@ to the session's shared folder and returns what was written.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperfold.catalog import bridge as b
@@ -64,11 +64,11 @@ def job_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Message stream split into jobs and dead letters."""
     dead, live = fresh_dir(spark, "dead"), fresh_dir(spark, "live")
 
-    def keep(jobs: DataFrame) -> None:
-        jobs.select("event_id", "job_id").write.mode("append").parquet(live)
+    def keep(jobs: DataFrame, batch_id: int) -> None:
+        jobs.select("event_id", "job_id").write.mode("overwrite").parquet(f"{live}/batch={batch_id}")
 
     run_to_end(J.ingest_stream(
-        messages(table_stream(spark, sf_dir, "events")), keep, dead, fresh_dir(spark, "ckpt")
+        messages(table_stream(spark, sf_dir, "events")), keep, dead, fresh_dir(spark, "ckpt"), with_id=True
     ))
     return spark.read.parquet(live).select(
         "event_id", "job_id", F.lit(None).cast("string").alias("problem")
@@ -78,9 +78,11 @@ def job_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FATE_SQL = """
-SELECT 'j' || user_id AS job_id, count(*) AS receives,
-  CASE WHEN bool_or(event_type = 'purchase') THEN 'acked' WHEN count(*) >= 3 THEN 'dead_letter'
-       ELSE 'retry' END AS fate FROM events GROUP BY user_id"""
+SELECT job_id, CASE WHEN first_ok <= 3 THEN first_ok WHEN n >= 3 THEN 3 ELSE n END AS receives,
+  CASE WHEN first_ok <= 3 THEN 'acked' WHEN n >= 3 THEN 'dead_letter' ELSE 'retry' END AS fate
+FROM (SELECT 'j' || user_id AS job_id, count(*) AS n, min(rn) FILTER (WHERE ok) AS first_ok FROM (
+    SELECT user_id, event_type = 'purchase' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn
+    FROM events) GROUP BY user_id)"""
 
 
 def receives(events: DataFrame) -> DataFrame:
@@ -289,24 +291,9 @@ def study_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         b.no_filters().alias("filters"), F.lit(15).alias("top_k"),
     )
     plans = items.select(rid, F.to_json(F.struct(
-        F.array(F.array_join(F.slice(F.split("text", " "), 1, 30), " ")).alias("semantic_queries"),
+        F.array("text").alias("semantic_queries"),
         F.when(k % 6 == 5, "out_of_scope").otherwise("content_retrieval").alias("intent"),
     )).alias("plan_json"), F.lit(None).cast("string").alias("plan_error"))
-    accepted = F.transform(F.sequence(F.lit(0), F.lit(900)), lambda i: F.concat(F.lit("d"), i))
-    grades = items.select(rid, F.explode(F.array(F.lit(1), F.lit(2))).alias("pass"), F.to_json(
-        F.struct(
-            F.when(k % 4 == 0, F.array().cast("array<string>")).otherwise(accepted)
-            .alias("accepted_chunk_ids"), F.lit("").alias("critique"),
-        )).alias("grade_json"))
-    again = items.select(rid, F.concat(F.lit("more "), "text").alias("reformulated_query"))
-    drafts = items.select(rid, F.to_json(F.struct(
-        F.lit("ok").alias("answer_status"), F.lit("found").alias("overview"),
-        F.array(F.struct(F.lit("a").alias("label"), F.lit("b").alias("summary"),
-                         F.array(F.lit("d0"), F.lit("d1")).alias("supporting_chunk_ids")))
-        .alias("patterns"),
-        F.array().cast("array<struct<chunk_id:string,why_cited:string>>").alias("cited_sources"),
-        F.array().cast("array<string>").alias("limitations"),
-    )).alias("draft_json"))
     embed = hashing_embedder(64)
     vectors = b.text_vectors(spark, sf_dir)
     stored = b.stored_chunks(spark, sf_dir)
@@ -316,6 +303,27 @@ def study_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
             queries.withColumn("vector", embed("query")), vectors, stored, None, lexical_overlap
         )
 
+    def judged(query: Column, n: int) -> DataFrame:
+        """Grader output of a pass: every result of that pass's own search is accepted."""
+        found = searcher(requests.select(F.col("request_id").alias("query_id"), query.alias("query"), "collection",
+                                         "filters", F.col("top_k").alias("limit"), F.lit(True).alias("rerank")))
+        k = F.substr("query_id", F.lit(2)).cast("bigint")
+        return found.groupBy("query_id").agg(F.collect_list("chunk_id").alias("ids")).select(
+            F.col("query_id").alias("request_id"), F.lit(n).alias("pass"), F.to_json(F.struct(
+                F.when(k % 4 == 0, F.array().cast("array<string>")).otherwise(F.col("ids")).alias("accepted_chunk_ids"),
+                F.lit("").alias("critique"))).alias("grade_json"))
+
+    grades = materialise(judged(F.col("query"), 1).unionByName(
+        judged(F.concat(F.lit("more "), F.col("query")), 2)), "grades")
+    again = items.select(rid, F.concat(F.lit("more "), "text").alias("reformulated_query"))
+    drafts = items.select(rid, F.to_json(F.struct(
+        F.lit("ok").alias("answer_status"), F.lit("found").alias("overview"),
+        F.array(F.struct(F.lit("a").alias("label"), F.lit("b").alias("summary"),
+                         F.array(F.lit("d0"), F.lit("d1")).alias("supporting_chunk_ids")))
+        .alias("patterns"),
+        F.array().cast("array<struct<chunk_id:string,why_cited:string>>").alias("cited_sources"),
+        F.array().cast("array<string>").alias("limitations"),
+    )).alias("draft_json"))
     out = ST.study(requests, plans, searcher, grades, again, drafts)
     return out.select(
         "request_id", "intent", "planning_status", "answer_status", "retrieval_status",

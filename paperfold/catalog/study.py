@@ -157,7 +157,7 @@ def negative_top_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT query, source, min(pos) AS pos FROM (
   SELECT query, pos, source, min(source) OVER (PARTITION BY query) AS first FROM (
     SELECT text AS query, item_id AS pos, 0 AS source FROM benchmark
-    UNION ALL SELECT substr(text, 1, 8), conv_id * 1000 + turn, 1 FROM conversations WHERE role = 'user'))
+    UNION ALL SELECT text, conv_id * 1000 + turn, 1 FROM conversations WHERE role = 'user'))
 WHERE source = first GROUP BY query, source""")
 def query_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = b.table(spark, sf_dir, "benchmark").select(
@@ -165,7 +165,7 @@ def query_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     asked = b.table(spark, sf_dir, "conversations").filter("role = 'user'").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("pos"),
-        F.substring("text", 1, 8).alias("query"),
+        F.col("text").alias("query"),
     )
     return E.union_queries(listed, asked)
 
@@ -250,11 +250,9 @@ def abstention_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def plan_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conversations turns as raw queries with planner output of mixed quality."""
     k = F.col("conv_id") + F.col("turn")
-    words = F.array_join(F.slice(F.split("text", " "), 1, 45), " ")
-    short = F.array_join(F.slice(F.split("text", " "), 1, 5), " ")
     intent = F.when(k % 7 == 6, "unheard_of").when(k % 3 == 1, "ambiguous").otherwise("content_retrieval")
     plan = F.to_json(F.struct(
-        F.array(F.when(k % 7 == 5, words).otherwise(F.concat(F.lit(" "), short))).alias("semantic_queries"),
+        F.array(F.concat(F.lit(" "), F.col("text"))).alias("semantic_queries"),
         intent.alias("intent"), F.lit(" be brief ").alias("generation_guidance"),
         F.when(k % 7 == 4, "x").alias("extra"),
     ))
@@ -271,11 +269,10 @@ SELECT request_id, CASE WHEN err IS NULL THEN 'ok' ELSE 'fallback' END AS planni
   CASE WHEN err IS NULL AND k % 3 = 1 THEN 'direct_response' ELSE 'retrieval' END AS workflow,
   CASE WHEN err IS NULL AND k % 3 = 1 THEN 'needs_refinement' END AS response_kind,
   CASE WHEN err IS NULL AND k % 3 <> 1 THEN 'be brief' ELSE '' END AS guidance,
-  md5(CASE WHEN err IS NULL THEN trim(array_to_string(string_split(text, ' ')[1:CASE WHEN k % 7 = 5 THEN 45 ELSE 5 END], ' '), """
-  + "' ' || chr(10)" + """) ELSE text END) AS query_digest
+  md5(CASE WHEN err IS NULL THEN trim(text, ' ' || chr(10)) ELSE text END) AS query_digest
 FROM (SELECT *, CASE WHEN k % 7 = 2 THEN 'provider_timeout'
     WHEN k % 7 IN (3, 4, 6) THEN 'schema_validation_failed'
-    WHEN k % 7 = 5 AND len(list_filter(regexp_split_to_array(array_to_string(string_split(text, ' ')[1:45], ' '), '\\s+'), lambda w: w <> '')) > 40 THEN 'invalid_plan' END AS err
+    WHEN len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) > 40 THEN 'invalid_plan' END AS err
   FROM (SELECT conv_id || '-' || turn AS request_id, conv_id + turn AS k, text FROM conversations))""")
 def plan_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ST.route(ST.validate_plans(plan_outputs(spark, sf_dir)))
@@ -285,30 +282,28 @@ def plan_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def grades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grader output per benchmark query."""
-    k = F.col("item_id")
-    good = F.to_json(F.struct(
-        F.when(k % 4 == 0, F.array().cast("array<string>")).otherwise(F.transform(
-            F.sequence(F.lit(0), F.lit(400)), lambda i: F.concat(F.lit("d"), (i * 2 + k % 2))
-        )).alias("accepted_chunk_ids"), F.lit("").alias("critique"),
-    ))
-    return b.table(spark, sf_dir, "benchmark").select(
-        F.concat(F.lit("q"), k).alias("request_id"), F.lit(1).alias("pass"),
-        F.when(k % 5 == 3, "not json").otherwise(good).alias("grade_json"),
+def grades(results: DataFrame) -> DataFrame:
+    """Grader output per benchmark query: of its results (request_id, chunk_id), at most as
+    many as the search limit, those with an id of the query's parity are accepted."""
+    k = F.substr("request_id", F.lit(2)).cast("bigint")
+    own = F.substr("chunk_id", F.lit(2)).cast("bigint") % 2 == k % 2
+    accepted = F.collect_list(F.when(own & (k % 4 != 0), F.col("chunk_id")))
+    good = F.to_json(F.struct(F.col("accepted").alias("accepted_chunk_ids"), F.lit("").alias("critique")))
+    return results.groupBy("request_id").agg(accepted.alias("accepted")).select(
+        "request_id", F.lit(1).alias("pass"), F.when(k % 5 == 3, "not json").otherwise(good).alias("grade_json"),
     )
 
 
 @query("grade_decisions", with_ctes("ch", "tok", then=RANKED_SQL + """,
 g AS (SELECT r.*, CAST(r.query_id[2:] AS BIGINT) AS k, CAST(r.chunk_id[2:] AS BIGINT) AS n FROM results r),
 a AS (SELECT query_id, k, count(*) AS retrieved,
-   count(*) FILTER (WHERE k % 4 <> 0 AND n % 2 = k % 2 AND n <= 801) AS kept FROM g GROUP BY ALL)""", body="""
+   count(*) FILTER (WHERE k % 4 <> 0 AND n % 2 = k % 2) AS kept FROM g GROUP BY ALL)""", body="""
 SELECT query_id AS request_id, retrieved, CASE WHEN k % 5 = 3 THEN 'keep_all' WHEN kept > 0 THEN 'keep'
     ELSE 'requery' END AS decision,
   CASE WHEN k % 5 = 3 THEN retrieved WHEN kept > 0 THEN kept ELSE 0 END AS kept FROM a"""))
 def grade_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     results = ranked_results(spark, sf_dir).withColumnRenamed("query_id", "request_id")
-    out = ST.grade_decisions(results, grades(spark, sf_dir))
+    out = ST.grade_decisions(results, grades(results))
     return out.select("request_id", F.size("retrieved").alias("retrieved"), "decision",
                       F.size("kept_ids").alias("kept"))
 

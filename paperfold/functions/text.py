@@ -167,7 +167,7 @@ def display_name(c: Column | str) -> Column:
     titled = F.transform(
         parts,
         lambda p: F.when((F.upper(p) == p) & (F.lower(p) != p), p).otherwise(
-            F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substring(p, 2, 1 << 20)))
+            F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substr(p, F.lit(2))))
         ),
     )
     return F.when(F.size(parts) == 0, name).otherwise(F.array_join(titled, " "))

@@ -149,7 +149,7 @@ def explode_artifacts(manifests: DataFrame) -> DataFrame:
 def namespace_problem(run: Column, kind: Column, key: Column) -> Column:
     """Why an artifact key does not belong to its run; NULL when it does."""
     prefix = F.concat(F.lit("artifacts/mineru/"), run, F.lit("/images/"))
-    name = F.substring(key, F.length(prefix) + 1, F.lit(1 << 20))
+    name = F.substr(key, F.length(prefix) + 1)
     return (
         F.when(~kind.isin("content_list", "markdown", "image"), "unsupported_kind")
         .when((kind == "image") & ~key.startswith(prefix), "image_outside_namespace")
@@ -211,14 +211,16 @@ def map_media(media: DataFrame, artifacts: DataFrame) -> tuple[DataFrame, DataFr
 
 
 def integrity_problems(files: DataFrame, artifacts: DataFrame) -> DataFrame:
-    """Files (key, content) whose hash or size differs from the manifest."""
+    """Declared artifacts without a file, and files (key, content) whose hash or size
+    differs from the manifest."""
     actual = files.select(
         "key", F.sha2("content", 256).alias("_sha"),
         F.length("content").cast("bigint").alias("_size"),
     )
-    return artifacts.join(actual, "key").select(
+    return artifacts.join(actual, "key", "left").select(
         "key",
-        F.when(F.col("_sha") != F.col("sha256_hex"), "hash_mismatch")
+        F.when(F.col("_sha").isNull(), "file_missing")
+        .when(F.col("_sha") != F.col("sha256_hex"), "hash_mismatch")
         .when(F.col("_size") != F.col("size_bytes"), "size_mismatch").alias("problem"),
     ).filter(F.col("problem").isNotNull())
 

@@ -124,6 +124,13 @@ def filter_violations(queries: DataFrame, schema_fields: DataFrame) -> DataFrame
     ).filter(F.col("reason").isNotNull())
 
 
+def whole_number(text: Column) -> Column:
+    """An integer of any length in its plain form: no sign +, underscores or leading zeros."""
+    bare = F.replace(F.trim(text), F.lit("_"), F.lit(""))
+    digits = F.regexp_extract(bare, r"^[+-]?0*([0-9]*)$", 1)
+    return F.when(digits == "", "0").otherwise(F.concat(F.when(bare.startswith("-"), "-").otherwise(""), digits))
+
+
 def parse_filter_strings(df: DataFrame, column: str) -> DataFrame:
     """field:op:value text -> field, op, value, value_type, error (NULL when fine)."""
     raw = F.col(column)
@@ -140,7 +147,7 @@ def parse_filter_strings(df: DataFrame, column: str) -> DataFrame:
     )
     canonical = (
         F.when(lowered.isin("true", "false"), lowered)
-        .when(is_int, F.replace(F.trim(text), F.lit("_"), F.lit("")).try_cast("decimal(38,0)").cast("string"))
+        .when(is_int, whole_number(text))
         .otherwise(text)
     )
     error = (
@@ -165,7 +172,7 @@ def url_filter_params(url: Column | str) -> Column:
     """Values of all 'filter' parameters of a URL, decoded once."""
     query = F.regexp_extract(as_col(url), r"\?([^#]*)", 1)
     pairs = F.filter(F.split(query, "&"), lambda p: p.rlike(r"\Afilter="))
-    return F.transform(pairs, lambda p: F.try_url_decode(F.substring(p, 8, 1 << 20)))
+    return F.transform(pairs, lambda p: F.try_url_decode(F.substr(p, F.lit(8))))
 
 
 def parse_url_filters(df: DataFrame, column: str, schema: list[dict] | None) -> DataFrame:

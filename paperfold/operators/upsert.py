@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from paperfold.session import fresh_dir
@@ -50,9 +51,16 @@ def bucket_of(column: str = "chunk_id", buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(buckets)).cast("int")
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame | None:
+def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame | None:
+    """The stored table, or None. ``schema`` types the partition columns: left to themselves
+    they are guessed from folder names, and collection "007" would come back as 7."""
     try:
-        return spark.read.parquet(path)
+        found = spark.read.parquet(path)
+        if schema is None:
+            return found
+        known = {f.name: f for f in schema}
+        own = [known.get(f.name, f) for f in found.schema]
+        return spark.read.schema(T.StructType(own)).parquet(path)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
             return None
@@ -68,7 +76,7 @@ def upsert_table(path: str, incoming: DataFrame, keys: list[str]) -> None:
     require_none(
         fresh.groupBy(*keys).count().filter("count > 1"), f"duplicate keys for {path}"
     )
-    stored = read_table(spark, path)
+    stored = read_table(spark, path, T.StructType([fresh.schema[c] for c in PARTITIONS]))
     if stored is None:
         merged = fresh
     else:

@@ -3,10 +3,11 @@
 Single query: a JVM expression and ORDER BY ... LIMIT (TakeOrderedAndProject).
 
 Query table: every vector is read once. Up to ``MAX_BROADCAST_QUERIES`` queries
-(the count is checked) are broadcast as one matrix; each vector partition keeps a
-running top-k per query, so only k rows per query and partition are shuffled. A
-larger table goes over a grid of (query block, vector block) groups, each of
-bounded size, with the same kernel. Both give the same exact result.
+(count and bytes are taken in Spark before anything is pulled) are broadcast, one
+matrix per collection; each vector partition keeps a running top-k per query, so only
+k rows per query and partition are shuffled. A larger table goes over a grid of (query
+block, vector block) groups of one collection, each of bounded size, with the same
+kernel. Both give the same exact result.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ from paperfold.functions.text import as_col
 MAX_BROADCAST_QUERIES = 4096
 MAX_BROADCAST_BYTES = 64 << 20
 QUERY_BLOCK = 2048
-VECTOR_BLOCK = 65536
+VECTOR_BLOCK = 16384
+MAX_FILTER_SETS = 64  # so many distinct filter sets are pushed to the scan as one predicate
 SCORE_DIGITS = 12  # equal vectors must tie whatever order the sums were taken in
 CANDIDATES = T.StructType().add("query_id", T.StringType()).add(
     "chunk_id", T.StringType()
@@ -82,29 +84,38 @@ class QuerySet:
     def __init__(self, rows: pd.DataFrame) -> None:
         self.ids = rows["query_id"].astype(str).to_numpy()
         self.k = rows["k"].to_numpy(dtype=np.int64)
-        self.matrix = normalise(np.stack([np.asarray(v) for v in rows["vector"]]))
         # collection -> filter list -> positions of the queries that share both
         self.groups: dict[str, dict[str, list[int]]] = {}
         for i, (collection, filters) in enumerate(zip(rows["collection"], rows["filters"])):
             self.groups.setdefault(collection, {}).setdefault(filters, []).append(i)
+        # a matrix per group: collections may differ in dimension
+        vectors = [np.asarray(v) for v in rows["vector"]]
+        self.matrix = {
+            (collection, filters): normalise(np.stack([vectors[i] for i in members]))
+            for collection, sets in self.groups.items() for filters, members in sets.items()
+        }
 
     def score(self, batch: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Per query: its best chunk ids and scores within one batch of vectors."""
         if batch.empty:
             return
-        vectors = np.stack([np.asarray(v) for v in batch["embedding"]])
-        if vectors.shape[1] != self.matrix.shape[1]:
-            raise ValueError("query dimension mismatch")
-        unit = normalise(vectors)
         ids = np.asarray(batch["chunk_id"].astype(str), dtype=object)
         for collection, at in batch.groupby("collection").indices.items():
-            for filters, members in self.groups.get(collection, {}).items():
+            if collection not in self.groups:
+                continue
+            own = normalise(np.stack([np.asarray(v) for v in batch["embedding"].iloc[at]]))
+            unit = np.zeros((len(batch), own.shape[1]))
+            unit[at] = own
+            for filters, members in self.groups[collection].items():
                 rows = at
                 for item in json.loads(filters):
                     rows = rows[matches(batch[item["field"]].iloc[rows], item)]
                 if len(rows) == 0:
                     continue
-                scores = np.round(unit[rows] @ self.matrix[members].T, SCORE_DIGITS)
+                matrix = self.matrix[collection, filters]
+                if matrix.shape[1] != unit.shape[1]:
+                    raise ValueError("query dimension mismatch")
+                scores = np.round(unit[rows] @ matrix.T, SCORE_DIGITS)
                 for j, q in enumerate(members):
                     keep = best(scores[:, j], ids[rows], int(self.k[q]))
                     yield q, ids[rows][keep], scores[keep, j]
@@ -187,43 +198,69 @@ def top_k_batch(
         F.col("vector").cast("array<double>").alias("vector"), F.col("k").cast("int").alias("k"),
         "filters",
     )
-    head = queries.limit(max_broadcast + 1).toPandas()
-    size = sum(len(v) * 8 for v in head["vector"])
-    if len(head) <= max_broadcast and size <= MAX_BROADCAST_BYTES:
+    n, size, deepest = queries.limit(max_broadcast + 1).agg(
+        F.count(F.lit(1)), F.coalesce(F.sum(F.size("vector") * 8), F.lit(0)), F.max("k")
+    ).first()
+    if n <= max_broadcast and size <= MAX_BROADCAST_BYTES:
+        head = queries.toPandas()
         if head.empty:
             return keep_top(spark.createDataFrame([], CANDIDATES), 1)
         shared = spark.sparkContext.broadcast(head)
-        # a literal list: static partition pruning and a predicate the scan understands
-        named = sorted(set(head["collection"]))
-        scoped = vectors.filter(F.col("collection").isin(named)) if len(named) <= 256 else vectors
+        scoped = pushed(vectors, head)
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield _merge(QuerySet(shared.value), batches)
 
-        return keep_top(scoped.mapInPandas(scan, CANDIDATES), int(head["k"].max()))
-    wanted = queries.select("collection").distinct()
-    scoped = vectors.join(wanted, "collection", "left_semi")
+        return keep_top(scoped.mapInPandas(scan, CANDIDATES), int(deepest))
     deepest = queries.agg(F.max("k")).first()[0]
-    return keep_top(_grid(scoped, queries), deepest)
+    return keep_top(_grid(vectors, queries), deepest)
+
+
+def pushed(vectors: DataFrame, head: pd.DataFrame) -> DataFrame:
+    """The vectors that some query may ask for, with the columns that the queries name.
+
+    The collections are a literal list, for static partition pruning; where every query
+    filters, the scan also gets the disjunction of their filter sets.
+    """
+    sets = [json.loads(f) for f in sorted(set(head["filters"]))]
+    fields = sorted({item["field"] for items in sets for item in items})
+    scoped = vectors.filter(F.col("collection").isin(sorted(set(head["collection"]))))
+    if all(sets) and len(sets) <= MAX_FILTER_SETS:
+        def condition(item: dict) -> Column:
+            c = F.col(item["field"])
+            return {"eq": c.__eq__, "gte": c.__ge__, "lte": c.__le__}[item["op"]](F.lit(item["value"]))
+
+        any_set = F.lit(False)
+        for items in sets:
+            every = F.lit(True)
+            for item in items:
+                every = every & condition(item)
+            any_set = any_set | every
+        scoped = scoped.filter(any_set)
+    own = ("collection", "chunk_id", "embedding")
+    return scoped.select(*own, *[f for f in fields if f not in own])
 
 
 def _grid(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query block, vector block) groups: hash-salted, so a hot collection spreads."""
-    n_q = max(1, -(-queries.count() // QUERY_BLOCK))
-    n_v = max(1, -(-vectors.count() // VECTOR_BLOCK))
-    q = queries.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int"))
-    q = q.withColumn("_v", F.explode(F.sequence(F.lit(0), F.lit(n_v - 1))))
-    v = vectors.withColumn(
-        "_v", F.pmod(F.xxhash64("collection", "chunk_id"), F.lit(n_v)).cast("int")
-    )
-    v = v.withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
+    """(collection, query block, vector block) groups: a query meets the vectors of its own
+    collection only. Blocks are hash-salted, so a hot collection spreads over many tasks;
+    how many a collection needs is counted in a DataFrame."""
+    def blocks(df: DataFrame, size: int, name: str) -> DataFrame:
+        return df.groupBy("collection").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+
+    shape = blocks(queries, QUERY_BLOCK, "_nq").join(blocks(vectors, VECTOR_BLOCK, "_nv"), "collection")
+    q = queries.join(shape, "collection").withColumn("_q", F.pmod(F.xxhash64("query_id"), "_nq").cast("int"))
+    q = q.withColumn("_v", F.explode(F.sequence(F.lit(0), F.col("_nv") - 1)))
+    v = vectors.join(shape, "collection").withColumn("_v", F.pmod(F.xxhash64("chunk_id"), "_nv").cast("int"))
+    v = v.withColumn("_q", F.explode(F.sequence(F.lit(0), F.col("_nq") - 1)))
+    by = ["collection", "_q", "_v"]
 
     def block(q_rows: pd.DataFrame, v_rows: pd.DataFrame) -> pd.DataFrame:
         if q_rows.empty or v_rows.empty:
             return _emit(None, {})
         return _merge(QuerySet(q_rows), iter([v_rows]))
 
-    return q.groupBy("_q", "_v").cogroup(v.groupBy("_q", "_v")).applyInPandas(block, CANDIDATES)
+    return q.drop("_nq", "_nv").groupBy(*by).cogroup(v.drop("_nq", "_nv").groupBy(*by)).applyInPandas(block, CANDIDATES)
 
 
 def score_order(score: str = "score") -> Column:

@@ -593,10 +593,7 @@ def parse_questions(papers: DataFrame, profile: Profile) -> DataFrame:
         lambda x: x["type"] == "table",
     )
     df = df.withColumn("t", table_rows)
-    df = df.withColumn("tables", B.table_cells(
-        F.transform("t", lambda x: x["body"]),
-        F.transform("t", lambda x: B.untagged(x["body"])),
-    ))
+    df = df.withColumn("tables", B.table_cells(F.transform("t", lambda x: x["body"])))
     df = df.withColumn("table_at", F.transform("t", lambda x: x["i"]))
     df = with_sub_questions(df, profile)
     df = df.withColumn("preamble", preamble_text(F.col("segs"), F.col("starts")))

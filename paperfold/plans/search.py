@@ -14,6 +14,14 @@ from paperfold.operators.filters import filter_violations, request_reject_reason
 from paperfold.schemas import CHUNK_LEVELS
 
 Reranker = Callable[[Column, Column], Column]
+MAX_FOUND = 200_000
+MAX_COLLECTIONS = 50_000
+
+
+def small(df: DataFrame, most: int = MAX_COLLECTIONS) -> DataFrame:
+    """Broadcast if it has at most ``most`` rows (counted, up to one more): a join on a few
+    collection names would otherwise put all rows of a collection in one task."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def vector_table(chunks: DataFrame, embeddings: DataFrame, schema: list[dict],
@@ -49,6 +57,27 @@ def split_valid(queries: DataFrame, schema_fields: DataFrame) -> tuple[DataFrame
     return checked.filter(F.col("reason").isNull()).drop("reason"), rejects
 
 
+def search_checked(queries: DataFrame, vectors: DataFrame, chunks: DataFrame, schema_fields: DataFrame,
+                   collections: DataFrame, reranker: Reranker | None = None) -> tuple[DataFrame, DataFrame]:
+    """(results, rejects): queries are checked before any vector is read.
+
+    A query is rejected (query_id, reason) for a limit, for a filter against the schema, for
+    a collection that doesn't exist, and for a vector of another dimension than its
+    collection's; the others run. collections: as for ``search``, with embedding_dimension
+    and embedding_model_id (vectors of other models are left out).
+    """
+    valid, rejects = split_valid(queries, schema_fields)
+    known = small(collections.select(F.col("name").alias("collection"), "embedding_dimension", "embedding_model_id"))
+    df = valid.join(known, "collection", "left").withColumn("reason", (
+        F.when(F.col("embedding_dimension").isNull(), "collection_not_found")
+        .when(F.size("vector") != F.col("embedding_dimension"), "dimension_mismatch")
+    ))
+    rejects = rejects.unionByName(df.filter(F.col("reason").isNotNull()).select("query_id", "reason"))
+    runnable = df.filter(F.col("reason").isNull()).select(*queries.columns)
+    current = vectors.join(known.select("collection", "embedding_model_id"), ["collection", "embedding_model_id"], "left_semi")
+    return search(runnable, current, chunks, collections, reranker), rejects
+
+
 def candidates(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     """(query_id, chunk_id, score, vec_rank) with the over-fetch depth applied."""
     asked = queries.select(
@@ -76,18 +105,25 @@ def search(
     chunks: DataFrame,
     collections: DataFrame | None = None,
     reranker: Reranker | None = None,
+    model_id: str | None = None,
 ) -> DataFrame:
     """Ranked results of every query.
 
     queries: query_id, query, collection, vector, filters array<FILTER>, limit, rerank.
     collections (name, vector_min_score, rerank_min_score): thresholds, when given.
-    Wide columns (text, blocks, media) join back only after the top-k.
+    Wide columns (text, blocks, media) join back only after the top-k: while the asked
+    depths sum to at most MAX_FOUND rows (taken first), what was found is broadcast, so the
+    chunk table is read where it lies. ``model_id`` keeps other models' vectors out.
     """
+    if model_id is not None:
+        vectors = vectors.filter(F.col("embedding_model_id") == model_id)
     found = candidates(queries, vectors)
     asked = queries.select(
         F.col("query_id").cast("string").alias("query_id"), "query", "collection", "limit", "rerank"
     )
-    df = found.join(asked, "query_id").join(chunks, ["collection", "chunk_id"])
+    found = found.join(asked, "query_id")
+    depth = queries.agg(F.sum(V.candidate_depth(F.col("limit"), F.col("rerank")))).first()[0] or 0
+    df = (F.broadcast(found) if depth <= MAX_FOUND else found).join(chunks, ["collection", "chunk_id"])
     reranked = F.col("rerank") & F.lit(reranker is not None)
     if reranker is not None:
         second = F.when(F.col("rerank"), reranker(F.col("query"), F.col("text")))
@@ -107,7 +143,7 @@ def search(
         limits = collections.select(
             F.col("name").alias("collection"), "vector_min_score", "rerank_min_score"
         )
-        df = df.join(limits, "collection", "left")
+        df = df.join(small(limits), "collection", "left")
         minimum = F.when(reranked, F.col("rerank_min_score")).otherwise(F.col("vector_min_score"))
         df = df.filter(passes_threshold(F.col("score"), minimum))
         drop += ["vector_min_score", "rerank_min_score"]

@@ -55,7 +55,7 @@ HTTP_OUTCOMES = {
     413: "request_too_large", 429: "rate_limited", 504: "timeout",
     503: "service_unavailable", 404: "not_found", 403: "forbidden", 422: "invalid_request",
 }
-RETRIEVAL_FAILED = "Retrieval failed before any past questions could be selected."
+FALLBACK_SOURCES = 10
 NOTHING_FOUND = "No past questions matched the query."
 ABSTAINED = (
     "No retrieved questions were sufficiently relevant to your query. "
@@ -293,10 +293,13 @@ def study(
         budget, single_cap(cap, budget),
     )
     summary = packing_summary(packed).withColumnRenamed("query_id", "request_id")
-    all_ids = first.select("request_id", "chunk_id").join(
+    # Where nothing could be packed, the first results of the last search are shown.
+    last = first.select("request_id", "chunk_id", "rank").join(
         again.select("request_id"), "request_id", "left_anti"
-    ).unionByName(second.select("request_id", "chunk_id"))
-    valid = all_ids.groupBy("request_id").agg(F.collect_set("chunk_id").alias("valid_ids"))
+    ).unionByName(second.select("request_id", "chunk_id", "rank"))
+    shown = last.filter(F.col("rank") <= FALLBACK_SOURCES).groupBy("request_id").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda x: x["chunk_id"]
+    ).alias("first_ids"))
 
     df = planned.select(
         "request_id", "query", "collection", "workflow", "intent", "direct_message",
@@ -304,7 +307,10 @@ def study(
         (F.size("filters") > 0).alias("has_filters"),
     )
     df = df.join(final, "request_id", "left").join(summary, "request_id", "left")
-    df = df.join(valid, "request_id", "left").join(
+    df = df.join(shown, "request_id", "left").withColumn(
+        # Only what the model was shown may be cited.
+        "valid_ids", F.coalesce("context_chunk_ids", F.array().cast("array<string>"))
+    ).join(
         drafts.select("request_id", "draft_json"), "request_id", "left"
     )
     df = df.withColumn("draft", C.parse_draft(F.col("draft_json")))
@@ -355,6 +361,7 @@ def study(
         F.when(F.col("retrieval_status") == "ok", F.coalesce("context_chunk_ids", none))
         .otherwise(none).alias("context_chunk_ids"),
         F.when(answered, C.cited_ids(F.col("kept_patterns"), F.col("kept_sources")))
+        .when(unpacked, F.coalesce("first_ids", none))
         .when(F.col("generation_error").isNotNull(), F.coalesce("context_chunk_ids", none))
         .otherwise(none).alias("source_ids"),
         F.when(answered | F.col("generation_error").isNotNull(), F.col("citation_drops"))

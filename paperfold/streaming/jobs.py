@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
@@ -63,16 +64,24 @@ def split_messages(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def attempts(receives: DataFrame, limit: int = MAX_RECEIVES) -> DataFrame:
-    """Batch form: per job its receives, failures and fate.
+    """Batch form: per job its receives and fate.
 
-    receives: job_id, ok. A success acknowledges the job; ``limit`` receives without
-    one send it to the dead letters.
+    receives: job_id, ok, seq (arrival order). The first success acknowledges the job;
+    ``limit`` receives without one send it to the dead letters. What comes after either
+    does not count.
     """
-    return receives.groupBy("job_id").agg(
-        F.count(F.lit(1)).alias("receives"), F.bool_or("ok").alias("done")
-    ).withColumn("fate", F.when(F.col("done"), "acked").when(
-        F.col("receives") >= limit, "dead_letter"
-    ).otherwise("retry")).drop("done")
+    nth = F.row_number().over(W.partitionBy("job_id").orderBy("seq"))
+    return receives.withColumn("nth", nth).filter(F.col("nth") <= limit).groupBy("job_id").agg(
+        F.max("nth").alias("n"), F.min(F.when(F.col("ok"), F.col("nth"))).alias("first_ok")
+    ).select(
+        "job_id", F.coalesce("first_ok", "n").cast("bigint").alias("receives"),
+        F.when(F.col("first_ok").isNotNull(), "acked").when(F.col("n") >= limit, "dead_letter")
+        .otherwise("retry").alias("fate"),
+    )
+
+
+# A queue keeps messages for at most two weeks; so long a job's state may matter.
+RETENTION_MS = 14 * 86_400 * 1000
 
 
 class AttemptCounter(StatefulProcessor):
@@ -82,23 +91,24 @@ class AttemptCounter(StatefulProcessor):
         "receives", T.LongType()
     ).add("fate", T.StringType())
 
-    def __init__(self, limit: int = MAX_RECEIVES) -> None:
+    def __init__(self, limit: int = MAX_RECEIVES, expire: bool = False) -> None:
         self.limit = limit
+        self.ttl = {"ttlDurationMs": RETENTION_MS} if expire else {}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "n bigint, closed boolean")
+        self.seen = handle.getValueState("seen", "n bigint, closed boolean", **self.ttl)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
         n, closed = self.seen.get() if self.seen.exists() else (0, False)
         out = []
-        for batch in rows:
-            for ok in batch.sort_values("seq")["ok"]:
-                if closed:
-                    continue
-                n += 1
-                if ok or n >= self.limit:
-                    closed = True
-                    out.append((key[0], n, "acked" if ok else "dead_letter"))
+        # All receives that a micro-batch brings for the job, whatever Arrow batches hold them.
+        for ok in pd.concat([batch[["seq", "ok"]] for batch in rows]).sort_values("seq")["ok"]:
+            if closed:
+                break
+            n += 1
+            if ok or n >= self.limit:
+                closed = True
+                out.append((key[0], n, "acked" if ok else "dead_letter"))
         self.seen.update((n, closed))
         if out:
             yield pd.DataFrame(out, columns=["job_id", "receives", "fate"])
@@ -107,28 +117,30 @@ class AttemptCounter(StatefulProcessor):
         pass
 
 
-def attempt_fates(receives: DataFrame, limit: int = MAX_RECEIVES) -> DataFrame:
+def attempt_fates(receives: DataFrame, limit: int = MAX_RECEIVES, expire: bool = False) -> DataFrame:
     """Streaming form: emits a job once, when it is acknowledged or given up.
 
     receives: job_id, ok, seq (arrival order). Needs the RocksDB state store.
+    ``expire`` drops a job's state after the queue's retention; for streams that run on, not
+    for those that end by themselves (availableNow).
     """
     use_state_store(receives.sparkSession)
     return receives.groupBy("job_id").transformWithStateInPandas(
-        statefulProcessor=AttemptCounter(limit), outputStructType=AttemptCounter.OUTPUT,
-        outputMode="Append", timeMode="None",
+        statefulProcessor=AttemptCounter(limit, expire), outputStructType=AttemptCounter.OUTPUT,
+        outputMode="Append", timeMode="ProcessingTime" if expire else "None",
     )
 
 
-def ingest_stream(raw: DataFrame, index_batch: Callable[[DataFrame], None],
-                  dead_path: str, checkpoint: str) -> DataStreamWriter:
+def ingest_stream(raw: DataFrame, index_batch: Callable[..., None], dead_path: str, checkpoint: str,
+                  with_id: bool = False) -> DataStreamWriter:
     """Continuous ingest: per micro-batch, poison goes to the dead letters and the
-    jobs are indexed. A replayed batch converges, because indexing is a keyed upsert
-    and dead letters are written under their batch id."""
+    jobs are indexed. A replayed batch converges if ``index_batch`` is a keyed upsert,
+    or, with ``with_id``, writes under the batch id as the dead letters do."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
         jobs, poison = split_messages(batch)
         poison.write.mode("overwrite").parquet(f"{dead_path}/batch={batch_id}")
-        index_batch(jobs)
+        index_batch(jobs, batch_id) if with_id else index_batch(jobs)
 
     return raw.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
 

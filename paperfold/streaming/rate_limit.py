@@ -28,6 +28,9 @@ POLICIES = {
     ("study", "ip"): (3, 3600),
 }
 UNKNOWN_CLIENT = "unknown-client"
+# Two of the longest windows, and a day for requests that come late.
+STATE_TTL_MS = (2 * 3600 + 86_400) * 1000
+OUTPUT_ROWS = 10_000
 
 
 def with_identity(requests: DataFrame, secret: str) -> DataFrame:
@@ -67,7 +70,16 @@ def window_counts(requests: DataFrame) -> DataFrame:
 
 
 class SlidingWindow(StatefulProcessor):
-    """Keyed by (policy, identity); one decision per request in arrival order."""
+    """Keyed by (policy, identity); one decision per request.
+
+    All requests that a micro-batch brings for a key are put in event-time order before the
+    fold, whatever Arrow batches they come in; only their ids and times are held, and the
+    trigger's size bounds them. With ``expire`` the counters are dropped after the longest time they can
+    matter.
+    """
+
+    def __init__(self, expire: bool = False) -> None:
+        self.ttl = {"ttlDurationMs": STATE_TTL_MS} if expire else {}
 
     OUTPUT = (
         T.StructType().add("request_id", T.StringType()).add("policy", T.StringType())
@@ -78,7 +90,7 @@ class SlidingWindow(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.counter = handle.getValueState(
-            "counter", "bucket bigint, prev bigint, curr bigint, clock double"
+            "counter", "bucket bigint, prev bigint, curr bigint, clock double", **self.ttl
         )
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
@@ -88,10 +100,11 @@ class SlidingWindow(StatefulProcessor):
         bucket, prev, curr, clock = (
             self.counter.get() if self.counter.exists() else (-2, 0, 0, 0.0)
         )
-        for batch in rows:
+        ordered = pd.concat([batch[["epoch", "request_id"]] for batch in rows]).sort_values(["epoch", "request_id"])
+        for first in range(0, len(ordered), OUTPUT_ROWS):
             out = []
-            ordered = batch.sort_values(["epoch", "request_id"])
-            for request, epoch in zip(ordered["request_id"], ordered["epoch"]):
+            part = ordered.iloc[first:first + OUTPUT_ROWS]
+            for request, epoch in zip(part["request_id"], part["epoch"]):
                 clock = max(clock, float(epoch))
                 now = int(clock // size)
                 if now != bucket:
@@ -112,14 +125,18 @@ class SlidingWindow(StatefulProcessor):
         pass
 
 
-def decide(requests: DataFrame) -> DataFrame:
-    """request_id, ts, policy, identity -> allowed, remaining, reset, retry-after."""
+def decide(requests: DataFrame, expire: bool = False) -> DataFrame:
+    """request_id, ts, policy, identity -> allowed, remaining, reset, retry-after.
+
+    ``expire`` is for streams that run on: such state asks for batches without data, so a
+    stream that should end by itself (availableNow) leaves it off.
+    """
     use_state_store(requests.sparkSession)
     keyed = requests.select(
         F.col("request_id").cast("string").alias("request_id"), "policy", "identity",
         (F.unix_micros("ts") / 1e6).alias("epoch"),
     )
     return keyed.groupBy("policy", "identity").transformWithStateInPandas(
-        statefulProcessor=SlidingWindow(), outputStructType=SlidingWindow.OUTPUT,
-        outputMode="Append", timeMode="None",
+        statefulProcessor=SlidingWindow(expire), outputStructType=SlidingWindow.OUTPUT,
+        outputMode="Append", timeMode="ProcessingTime" if expire else "None",
     )

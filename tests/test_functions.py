@@ -109,6 +109,17 @@ def test_list_markers(spark):
     assert got == [("ordered", "a\nb"), ("plain", "(iv) a\nb"), ("bullet", "x\ny")]
 
 
+def test_table_rows_of_broken_markup(spark):
+    bodies = ["<TABLE><tr class='x'><td> a <b>b</b></td><th>c &amp; d</th></tr><tr></tr><tr><td>lost<td>e</td></tr></table>",
+              "<tr><td>open row</td>", "<td>no row</td>", None, "<tr><td>1 < 2</td ></tr ><tr><td>x<!-- y --></td></tr>",
+              "<track><tr><tdx>no</tdx><td></td></tr>"]
+    df = spark.createDataFrame([(bodies,)], "t array<string>").select(B.table_cells("t").alias("c"))
+    assert [c.rows for c in df.first().c] == [
+        [["a b", "c & d"], ["e"]], [], [], [], [["1 < 2"], ["x"]], [[""]]]
+    plain = spark.createDataFrame([(["<tr><td> a </td></tr>"],)], "t array<string>").select(B.table_cells("t").alias("c"))
+    assert plain.first().c[0].rows == [["a"]]
+
+
 def test_equation_and_table_fallback(spark):
     assert one(spark, " $$ a+b $$ ", B.equation_latex(F.col("v"))) == "a+b"
     assert one(spark, "$$$", B.equation_latex(F.col("v"))) == "$$$"

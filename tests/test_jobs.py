@@ -180,6 +180,45 @@ def test_rate_limiter_matches_sequential_rule(spark, tmp_path):
     assert 0 < sum(got.values()) < 400
 
 
+@pytest.mark.parametrize("rows_a_batch", ["7", "10000"])
+def test_rate_limiter_takes_event_time_order_in_any_batches(spark, tmp_path, rows_a_batch):
+    rng = random.Random(4)
+    rows = [(f"{i:04d}", "search:ip", "a", float(i)) for i in range(300)]
+    want, bucket, prev, curr = {}, -2, 0, 0
+    for rid, _, _, at in rows:
+        now = int(at // 60)
+        if now != bucket:
+            prev, curr, bucket = (curr if now == bucket + 1 else 0), 0, now
+        want[rid] = math.floor(prev * (1 - (at - now * 60) / 60)) + curr < 20
+        curr += want[rid]
+    df = spark.createDataFrame(rng.sample(rows, len(rows)), "request_id string, policy string, identity string, t double")
+    df.withColumn("ts", F.timestamp_micros((F.col("t") * 1_000_000).cast("bigint"))).coalesce(1).write.parquet(str(tmp_path / "in"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_a_batch)
+    try:
+        stream = spark.readStream.schema("request_id string, policy string, identity string, t double, ts timestamp").parquet(str(tmp_path / "in"))
+        usage_sink(R.decide(stream), str(tmp_path / "out"), str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert {r.request_id: r.allowed for r in spark.read.parquet(str(tmp_path / "out")).collect()} == want
+
+
+def test_attempts_end_at_the_limit(spark):
+    rows = [("a", False, 1), ("a", False, 2), ("a", False, 3), ("a", True, 4), ("b", False, 2), ("b", True, 1), ("c", False, 1)]
+    got = {r.job_id: (r.receives, r.fate) for r in J.attempts(spark.createDataFrame(rows, "job_id string, ok boolean, seq long")).collect()}
+    assert got == {"a": (3, "dead_letter"), "b": (1, "acked"), "c": (1, "retry")}
+
+
+def test_upsert_keeps_names_that_look_like_numbers(spark, tmp_path):
+    from paperfold.operators.upsert import bucket_of, read_table, upsert_table
+
+    path = str(tmp_path / "table")
+    for _ in range(2):
+        rows = spark.createDataFrame([("007", "x", 1), ("2024-01-01", "x", 2)], "collection string, chunk_id string, v int")
+        upsert_table(path, rows.withColumn("bucket", bucket_of("chunk_id")), ["collection", "bucket", "chunk_id"])
+    assert sorted((r.collection, r.v) for r in read_table(spark, path, rows.schema).collect()) == [("007", 1), ("2024-01-01", 2)]
+
+
 def test_continuous_ingest_converges(spark, tmp_path):
     jobs = tmp_path / "jobs"
     jobs.mkdir()
