@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from paperfold.llm import (
     decontaminate,
     near_duplicates,
+    oracles,
     packing,
     pii,
     quality_classifier,
@@ -24,7 +25,7 @@ def remainder(n: int):
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
 
 
-@query("op1_warc")
+@query("op1_warc", oracles.WARC)
 def op1_warc(spark, sf_dir):
     index, folder = warc.write(table(spark, sf_dir, "pages"))
     return warc.read(index, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
@@ -36,12 +37,12 @@ def op3_packing(spark, sf_dir):
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-@query("op5_quality_rules")
+@query("op5_quality_rules", oracles.quality(quality_rules.NGRAM_LIMITS, quality_rules.LINE_LIMIT, quality_rules.LINE_CHARS_LIMIT))
 def op5_quality_rules(spark, sf_dir):
     return quality_rules.measure(table(spark, sf_dir, "documents"))
 
 
-@query("op6_minhash")
+@query("op6_minhash", oracles.NEAR)
 def op6_minhash(spark, sf_dir):
     return near_duplicates.group(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
