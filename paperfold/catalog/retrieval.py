@@ -402,3 +402,38 @@ def chunk_inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FL.filter_chunks(rows, chunk_level="question", source_pdf=None).select(
         "chunk_id", "year"
     )
+
+
+@query("search_rejects", """
+SELECT 't' || label AS query_id,
+  CASE label % 7 WHEN 1 THEN 'limit_too_large' WHEN 2 THEN 'unknown_field' WHEN 3 THEN 'wrong_value_type'
+    WHEN 4 THEN 'collection_not_found' WHEN 5 THEN 'dimension_mismatch' END AS reason,
+  CASE WHEN label % 7 IN (0, 6) THEN 5 ELSE 0 END AS found, 0 AS old_generation
+FROM (SELECT DISTINCT label FROM embeddings)""")
+def search_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Good and bad queries in one batch: the bad come back with a reason, the good run, over
+    the vectors of the collection's current model only."""
+    kind = F.col("label") % 7
+    filters = (
+        F.when(kind == 2, F.array(b.condition("owner", "eq", "x", "string")))
+        .when(kind == 3, F.array(b.condition("year", "eq", "x", "string")))
+        .otherwise(b.no_filters())
+    )
+    queries = b.topic_queries(spark, sf_dir).select(
+        "query_id", F.col("query_id").alias("query"),
+        F.when(kind == 4, "nowhere").otherwise("corpus").alias("collection"),
+        F.when(kind == 5, F.slice("vector", 1, 8)).otherwise(F.col("vector")).alias("vector"),
+        filters.alias("filters"), F.when(kind == 1, 51).otherwise(5).alias("limit"), F.lit(False).alias("rerank"),
+    )
+    old = F.col("chunk_id").endswith("0")
+    vectors = b.vectors(spark, sf_dir).withColumn("embedding_model_id", F.when(old, "m1").otherwise("m2"))
+    emb = b.table(spark, sf_dir, "embeddings")
+    collections = emb.agg(F.max(F.size("embedding")).alias("embedding_dimension")).select(
+        F.lit("corpus").alias("name"), "embedding_dimension", F.lit("m2").alias("embedding_model_id"),
+        F.lit(None).cast("double").alias("vector_min_score"), F.lit(None).cast("double").alias("rerank_min_score"))
+    fields = schema_fields(spark, sf_dir).drop("collection").distinct().withColumn("collection", F.lit("corpus"))
+    results, rejects = S.search_checked(queries, vectors, b.chunks(spark, sf_dir), fields, collections)
+    counts = results.groupBy("query_id").agg(F.count(F.lit(1)).alias("found"), F.count_if(old).alias("old_generation"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return queries.select("query_id").join(rejects, "query_id", "left").join(counts, "query_id", "left").select(
+        "query_id", "reason", zero("found"), zero("old_generation"))
