@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from paperfold.functions.metadata import typed_value
 from paperfold.operators import vector_search as V
 from paperfold.operators.filters import filter_violations, request_reject_reason
 from paperfold.schemas import CHUNK_LEVELS
@@ -24,24 +23,6 @@ def small(df: DataFrame, most: int = MAX_COLLECTIONS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def vector_table(chunks: DataFrame, embeddings: DataFrame, schema: list[dict],
-                 model_id: str | None = None) -> DataFrame:
-    """Chunk joined to its vector, with each declared metadata field as a typed column.
-
-    Only narrow columns pass the join. The indexing job stores this shape, so a search
-    scans it directly and filters and collection pruning reach the parquet scan.
-    """
-    if model_id is not None:
-        embeddings = embeddings.filter(F.col("embedding_model_id") == model_id)
-    narrow = chunks.select(
-        "collection", "chunk_id", "chunk_level", "source_pdf",
-        *[typed_value("metadata", f["key"], f["type"]).alias(f["key"]) for f in schema],
-    )
-    return narrow.join(
-        embeddings.select("collection", "chunk_id", "embedding"), ["collection", "chunk_id"]
-    )
-
-
 def split_valid(queries: DataFrame, schema_fields: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid queries, rejects with reason): limits first, then filter conditions."""
     limits = queries.withColumn("reason", request_reject_reason(

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperfold.functions.text import compact, nonempty, strip, words
+from paperfold.functions.text import nonempty, strip, words
 from paperfold.operators import citations as C
 from paperfold.operators.packing import (
     CONTEXT_BUDGET,
@@ -164,11 +164,6 @@ def prune(results: DataFrame, decisions: DataFrame) -> DataFrame:
     return results.join(kept, ["request_id", "chunk_id"], "left_semi")
 
 
-def pruned_ids(results: DataFrame, decisions: DataFrame) -> DataFrame:
-    kept = decisions.select("request_id", F.explode("kept_ids").alias("chunk_id"))
-    return results.join(kept, ["request_id", "chunk_id"], "left_anti")
-
-
 def check_reformulation(reformulated: Column, original: Column) -> Column:
     """New query of at most 40 words; NULL (abstain) when blank or unchanged."""
     text = F.array_join(F.slice(words(reformulated), 1, MAX_QUERY_WORDS), " ")

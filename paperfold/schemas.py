@@ -37,7 +37,6 @@ JOB_SCHEMA_VERSION = "ingest_job_v1"
 DRAFT_STATUSES = ("ok", "partial", "insufficient_evidence")
 DECLINE_STATUSES = ("insufficient_evidence", "no_corpus_answer")
 RERANK_CAP = 50
-OVERFETCH_FACTOR = 3
 MAX_QUERY_CHARS = 2000
 MAX_SEARCH_LIMIT = 50
 MAX_STUDY_TOP_K = 20
