@@ -6,6 +6,8 @@ and joined with the windows of the benchmark items (an item with fewer tokens is
 of its own length). Hits of one item on one alignment are put together, and the values that
 stand in their placeholders must map consistently: one value of the item always meets the
 same value of the text. So copies are found as well as questions with new numbers and names.
+The template of a window that is mostly placeholders says little, so such windows (tables,
+arithmetic) are hashed by their lower-cased tokens instead and found as copies only.
 
 Words that start with a capital within a sentence count as names in a second template, which
 is made only of texts that have such words.
@@ -41,8 +43,8 @@ def is_number(token: Column) -> Column:
 
 
 def template(tokens: Column, capitals: bool) -> Column:
-    """Array of (t, v): the template's token, and the value where it is a placeholder. The
-    units and names of each token depend on it and on the one before."""
+    """Array of (t, v, raw): the template's token, the value where it is a placeholder, and
+    the lower-cased token. The units and names of each token depend on it and on the one before."""
 
     def one(w: Column, i: Column) -> Column:
         low = F.lower(w)
@@ -52,7 +54,7 @@ def template(tokens: Column, capitals: bool) -> Column:
             name = name | ((low != w) & before.isNotNull() & ~before.isin(STOPS))
         kind = (F.when(is_number(w), "<number>").when(name, "<name>")
                 .when(before.isNotNull() & is_number(before) & low.isin(names.UNITS), "<unit>"))
-        return F.struct(F.coalesce(kind, low).alias("t"), F.when(kind.isNotNull(), low).alias("v"))
+        return F.struct(F.coalesce(kind, low).alias("t"), F.when(kind.isNotNull(), low).alias("v"), low.alias("raw"))
 
     out = F.transform(tokens, one)
     return F.filter(out, lambda x: ~x["t"].isin(STOPS)) if capitals else out
@@ -60,22 +62,25 @@ def template(tokens: Column, capitals: bool) -> Column:
 
 def windows(made: Column, lengths: list[int]) -> Column:
     """Array of (h, at, values) of all windows of the given lengths; values is null where no
-    token of the text is a placeholder."""
+    token of the text is a placeholder. h is the hash of the template, or of the raw tokens
+    where more than half of the window are placeholders."""
 
     def of(parts: Column) -> Column:
         def cut(n: int) -> Column:
             starts = F.sequence(F.lit(0), F.size(parts["t"]) - n)
             plain = F.transform(starts, lambda i: F.struct(
                 F.xxhash64(F.slice(parts["t"], i + 1, n)).alias("h"), i.alias("at"), F.lit(n).alias("n"), F.lit(None).cast("array<string>").alias("values")))
-            slots = F.transform(starts, lambda i: F.struct(
-                F.xxhash64(F.slice(parts["t"], i + 1, n)).alias("h"), i.alias("at"), F.lit(n).alias("n"),
-                F.filter(F.slice(parts["v"], i + 1, n), lambda v: v.isNotNull()).alias("values")))
+            held = F.transform(starts, lambda i: F.struct(i.alias("at"), F.filter(F.slice(parts["v"], i + 1, n), lambda v: v.isNotNull()).alias("values")))
+            slots = F.transform(held, lambda x: F.struct(
+                F.when(F.size(x["values"]) * 2 <= n, F.xxhash64(F.slice(parts["t"], x["at"] + 1, n)))
+                .otherwise(F.xxhash64(F.lit("raw"), F.slice(parts["raw"], x["at"] + 1, n))).alias("h"), x["at"].alias("at"), F.lit(n).alias("n"),
+                x["values"].alias("values")))
             return F.when(F.size(parts["t"]) < n, F.array().cast("array<struct<h: bigint, at: int, n: int, values: array<string>>>")).when(
                 F.exists(parts["v"], lambda v: v.isNotNull()), slots).otherwise(plain)
 
         return F.concat(*[cut(n) for n in lengths])
 
-    return let(made, lambda m: let(F.struct(m["t"].alias("t"), m["v"].alias("v")), of))
+    return let(made, lambda m: let(F.struct(m["t"].alias("t"), m["v"].alias("v"), m["raw"].alias("raw")), of))
 
 
 def both_templates(text: Column, lengths: list[int]) -> Column:
@@ -96,7 +101,6 @@ def hits(docs: DataFrame, benchmark: DataFrame, ident: str = "doc_id", text: str
     long_enough = F.size(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)))
     asked = (items.withColumn("size", long_enough).select("item_id", "size", F.explode(both_templates(F.col("text"), lengths)).alias("w"))
              .select("item_id", "w.*", "size").where(F.col("n") == F.least("size", F.lit(window)))
-             .where(F.coalesce(F.size("values"), F.lit(0)) * 2 <= F.col("n"))
              .select("h", "item_id", F.col("at").alias("item_at"), F.col("values").alias("item_values"), "n").distinct())
     asked = stages.put("asked", asked)
     if asked.count() <= BROADCAST_WINDOWS:

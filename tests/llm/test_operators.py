@@ -174,6 +174,14 @@ def test_decontamination_templates(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, v in got.items() if not v)
 
 
+def test_decontamination_of_number_heavy_items(spark):
+    table = "Table 3 km 5 km 8 km 13 km 21 km 34 km 55 km 89 km 144 km"
+    items = spark.createDataFrame([(1, "What is 3 + 4 * 5 - 2"), (2, table)], "item_id long, text string")
+    texts = ["so what is 3 + 4 * 5 - 2 then", f"see {table.upper()} here", "what is 3 + 4 * 6 - 2", table.replace("21", "22"), "1 km 2 km 3 km 4 km 5 km 6 km 7 km 8 km 9 km"]
+    got = {r.doc_id: r.item_ids for r in decontaminate.judge(frame(spark, texts), items).collect()}
+    assert got == {0: [1], 1: [2], 2: [], 3: [], 4: []}
+
+
 def slow_quality(text):
     text = text or ""
     words = WORD.findall(text)
