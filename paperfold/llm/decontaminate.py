@@ -5,7 +5,9 @@ placeholders, the rest is lower-cased. Every window of WINDOW tokens of every te
 and joined with the windows of the benchmark items (an item with fewer tokens is one window
 of its own length). Hits of one item on one alignment are put together, and the values that
 stand in their placeholders must map consistently: one value of the item always meets the
-same value of the text. So copies are found as well as questions with new numbers and names.
+same value of the text. Windows with an item value that meets several values on the alignment
+don't count; the other windows of the alignment do, and so do copied windows (all values equal)
+wherever two of them that don't overlap are on the alignment. So copies are found as well as questions with new numbers and names.
 The template of a window that is mostly placeholders says little, so such windows (tables,
 arithmetic) are hashed by their lower-cased tokens instead and found as copies only.
 
@@ -63,7 +65,7 @@ def template(tokens: Column, capitals: bool) -> Column:
 def windows(made: Column, lengths: list[int]) -> Column:
     """Array of (h, at, values) of all windows of the given lengths; values is null where no
     token of the text is a placeholder. h is the hash of the template, or of the raw tokens
-    where more than half of the window are placeholders."""
+    (no values then) where more than half of the window are placeholders."""
 
     def of(parts: Column) -> Column:
         def cut(n: int) -> Column:
@@ -71,10 +73,10 @@ def windows(made: Column, lengths: list[int]) -> Column:
             plain = F.transform(starts, lambda i: F.struct(
                 F.xxhash64(F.slice(parts["t"], i + 1, n)).alias("h"), i.alias("at"), F.lit(n).alias("n"), F.lit(None).cast("array<string>").alias("values")))
             held = F.transform(starts, lambda i: F.struct(i.alias("at"), F.filter(F.slice(parts["v"], i + 1, n), lambda v: v.isNotNull()).alias("values")))
-            slots = F.transform(held, lambda x: F.struct(
-                F.when(F.size(x["values"]) * 2 <= n, F.xxhash64(F.slice(parts["t"], x["at"] + 1, n)))
-                .otherwise(F.xxhash64(F.lit("raw"), F.slice(parts["raw"], x["at"] + 1, n))).alias("h"), x["at"].alias("at"), F.lit(n).alias("n"),
-                x["values"].alias("values")))
+            slots = F.transform(held, lambda x: F.when(F.size(x["values"]) * 2 <= n, F.struct(
+                F.xxhash64(F.slice(parts["t"], x["at"] + 1, n)).alias("h"), x["at"].alias("at"), F.lit(n).alias("n"), x["values"].alias("values"))).otherwise(F.struct(
+                    F.xxhash64(F.lit("raw"), F.slice(parts["raw"], x["at"] + 1, n)).alias("h"), x["at"].alias("at"), F.lit(n).alias("n"),
+                    F.array().cast("array<string>").alias("values"))))
             return F.when(F.size(parts["t"]) < n, F.array().cast("array<struct<h: bigint, at: int, n: int, values: array<string>>>")).when(
                 F.exists(parts["v"], lambda v: v.isNotNull()), slots).otherwise(plain)
 
@@ -89,6 +91,24 @@ def both_templates(text: Column, lengths: list[int]) -> Column:
     return F.when(text.rlike(CAPITAL_INSIDE), F.concat(plain, marked)).otherwise(plain)
 
 
+def counted(met: Column) -> Column:
+    """The windows (at, n, pairs) of one alignment that count as hits."""
+
+    def of(parts: Column) -> Column:
+        unclear, copied = parts["unclear"], parts["copied"]
+        apart = F.array_max(copied["at"]) >= F.array_min(F.transform(copied, lambda m: m["at"] + m["n"]))
+        return F.filter(parts["met"], lambda m: ~F.arrays_overlap(m["pairs"]["item"], unclear) | (apart & is_copy(m)))
+
+    def is_copy(m: Column) -> Column:
+        return F.forall(m["pairs"], lambda p: p["item"] == p["own"])
+
+    def with_unclear(pairs: Column) -> Column:  # sorted by the item's value
+        return F.filter(F.transform(pairs, lambda p, i: F.when(F.get(pairs, i - 1)["item"] == p["item"], p["item"])), lambda v: v.isNotNull())
+
+    pairs = let(F.array_sort(F.array_distinct(F.flatten(F.transform(met, lambda m: m["pairs"])))), with_unclear)
+    return let(F.struct(met.alias("met"), F.filter(met, is_copy).alias("copied"), pairs.alias("unclear")), of)
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, ident: str = "doc_id", text: str = "text",
          item: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """(key_id, key_text, item_ids, covered): the rows that hold benchmark items, the items
@@ -111,10 +131,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, ident: str = "doc_id", text: str
     met = stages.put("met", shown.join(asked, "h").select("key_id", "key_text", "item_id", "n", (F.col("at") - F.col("item_at")).alias("shift"), "at",
                      F.arrays_zip(F.coalesce("item_values", F.array().cast("array<string>")).alias("item"), F.coalesce("values", F.array().cast("array<string>")).alias("own")).alias("pairs")).distinct())
     # Windows of one alignment; a template with and one without capitals may both be there.
-    runs = met.groupBy("key_id", "key_text", "item_id", "shift").agg(
-        (F.max(F.col("at") + F.col("n")) - F.min("at")).alias("covered"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
-    consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["item"])))
-    return runs.where(consistent).groupBy("key_id", "key_text").agg(
+    runs = met.groupBy("key_id", "key_text", "item_id", "shift").agg(F.collect_list(F.struct("at", "n", "pairs")).alias("met"))
+    runs = runs.withColumn("met", counted(F.col("met"))).where(F.size("met") > 0).select(
+        "key_id", "key_text", "item_id", (F.array_max(F.transform("met", lambda m: m["at"] + m["n"])) - F.array_min(F.col("met.at"))).alias("covered"))
+    return runs.groupBy("key_id", "key_text").agg(
         F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.max("covered").alias("covered"))
 
 

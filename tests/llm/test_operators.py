@@ -182,6 +182,18 @@ def test_decontamination_of_number_heavy_items(spark):
     assert got == {0: [1], 1: [2], 2: [], 3: [], 4: []}
 
 
+def test_decontamination_of_edited_copies(spark):
+    rng = random.Random(6)
+    words = lambda n: " ".join(f"{rng.choice('abcdefgh')}{''.join(rng.choices('klmnopqr', k=6))}" for _ in range(n))
+    long = f"{words(20)} 12 km {words(5)} Alice {words(5)} 12 km {words(8)} Alice {words(20)}"
+    often = "".join(f"Alice {words(6)} " for _ in range(8))
+    items = spark.createDataFrame([(1, long), (2, often)], "item_id long, text string")
+    texts = [long.replace("12 km", "55 km", 1), long.replace("Alice", "Bob", 1), often.replace("Alice", "Bob", 1), long, often]
+    got = {r.doc_id: (r.item_ids, r.covered) for r in decontaminate.judge(frame(spark, texts), items).collect()}
+    assert [got[i][0] for i in range(5)] == [[1], [1], [2], [1], [2]]
+    assert got[3][1] == len(long.split()) and got[4][1] == len(often.split()) and got[2][1] < got[4][1]
+
+
 def slow_quality(text):
     text = text or ""
     words = WORD.findall(text)
