@@ -358,6 +358,22 @@ def test_surrogates_stay_distinct(spark, monkeypatch):
     assert len({r.chosen for r in rows}) == len(rows) == 40
 
 
+def test_more_entities_than_a_shape_has(spark):
+    """As many entities of the form Cv as there are surrogates of it, none of which may be used."""
+    short = [c + v for c in "BCDFGHKLMNPRSTVZ" for v in "aeiou"]
+    docs = frame(spark, [f"Herr {n} came" for n in short] + ["from 10.0.0.1 to +12 34 567"])
+    new = {r.doc_id: r.text for r in pii.replaced(docs).collect()}
+    names = [new[i].split(" ")[1] for i in range(len(short))]
+    assert len(set(names)) == len(short) and not set(names) & set(short)
+    assert re.fullmatch(r"from \d+\.\d+\.\d+\.\d+ to \+1\d \d\d \d{3}", new[len(short)])
+    made = {k: spark.range(1).select(pii.surrogate(F.lit(k), F.lit(v), F.lit(12), "k")).first()[0] for k, v in
+            {"ip": "10.0.0.1", "phone": "1234567", "ssn": "123456789", "card": "4111111111111111"}.items()}
+    assert re.fullmatch("2001:db8(:[0-9a-f]{1,4}){6}", made["ip"])
+    assert {k: len(v) for k, v in made.items() if k != "ip"} == {"phone": 12, "ssn": 14, "card": 21}
+    written = spark.range(1).select(pii.written(F.lit("+12 34 567"), F.lit("phone"), F.lit("198765432"), "k")).first()[0]
+    assert written == "+19 87 65432"
+
+
 @pytest.mark.parametrize(("name", "label", "least"), [("op7_toxicity", "toxic", 0.95), ("op8_quality_classifier", "quality", 0.93)])
 def test_classifiers_on_held_out_labels(spark, name, label, least):
     sf = "/root/testdata/sf0.1"
