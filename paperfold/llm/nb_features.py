@@ -1,9 +1,9 @@
 """Binary n-gram features scaled by naive Bayes log-count ratios.
 
 Features are hashed n-grams of units (characters or tokens) in 2 ** BITS places. How many
-labelled texts of each class hold a feature is counted over all of them by Spark; features
-whose rates differ by LEAST_Z standard errors or more stay, each scaled by its log-count
-ratio. Counting and fitting take bounded, hash-ordered samples of the labelled rows (their
+labelled texts of each class hold a feature is counted by Spark; those of LEAST_TEXTS texts or
+more stay, each scaled by its log-count ratio, and the regularised fit weighs them. Nothing but
+the number of places bounds the model. Counting and fitting take bounded, hash-ordered samples of the labelled rows (their
 bounds are parameters), so training costs the same at any size; every text is scored.
 """
 
@@ -22,10 +22,8 @@ from paperfold.llm import blocks as b
 from paperfold.llm.store import Stages, text_of
 
 BITS = 22
-LEAST_Z = 8.0
-LEAST_TEXTS = 4
+LEAST_TEXTS = 2
 TASKS = 8  # for the bounded sample
-MOST_FEATURES = 1 << 16
 SMOOTHING = 1.0
 # Classes of bytes for tokens: 0 white space, 1 letters, digits and non-ASCII, 2 the rest.
 KINDS = np.full(256, 2, np.uint8)
@@ -128,17 +126,13 @@ def class_counts(rows: DataFrame, features: Features) -> DataFrame:
 
 
 def log_count_ratios(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, float, float]:
-    """(places, ratios) of the telling features, and the texts of class 1 and 0."""
+    """(places, ratios) of the features, at most 2 ** BITS, and the texts of class 1 and 0."""
     whole = counts.where("place = -1").first()
     ones, zeros = (float(whole["ones"]), float(whole["zeros"])) if whole else (0.0, 0.0)
     if not ones or not zeros:
         return np.zeros(0, np.int64), np.zeros(0), ones, zeros
-    p1, p0 = F.col("ones") / ones, F.col("zeros") / zeros
-    p = (F.col("ones") + F.col("zeros")) / (ones + zeros)
-    z = (p1 - p0) / F.sqrt(p * (1 - p) * (1 / ones + 1 / zeros) + 1e-12)
     ratio = F.log((F.col("ones") + SMOOTHING) / (ones + 2 * SMOOTHING)) - F.log((F.col("zeros") + SMOOTHING) / (zeros + 2 * SMOOTHING))
-    told = (counts.where("place >= 0").where((F.col("ones") + F.col("zeros") >= LEAST_TEXTS) & (F.abs(z) >= LEAST_Z))
-            .orderBy(F.abs(z).desc(), "place").limit(MOST_FEATURES).select("place", ratio.alias("ratio")).toPandas().sort_values("place"))
+    told = counts.where("place >= 0").where(F.col("ones") + F.col("zeros") >= LEAST_TEXTS).select("place", ratio.alias("ratio")).toPandas().sort_values("place")
     return told["place"].to_numpy(np.int64), told["ratio"].to_numpy(float), ones, zeros
 
 
@@ -160,7 +154,9 @@ def sample(rows: DataFrame, features: Features, places: np.ndarray, per_class: i
     kind = rows.schema["doc_id"].dataType.simpleString()
     rows = picked.mapInArrow(run, f"doc_id {kind}, y int, places array<int>").toPandas()
     rows = rows.sort_values("doc_id", kind="stable")
-    return [np.searchsorted(places, np.asarray(p, np.int64)) for p in rows["places"]], rows["y"].to_numpy(int)
+    at = np.zeros(1 << BITS, np.int32)
+    at[places] = np.arange(len(places))
+    return [at[p] for p in rows["places"]], rows["y"].to_numpy(int)
 
 
 def score(docs: DataFrame, features: Features, model: Model, ident: str = "doc_id") -> DataFrame:

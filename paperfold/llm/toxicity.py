@@ -28,13 +28,12 @@ def logistic(found: list[np.ndarray], y: np.ndarray, ratios: np.ndarray, prior:
     back from the balance of the sample to that of all labels."""
     doc = np.repeat(np.arange(len(found)), [len(f) for f in found])
     col = np.concatenate(found) if len(found) else np.zeros(0, np.int64)
-    value = ratios[col]
     w, bias = np.zeros(len(ratios)), 0.0
     sums, bias_sum = np.full(len(ratios), 1e-8), 1e-8
     for _ in range(STEPS):
-        margin = np.bincount(doc, value * w[col], minlength=len(y)) + bias
+        margin = np.bincount(doc, (ratios * w)[col], minlength=len(y)) + bias
         off = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y) / max(len(y), 1)
-        slope = np.bincount(col, value * off[doc], minlength=len(w)) + DECAY * w
+        slope = ratios * np.bincount(col, off[doc], minlength=len(w)) + DECAY * w
         sums += slope**2
         bias_sum += off.sum() ** 2
         w -= RATE * slope / np.sqrt(sums)

@@ -383,6 +383,21 @@ def test_classifiers_on_held_out_labels(spark, name, label, least):
     assert sum(r.predicted == r[label] for r in rows) >= least * len(rows)
 
 
+def test_classifiers_with_few_labels_and_rare_words(spark):
+    """Of 48 labelled texts 24 are toxic, by words that three of them hold."""
+    from paperfold.llm import quality_classifier, toxicity
+
+    rng = random.Random(8)
+    marks = ["zyxgor", "quofmek", "vlurpid", "jiktozz", "hwembra", "ungoxly", "crizzof", "ploydux"]
+    texts = [prose(rng, 30, 3) + (f" {marks[i // 2 % 8]} " if i % 2 else " ") + prose(rng, 30, 3) for i in range(96)]
+    docs = frame(spark, texts)
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(48)], "doc_id long, toxic int, quality int")
+    for operator in (toxicity, quality_classifier):
+        model = operator.train(docs, labels, F.lit(True))
+        got = {r.doc_id: r.score >= 0.5 for r in operator.score(docs, model).collect()}
+        assert sum(got[i] == bool(i % 2) for i in range(48, 96)) >= 40, operator
+
+
 def test_classifiers_without_labels(spark, texts):
     from paperfold.llm import toxicity
 
