@@ -1,10 +1,10 @@
 """Binary n-gram features scaled by naive Bayes log-count ratios.
 
 Features are hashed n-grams of units (characters or tokens) in 2 ** BITS places. How many
-labelled texts of each class hold a feature is counted by Spark; those of LEAST_TEXTS texts or
-more stay, each scaled by its log-count ratio, and the regularised fit weighs them. Nothing but
-the number of places bounds the model. Counting and fitting take bounded, hash-ordered samples of the labelled rows (their
-bounds are parameters), so training costs the same at any size; every text is scored.
+labelled texts of each class hold a feature is counted over all training rows by Spark; those
+of LEAST_TEXTS texts or more stay, each scaled by its log-count ratio, and the regularised fit
+weighs them. Nothing but the number of places bounds the model. The fit takes a bounded,
+hash-ordered sample of the labelled texts (its bound is a parameter); every text is scored.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from paperfold.llm.store import Stages, text_of
 
 BITS = 22
 LEAST_TEXTS = 2
-TASKS = 8  # for the bounded sample
+BROADCAST_TEXTS = 2_000_000
 SMOOTHING = 1.0
 # Classes of bytes for tokens: 0 white space, 1 letters, digits and non-ASCII, 2 the rest.
 KINDS = np.full(256, 2, np.uint8)
@@ -90,20 +90,27 @@ class Model:
     bias: float
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, train: Column, per_class: int, stages: Stages) -> DataFrame:
-    """(doc_id, text, y) of at most ``per_class`` training rows of each class, in hash order.
-    Several labels of one id: the largest holds. Of rows with equal texts one is taken, so
-    that a text with many copies counts once. The chosen ids are broadcast: their number is
-    bounded, and no text is shuffled."""
+def labelled(docs: DataFrame, labels: DataFrame, label: str, train: Column, stages: Stages) -> DataFrame:
+    """(doc_id, pair, y): one row of each distinct text among all training rows, named by the
+    hash of its id and text, so that a text with many copies counts once. Several labels of
+    one id or text: the largest holds. No text is shuffled."""
     y = (labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).where(train)
          .groupBy("doc_id").agg(F.max(label).cast("int").alias("y")))
-    some = [y.where(F.col("y") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
-    chosen = stages.put("chosen", some[0].unionByName(some[1]))
-    rows = docs.select("doc_id", text_of(F.col("text").cast("string")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    rows = stages.put("rows", rows.select("doc_id", "text", "y").coalesce(TASKS))
-    once = rows.groupBy(F.xxhash64("text").alias("key")).agg(F.min("doc_id").alias("doc_id"), F.max("y").alias("label"))
-    once = stages.put("once", once.groupBy("doc_id").agg(F.max("label").alias("label")))
-    return rows.join(F.broadcast(once), "doc_id").select("doc_id", "text", F.col("label").alias("y"))
+    texts = docs.select("doc_id", text_key().alias("key")).join(y, "doc_id")
+    once = texts.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("y").alias("y"))
+    return stages.put("once", once.select("doc_id", F.xxhash64("doc_id", "key").alias("pair"), "y"))
+
+
+def text_key() -> Column:
+    return F.xxhash64(text_of(F.col("text").cast("string")))
+
+
+def texts_of(docs: DataFrame, some: DataFrame, few: bool) -> DataFrame:
+    """(doc_id, text, y) of labelled rows. They are broadcast if they are few, so that the
+    documents are read where they lie; else the join is Spark's."""
+    rows = docs.select("doc_id", text_of(F.col("text").cast("string")).alias("text"), F.xxhash64("doc_id", text_key()).alias("pair"))
+    some = some.select("pair", "y")
+    return rows.join(F.broadcast(some) if few else some, "pair").select("doc_id", "text", "y")
 
 
 def class_counts(rows: DataFrame, features: Features) -> DataFrame:
@@ -136,12 +143,12 @@ def log_count_ratios(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, float,
     return told["place"].to_numpy(np.int64), told["ratio"].to_numpy(float), ones, zeros
 
 
-def sample(rows: DataFrame, features: Features, places: np.ndarray, per_class: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """At most ``per_class`` of the training rows of each class, in hash order, as positions
+def sample(docs: DataFrame, once: DataFrame, features: Features, places: np.ndarray, per_class: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """At most ``per_class`` of the labelled texts of each class, in hash order, as positions
     in ``places``."""
-    some = [rows.where(F.col("y") == c).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
-    picked = rows.join(F.broadcast(some[0].unionByName(some[1])), "doc_id").select("doc_id", "text", "y")
-    wanted = rows.sparkSession.sparkContext.broadcast(places)
+    some = [once.where(F.col("y") == c).orderBy(F.xxhash64("doc_id"), "pair").limit(per_class) for c in (0, 1)]
+    picked = texts_of(docs, some[0].unionByName(some[1]), True)
+    wanted = docs.sparkSession.sparkContext.broadcast(places)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << BITS, bool)
@@ -151,7 +158,7 @@ def sample(rows: DataFrame, features: Features, places: np.ndarray, per_class: i
             cols = [found[at[i] : at[i + 1]] for i in range(len(part))]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([c.astype(np.int32) for c in cols], pa.list_(pa.int32()))], names=["doc_id", "y", "places"])
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
+    kind = docs.schema["doc_id"].dataType.simpleString()
     rows = picked.mapInArrow(run, f"doc_id {kind}, y int, places array<int>").toPandas()
     rows = rows.sort_values("doc_id", kind="stable")
     at = np.zeros(1 << BITS, np.int32)
@@ -176,20 +183,20 @@ def score(docs: DataFrame, features: Features, model: Model, ident: str = "doc_i
     return docs.select(docs[ident].alias("doc_id"), text_of(docs["text"].cast("string")).alias("text")).mapInArrow(run, f"doc_id {kind}, margin double")
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str, train_on: Column, features: Features, counted: int, fitted: int,
+def train(docs: DataFrame, labels: DataFrame, label: str, train_on: Column, features: Features, fitted: int,
           fit: Callable[[list[np.ndarray], np.ndarray, np.ndarray, float], tuple[np.ndarray, float]], name: str) -> Model:
-    """Counts at most ``counted`` and fits at most ``fitted`` labelled rows of each class.
+    """Counts all labelled texts and fits at most ``fitted`` of each class.
     Without both classes among them the model has no feature and its bias is the log odds of
     the only class. The intercept follows the balance of the classes among all labels."""
     stages = Stages(docs.sparkSession, name)
     known = labels.where(F.col(label).isNotNull()).where(train_on).agg(F.sum(F.col(label).cast("int")).alias("ones"), F.count(F.lit(1)).alias("n")).first()
     prior = math.log(((known["ones"] or 0) + 1e-6) / (known["n"] - (known["ones"] or 0) + 1e-6))
-    rows = labelled(docs, labels, label, train_on, counted, stages)
-    counts = stages.put("counts", class_counts(rows, features))
+    once = labelled(docs, labels, label, train_on, stages)
+    counts = stages.put("counts", class_counts(texts_of(docs, once, once.count() <= BROADCAST_TEXTS), features))
     places, ratios, _, _ = log_count_ratios(counts)
     model = Model(places, ratios, max(-30.0, min(30.0, prior)))
     if len(places):
-        found, y = sample(rows, features, places, fitted)
+        found, y = sample(docs, once, features, places, fitted)
         model = Model(places, *fit(found, y, ratios, prior))
-    stages.drop("counts", "rows", "once", "chosen")
+    stages.drop("counts", "once")
     return model

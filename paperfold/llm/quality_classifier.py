@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from paperfold.llm import nb_features as nb
 
 ORDERS = (1, 2)
-COUNTED_PER_CLASS = 20_000
 FITTED_PER_CLASS = 2000
 PASSES = 20
 COST = 0.1
@@ -47,9 +46,8 @@ def dual_coordinate_descent(found: list[np.ndarray], y: np.ndarray, ratios: np.n
     return w * ratios, float(bias)
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: Column, label: str = "quality", counted: int = COUNTED_PER_CLASS,
-          fitted: int = FITTED_PER_CLASS) -> nb.Model:
-    return nb.train(docs, labels, label, rows, FEATURES, counted, fitted, dual_coordinate_descent, "quality")
+def train(docs: DataFrame, labels: DataFrame, rows: Column, label: str = "quality", fitted: int = FITTED_PER_CLASS) -> nb.Model:
+    return nb.train(docs, labels, label, rows, FEATURES, fitted, dual_coordinate_descent, "quality")
 
 
 def score(docs: DataFrame, model: nb.Model) -> DataFrame:

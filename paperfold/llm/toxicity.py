@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from paperfold.llm import nb_features as nb
 
 ORDERS = (3, 4, 5)
-COUNTED_PER_CLASS = 20_000
 FITTED_PER_CLASS = 2000
 STEPS = 300
 RATE = 0.5
@@ -42,9 +41,8 @@ def logistic(found: list[np.ndarray], y: np.ndarray, ratios: np.ndarray, prior:
     return w * ratios, float(bias - balance + prior)
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: Column, label: str = "toxic", counted: int = COUNTED_PER_CLASS,
-          fitted: int = FITTED_PER_CLASS) -> nb.Model:
-    return nb.train(docs, labels, label, rows, FEATURES, counted, fitted, logistic, "toxic")
+def train(docs: DataFrame, labels: DataFrame, rows: Column, label: str = "toxic", fitted: int = FITTED_PER_CLASS) -> nb.Model:
+    return nb.train(docs, labels, label, rows, FEATURES, fitted, logistic, "toxic")
 
 
 def score(docs: DataFrame, model: nb.Model) -> DataFrame:

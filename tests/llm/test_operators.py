@@ -398,6 +398,22 @@ def test_classifiers_with_few_labels_and_rare_words(spark):
         assert sum(got[i] == bool(i % 2) for i in range(48, 96)) >= 40, operator
 
 
+def test_classifier_counts_cover_all_labelled_texts(spark):
+    """A group of copies counts once, takes no place of other texts, and nothing is sampled."""
+    from paperfold.llm import nb_features
+    from paperfold.llm.store import Stages
+
+    docs = frame(spark, ["copy of one text"] * 50 + [f"text {i}" for i in range(200)]).repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(250)], "doc_id long, toxic int")
+    once = nb_features.labelled(docs, labels, "toxic", F.lit(True), Stages(spark, "t"))
+    rows = nb_features.texts_of(docs, once, True)
+    assert rows.select("text").distinct().count() == rows.count() == 201
+    whole = nb_features.class_counts(rows, nb_features.Features(nb_features.tokens, (1,))).where("place = -1").first()
+    assert (whole.ones, whole.zeros) == (101, 100)
+    found, y = nb_features.sample(docs, once, nb_features.Features(nb_features.tokens, (1,)), np.arange(1 << nb_features.BITS), 90)
+    assert len(found) == 180 and y.sum() == 90
+
+
 def test_classifiers_without_labels(spark, texts):
     from paperfold.llm import toxicity
 
