@@ -407,6 +407,7 @@ def test_classifier_counts_cover_all_labelled_texts(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(250)], "doc_id long, toxic int")
     once = nb_features.labelled(docs, labels, "toxic", F.lit(True), Stages(spark, "t"))
     rows = nb_features.texts_of(docs, once, True)
+    assert rows.rdd.getNumPartitions() == 3  # those of the documents
     assert rows.select("text").distinct().count() == rows.count() == 201
     whole = nb_features.class_counts(rows, nb_features.Features(nb_features.tokens, (1,))).where("place = -1").first()
     assert (whole.ones, whole.zeros) == (101, 100)
