@@ -159,11 +159,14 @@ def sample(docs: DataFrame, once: DataFrame, features: Features, places: np.ndar
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([c.astype(np.int32) for c in cols], pa.list_(pa.int32()))], names=["doc_id", "y", "places"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = picked.mapInArrow(run, f"doc_id {kind}, y int, places array<int>").toPandas()
-    rows = rows.sort_values("doc_id", kind="stable")
+    rows = picked.mapInArrow(run, f"doc_id {kind}, y int, places array<int>").toArrow()
+    rows = rows.take(pa.array(np.argsort(rows["doc_id"].to_numpy(), kind="stable"))).combine_chunks()
+    y, parts = rows["y"].to_numpy(), rows["places"].combine_chunks()
+    ends = np.r_[0, np.cumsum(parts.value_lengths().to_numpy())] if len(rows) else np.zeros(1, np.int64)
     at = np.zeros(1 << BITS, np.int32)
     at[places] = np.arange(len(places))
-    return [at[p] for p in rows["places"]], rows["y"].to_numpy(int)
+    flat = at[parts.flatten().to_numpy()]
+    return [flat[i:j] for i, j in zip(ends, ends[1:], strict=False)], y
 
 
 def score(docs: DataFrame, features: Features, model: Model, ident: str = "doc_id") -> DataFrame:

@@ -19,20 +19,28 @@ FITTED_PER_CLASS = 2000
 STEPS = 300
 RATE = 0.5
 DECAY = 1e-4
+BLOCK = 256  # documents
 FEATURES = nb.Features(nb.characters, ORDERS)
 
 
 def logistic(found: list[np.ndarray], y: np.ndarray, ratios: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
     """Weights (ratio times coefficient) by gradient steps of AdaGrad; the intercept is set
     back from the balance of the sample to that of all labels."""
-    doc = np.repeat(np.arange(len(found)), [len(f) for f in found])
-    col = np.concatenate(found) if len(found) else np.zeros(0, np.int64)
+    blocks = []  # documents, their columns and owners: small arrays keep the driver small
+    for i in range(0, len(found), BLOCK):
+        some = found[i : i + BLOCK]
+        blocks.append((slice(i, i + len(some)), np.concatenate(some), np.repeat(np.arange(len(some), dtype=np.int16), [len(f) for f in some])))
     w, bias = np.zeros(len(ratios)), 0.0
     sums, bias_sum = np.full(len(ratios), 1e-8), 1e-8
     for _ in range(STEPS):
-        margin = np.bincount(doc, (ratios * w)[col], minlength=len(y)) + bias
+        margin, scaled = np.full(len(y), bias), ratios * w
+        for docs, col, doc in blocks:
+            margin[docs] += np.bincount(doc, scaled[col], minlength=docs.stop - docs.start)
         off = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y) / max(len(y), 1)
-        slope = ratios * np.bincount(col, off[doc], minlength=len(w)) + DECAY * w
+        slope = np.zeros(len(w))
+        for docs, col, doc in blocks:
+            np.add.at(slope, col, off[docs][doc])
+        slope = ratios * slope + DECAY * w
         sums += slope**2
         bias_sum += off.sum() ** 2
         w -= RATE * slope / np.sqrt(sums)
