@@ -358,6 +358,17 @@ def test_surrogates_stay_distinct(spark, monkeypatch):
     assert len({r.chosen for r in rows}) == len(rows) == 40
 
 
+def test_phone_forms(spark):
+    phones = ["+33 6 12 34 56 78", "+33 1 42 68 53 00", "06 12 34 56 78", "020 7946 0958", "030 1234567", "0151 23456789", "555 123 4567",
+              "612 345 678", "612 34 56 78", "+1 (168) 555-5254", "+49 151 2345 6789"]
+    others = ["4111 1111 1111 1111", "0123 4567 8901 2345", "in 2024 12 of 30", "1 612 345 678 in all", "+1 2 3", "01-02-2003"]
+    docs = frame(spark, [f"call {p} now" for p in phones + others])
+    new = {r.doc_id: r for r in pii.replaced(docs, count="n").collect()}
+    for i, p in enumerate(phones):
+        assert new[i].n == 1 and p not in new[i].text and re.sub(r"\d", "0", new[i].text) == re.sub(r"\d", "0", f"call {p} now"), p
+    assert [new[len(phones) + i].n for i in range(len(others))] == [1, 1, 0, 0, 0, 0]
+
+
 def test_more_entities_than_a_shape_has(spark):
     """As many entities of the form Cv as there are surrogates of it, none of which may be used."""
     short = [c + v for c in "BCDFGHKLMNPRSTVZ" for v in "aeiou"]
