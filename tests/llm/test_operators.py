@@ -369,6 +369,18 @@ def test_phone_forms(spark):
     assert [new[len(phones) + i].n for i in range(len(others))] == [1, 1, 0, 0, 0, 0]
 
 
+def test_names_with_initials_and_several_surnames(spark):
+    texts = ["met Maria Garcia Lopez there", "met John F. Kennedy there", "met Dr. J. R. Kennedy and Frau Garcia", "met Anna, Maria de la Cruz and Bob."]
+    got = {r.doc_id: r for r in pii.replaced(frame(spark, texts), count="n").collect()}
+    new = {i: r.text for i, r in got.items()}
+    assert [got[i].n for i in range(4)] == [1, 1, 2, 3]
+    assert not any(p in t for p in ("Maria", "Garcia", "Lopez", "John", "Kennedy", "Cruz", "Anna", "Bob") for t in new.values())
+    a = re.fullmatch(r"met (\w+) (\w{6}) (\w{5}) there", new[0])
+    b = re.fullmatch(r"met (\w+) [A-Z]\. (\w{7}) there", new[1])
+    c = re.fullmatch(r"met Dr\. [A-Z]\. [A-Z]\. (\w{7}) and Frau (\w{6})", new[2])
+    assert c[1] == b[2] and c[2] == a[2] and re.fullmatch(r"met \w+, \w+ de la \w{4} and \w+\.", new[3])
+
+
 def test_more_entities_than_a_shape_has(spark):
     """As many entities of the form Cv as there are surrogates of it, none of which may be used."""
     short = [c + v for c in "BCDFGHKLMNPRSTVZ" for v in "aeiou"]
