@@ -1,2 +1,3 @@
 """Training-data operators: archives, secrets, packing, decontamination, quality rules,
-near duplicates, toxicity, quality scores, exact repeats and personal data."""
+near duplicates, toxicity, quality scores, exact repeats, personal data, spelling variants,
+ranked search and SentencePiece ids."""

@@ -57,3 +57,39 @@ e AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared
 r AS (SELECT doc_id, doc_id AS seen FROM d UNION SELECT e.a, r.seen FROM r JOIN e ON e.b = r.doc_id)
 SELECT doc_id, coalesce(size, 0) AS n_shingles, least AS component_id, doc_id = least AS kept
 FROM (SELECT doc_id, min(seen) AS least FROM r GROUP BY doc_id) LEFT JOIN n USING (doc_id)"""
+
+
+_upper, _lower_letters = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
+_crc_units = ("flatten(list_transform(range(0, octet_length(encode(s))), lambda i: "
+              "[CAST('0x' || hex(encode(s))[2 * i + 1:2 * i + 2] AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))")
+VARIANTS = f"""
+WITH RECURSIVE r AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, translate(unnest(regexp_extract_all(text, '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]+')), {_upper}, {_lower_letters}) AS run FROM documents),
+c AS (SELECT run, id || ':' || run AS s, count(*) AS c FROM r WHERE length(run) >= 7 GROUP BY id, run),
+h AS (SELECT run, c, xor(list_reduce(list_prepend(4294967295, {_crc_units}), lambda a, x: xor(xor(a, x) >> 1, 3988292384 * (xor(a, x) & 1))), 4294967295) AS h FROM c),
+w AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM (
+    SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word, c FROM h)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+x AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w),
+cut AS (SELECT DISTINCT word, n, substr(word, 1, i - 1) || substr(word, i + 1) AS shorter FROM x),
+pairs AS (
+  SELECT cut.word AS a, w.word AS b FROM cut JOIN w ON w.word = cut.shorter
+  UNION ALL SELECT w.word, cut.word FROM cut JOIN w ON w.word = cut.shorter
+  UNION ALL SELECT p.word, q.word FROM (SELECT word, i, substr(word, 1, i - 1) AS head, substr(word, i + 1) AS tail FROM x) p
+    JOIN (SELECT word, i, substr(word, 1, i - 1) AS head, substr(word, i + 1) AS tail FROM x) q ON p.i = q.i AND p.head = q.head AND p.tail = q.tail AND p.word <> q.word),
+k AS (SELECT a, count(*) AS n_near, min({{'rank': -w.n, 'word': b}}) AS best FROM pairs JOIN w ON w.word = b GROUP BY a),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.rank >= 10 * w.n THEN best.word END AS form, CASE WHEN -best.rank >= 10 * w.n THEN -best.rank END AS form_n
+  FROM w LEFT JOIN k ON k.a = w.word),
+t AS (SELECT word, word AS here, 0 AS depth FROM f UNION ALL SELECT t.word, f.form, depth + 1 FROM t JOIN f ON f.word = t.here WHERE f.form IS NOT NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN (SELECT word, arg_max(here, depth) AS root FROM t GROUP BY word) USING (word)"""
+
+_terms = f"unnest(regexp_extract_all(translate(text, {_upper}, {_lower_letters}), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'))"
+RANKED = f"""
+WITH t AS (SELECT doc_id, {_terms} AS term FROM documents),
+p AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+d AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM p GROUP BY doc_id),
+s AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM d),
+q AS (SELECT DISTINCT item_id, {_terms} AS term FROM benchmark),
+w AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * n_docs + 2) / (2.0::DOUBLE * count(*) + 1))) AS BIGINT) AS w FROM p, s WHERE term IN (SELECT term FROM q) GROUP BY term, n_docs),
+c AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM q JOIN w USING (term) JOIN p USING (term) JOIN d USING (doc_id), s GROUP BY ALL)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM c WHERE score > 0) WHERE rank <= 10"""

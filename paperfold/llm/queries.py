@@ -9,12 +9,15 @@ from paperfold.llm import (
     near_duplicates,
     oracles,
     packing,
+    pieces,
     pii,
     quality_classifier,
     quality_rules,
+    ranked,
     repeats,
     secrets,
     toxicity,
+    variants,
     warc,
 )
 from paperfold.llm.registry import query, table
@@ -98,3 +101,22 @@ def op4_decontaminate(spark, sf_dir):
 @query("op10_pii")
 def op10_pii(spark, sf_dir):
     return pii.replaced(table(spark, sf_dir, "documents"), count="n_replaced").select("doc_id", "text", "n_replaced")
+
+
+@query("op11_spelling_variants", oracles.VARIANTS)
+def op11_spelling_variants(spark, sf_dir):
+    found = variants.group(table(spark, sf_dir, "documents"), every=31)
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@query("op12_ranked_search", oracles.RANKED)
+def op12_ranked_search(spark, sf_dir):
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_sentencepiece")
+def op13_sentencepiece(spark, sf_dir):
+    encoded = pieces.encode(table(spark, sf_dir, "documents"))
+    decimal = F.array_join(F.col("ids").cast("array<string>"), ",")
+    told = encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(decimal, 256).alias("ids_sha256"), "ids")
+    return pieces.decode(told).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
