@@ -2,10 +2,11 @@
 
 Where no piece of a model holds a whitespace marker after another character, a text can be
 cut before each run of markers: the pieces of a chunk don't depend on its neighbours. Spark
-counts the distinct chunks of the corpus, each is segmented once, and the ids come back by
-position. The most frequent chunks, up to a bound of entries and bytes, are broadcast; every
-other chunk meets its documents by joins, one row per document and chunk, so that a frequent
-chunk never travels. A model whose pieces may cross markers makes each distinct text a chunk.
+counts the distinct chunks of the corpus. The most frequent ones, up to a bound of entries and
+bytes, are segmented once each and broadcast as a table, from which ids come back by position.
+A chunk beyond the bound is segmented once in each block of texts that holds it: moving the
+texts to such chunks, or the chunks to their texts, costs more than segmenting them anew. A
+model whose pieces may cross markers makes each distinct text a chunk.
 
 Edge cases: null and empty texts have no ids; a text of one long word is one chunk; repeated
 rows give repeated rows; an empty table gives an empty result; null ids stay null and get
@@ -29,9 +30,10 @@ from paperfold.llm import blocks as b
 from paperfold.llm.store import Stages, text_of
 
 MARKER = "▁"
-HEAD_CHUNKS = 300_000
-HEAD_BYTES = 32 << 20
-LONGEST_IN_HEAD = 1024
+TABLE_CHUNKS = 1_000_000
+TABLE_BYTES = 64 << 20
+LONGEST_IN_TABLE = 1024
+BLOCK_BYTES = 8 << 20
 STEPS_PER_DOUBLING = 8
 DECODED_AT_ONCE = 1 << 20
 
@@ -114,25 +116,24 @@ def distinct_chunks(docs: DataFrame, cut: bool) -> DataFrame:
     return docs.select("text").mapInArrow(run, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
 
 
-def segmented(counted: DataFrame, path: str, cut: bool) -> DataFrame:
-    """(chunk, n, ids): each chunk segmented once."""
+def segmented(table: DataFrame, path: str, cut: bool) -> DataFrame:
+    """(chunk, ids): each chunk segmented once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, ends = joined_ids(segment(path, cut, batch.column(0).to_pylist()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))],
-                                             names=["chunk", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))], names=["chunk", "ids"])
 
-    return counted.mapInArrow(run, "chunk string, n long, ids array<int>")
+    return table.select("chunk").mapInArrow(run, "chunk string, ids array<int>")
 
 
-def least_count_of_head(table: DataFrame, most: int, most_bytes: int) -> int:
-    """The least n such that the chunks of that many occurrences fit the bounds of the head;
-    taken from sums per logarithmic class of n, of which there are a few hundred at most."""
+def least_count_of_head(counted: DataFrame, most: int, most_bytes: int) -> int:
+    """The least n such that the chunks of that many occurrences fit the bounds of the table;
+    taken from sums per logarithmic class of n, of which there are a few hundred at most. A
+    chunk has at most one id a byte."""
     step = F.floor(F.log2("n") * STEPS_PER_DOUBLING)
-    size = F.octet_length("chunk") + 4 * F.size("ids") + 16
-    classes = table.where(F.octet_length("chunk") <= LONGEST_IN_HEAD).groupBy(step.alias("step")).agg(
-        F.min("n").alias("least"), F.count(F.lit(1)).alias("chunks"), F.sum(size).alias("bytes")).collect()
+    classes = counted.where(F.octet_length("chunk") <= LONGEST_IN_TABLE).groupBy(step.alias("step")).agg(
+        F.min("n").alias("least"), F.count(F.lit(1)).alias("chunks"), F.sum(5 * F.octet_length("chunk") + 16).alias("bytes")).collect()
     least, held, used = 1 << 62, 0, 0
     for c in sorted(classes, key=lambda c: -c["step"]):
         held, used = held + c["chunks"], used + c["bytes"]
@@ -143,65 +144,42 @@ def least_count_of_head(table: DataFrame, most: int, most_bytes: int) -> int:
 
 
 def encode(docs: DataFrame, ident: str = "doc_id", text: str = "text", path: str | None = None,
-           head_chunks: int = HEAD_CHUNKS, head_bytes: int = HEAD_BYTES) -> DataFrame:
+           table_chunks: int = TABLE_CHUNKS, table_bytes: int = TABLE_BYTES) -> DataFrame:
     """(id, ids): the ids of every text, without begin or end."""
     path = path or vocabulary()
     cut = can_cut(path)
-    spark = docs.sparkSession
-    stages = Stages(spark, "pieces")
+    stages = Stages(docs.sparkSession, "pieces")
     kind = docs.schema[ident].dataType.simpleString()
     rows = docs.select(text_of(docs[text].cast("string")).alias("text"), docs[ident].alias("id"))
-    rows = rows.withColumn("key", F.xxhash64("id", "text"))
-    table = stages.put("table", segmented(distinct_chunks(rows, cut), path, cut))
-    in_head = (F.octet_length("chunk") <= LONGEST_IN_HEAD) & (F.col("n") >= least_count_of_head(table, head_chunks, head_bytes))
-    head = table.where(in_head).select("chunk", "ids").toArrow().combine_chunks()  # at most head_chunks and head_bytes
-    sent = spark.sparkContext.broadcast(head)
-
-    def known() -> tuple[pa.Array, np.ndarray, np.ndarray]:
-        held = sent.value
-        words, lists = (held[c].combine_chunks() for c in ("chunk", "ids"))
-        if isinstance(words, pa.ChunkedArray):
-            words, lists = pa.array([], pa.string()), pa.array([], pa.list_(pa.int32()))
-        return words.cast(pa.large_string()), lists.flatten().to_numpy(), np.r_[0, np.cumsum(lists.value_lengths().to_numpy())].astype(np.int64)
-
-    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = known()[0]
-        for batch in batches:
-            for part, _, _ in b.split(batch, "text"):
-                found, at = chunks(part.column(0), cut)
-                coded = found.dictionary_encode()
-                other = pc.is_null(pc.index_in(coded.dictionary, words)).to_numpy(zero_copy_only=False)
-                code = coded.indices.to_numpy()
-                where = np.flatnonzero(other[code])
-                pairs = np.unique(b.owner(at)[where] << 32 | code[where])
-                yield pa.RecordBatch.from_arrays([part.column(1).take(pa.array(pairs >> 32)), coded.dictionary.take(pa.array(pairs & 0xFFFFFFFF)).cast(pa.string())],
-                                                 names=["key", "chunk"])
+    counted = stages.put("counted", distinct_chunks(rows, cut).where("n > 1"))
+    frequent = counted.where((F.octet_length("chunk") <= LONGEST_IN_TABLE) & (F.col("n") >= least_count_of_head(counted, table_chunks, table_bytes)))
+    table = segmented(frequent, path, cut).toArrow()  # at most table_chunks and table_bytes
+    stages.drop("counted")
+    lists = table["ids"].combine_chunks()
+    sent = docs.sparkSession.sparkContext.broadcast((
+        table["chunk"].combine_chunks().cast(pa.large_string()), lists.flatten().to_numpy(), np.r_[0, np.cumsum(lists.value_lengths().to_numpy())].astype(np.int64)))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, ids, ends = known()
+        words, ids, ends = sent.value
         for batch in batches:
-            for part, _, _ in b.split(batch, "text"):
+            _, bounds = b.flat(batch.column(0))
+            for first, last in b.blocks(np.arange(0), bounds, BLOCK_BYTES):
+                part = batch.slice(first, last - first)
                 found, at = chunks(part.column(0), cut)
                 coded = found.dictionary_encode()
-                rest = part.column(2).flatten()
-                rare, rare_ids = rest.field("chunk").cast(pa.large_string()), rest.field("ids")
-                all_ids = np.concatenate([ids, rare_ids.flatten().to_numpy()])
-                all_ends = np.r_[ends, ends[-1] + np.cumsum(rare_ids.value_lengths().to_numpy().astype(np.int64))]
-                in_head = pc.index_in(coded.dictionary, words)
-                in_rest = pc.add(pc.index_in(coded.dictionary, rare), pa.scalar(len(words), pa.int32()))
-                code = pc.coalesce(in_head, in_rest).to_numpy(zero_copy_only=False)[coded.indices.to_numpy()].astype(np.int64)
+                known = pc.index_in(coded.dictionary, words)
+                other = np.flatnonzero(pc.is_null(known).to_numpy(zero_copy_only=False))
+                place = pc.fill_null(known, 0).to_numpy().astype(np.int64)
+                place[other] = len(words) + np.arange(len(other))
+                more, more_ends = joined_ids(segment(path, cut, coded.dictionary.take(pa.array(other)).to_pylist()))
+                all_ids, all_ends = np.concatenate([ids, more]), np.r_[ends, ends[-1] + more_ends[1:]]
+                code = place[coded.indices.to_numpy()]
                 size = all_ends[code + 1] - all_ends[code]
                 upto = np.cumsum(size)
                 out = all_ids[np.arange(int(size.sum())) + np.repeat(all_ends[code] - upto + size, size)]
-                doc_ends = np.r_[0, upto][at]
-                yield pa.RecordBatch.from_arrays([part.column(1), pa.ListArray.from_arrays(pa.array(doc_ends, pa.int32()), pa.array(out.astype(np.int32)))], names=["id", "ids"])
-
-    wanted = rows.select("text", "key").mapInArrow(others, "key long, chunk string").distinct()
-    rare = wanted.join(table.where(~in_head).select("chunk", "ids"), "chunk").groupBy("key").agg(F.collect_list(F.struct("chunk", "ids")).alias("rest"))
-    rare = stages.put("rare", rare)
-    none = F.array().cast("array<struct<chunk:string,ids:array<int>>>")
-    full = rows.join(rare, "key", "left").select("text", "id", F.coalesce("rest", none).alias("rest"))
-    return full.mapInArrow(placed, f"id {kind}, ids array<int>").withColumnRenamed("id", ident)
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.ListArray.from_arrays(pa.array(np.r_[0, upto][at], pa.int32()), pa.array(out))], names=["id", "ids"])
+
+    return rows.mapInArrow(placed, f"id {kind}, ids array<int>").withColumnRenamed("id", ident)
 
 
 def decode(frame: DataFrame, ids: str = "ids", out: str = "decoded", path: str | None = None) -> DataFrame:
