@@ -30,12 +30,12 @@ from paperfold.llm import blocks as b
 from paperfold.llm.store import Stages, text_of
 
 MARKER = "▁"
-TABLE_CHUNKS = 1_000_000
-TABLE_BYTES = 64 << 20
+TABLE_CHUNKS = 500_000
+TABLE_BYTES = 32 << 20
 LONGEST_IN_TABLE = 1024
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 STEPS_PER_DOUBLING = 8
-DECODED_AT_ONCE = 1 << 20
+DECODED_AT_ONCE = 1 << 18
 
 
 def vocabulary() -> str:
@@ -176,7 +176,9 @@ def encode(docs: DataFrame, ident: str = "doc_id", text: str = "text", path: str
                 code = place[coded.indices.to_numpy()]
                 size = all_ends[code + 1] - all_ends[code]
                 upto = np.cumsum(size)
-                out = all_ids[np.arange(int(size.sum())) + np.repeat(all_ends[code] - upto + size, size)]
+                where = np.repeat((all_ends[code] - upto + size).astype(np.int32), size)
+                where += np.arange(len(where), dtype=np.int32)
+                out = all_ids[where]
                 yield pa.RecordBatch.from_arrays([part.column(1), pa.ListArray.from_arrays(pa.array(np.r_[0, upto][at], pa.int32()), pa.array(out))], names=["id", "ids"])
 
     return rows.mapInArrow(placed, f"id {kind}, ids array<int>").withColumnRenamed("id", ident)
