@@ -26,6 +26,7 @@ def load_all() -> None:
     from paperfold.catalog import (  # noqa: F401
         access,
         corpus,
+        published,
         quality,
         retrieval,
         streams,
