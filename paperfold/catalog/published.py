@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperfold.catalog import bridge as b
+from paperfold.catalog.corpus import bracket_papers
 from paperfold.catalog.registry import query
+from paperfold.catalog.streams import messages, run_to_end, table_stream
 from paperfold.functions.providers import hashing_embedder
 from paperfold.operators.upsert import CheckFailed
 from paperfold.plans.published import Published, index_run
-from paperfold.session import fresh_dir
+from paperfold.session import fresh_dir, materialise
+from paperfold.streaming.ingest import ingest_and_index
 
 SCHEMA = [f for f in b.SCHEMA if f["key"] in ("year", "topic")]
 
@@ -61,3 +64,18 @@ def index_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
             .join(store.table("chunks").groupBy("collection").agg(F.count(F.lit(1)).alias("chunks"), changed), "collection")
             .join(count("vectors"), "collection").join(count("papers"), "collection")
             .withColumn("runs", F.lit(len(store.runs()))).withColumn("refused", F.lit(refused)))
+
+
+@query("ingest_indexes", """
+WITH m AS (SELECT DISTINCT 'src' || (event_id % 20) AS collection, user_id FROM events WHERE event_id % 9 IN (0, 8)),
+d AS (SELECT doc_id, doc_id % 25 + 2000 AS year, doc_id % 9 + 1 AS paper, 1 + least((len(string_split(text, chr(10))) + 2) // 3, 26) AS chunks FROM documents)
+SELECT collection, count(*) AS papers, CAST(sum(chunks) AS BIGINT) AS chunks, CAST(sum(chunks) AS BIGINT) AS vectors FROM m JOIN d ON d.doc_id = m.user_id GROUP BY collection""")
+def ingest_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as ingest jobs: every valid one indexes the paper of its document."""
+    store = Published(spark, fresh_dir(spark, "runs"), buckets=1)
+    number = F.regexp_extract("path", "d([0-9]+)_content_list", 1)
+    lists = materialise(bracket_papers(spark, sf_dir).select(F.concat(F.lit("source-pdfs/d"), number, F.lit(".PDF")).alias("paper_object_key"), "value"), "lists")
+    run_to_end(ingest_and_index(messages(table_stream(spark, sf_dir, "events")), lists, lambda c: settings(c, None, "ingested"), SCHEMA,
+                                hashing_embedder(16), store, fresh_dir(spark, "dead"), fresh_dir(spark, "ckpt")))
+    count = lambda name: store.table(name).groupBy("collection").agg(F.count(F.lit(1)).alias(name))
+    return count("papers").join(count("chunks"), "collection").join(count("vectors"), "collection")

@@ -21,6 +21,7 @@ from paperfold.session import fresh_dir, materialise
 from paperfold.streaming import jobs as J
 from paperfold.streaming import rate_limit as R
 from paperfold.streaming import usage as U
+from paperfold.streaming import visibility as V
 
 SECRET = "pepper"
 
@@ -85,8 +86,9 @@ FROM (SELECT 'j' || user_id AS job_id, count(*) AS n, min(rn) FILTER (WHERE ok)
     FROM events) GROUP BY user_id)"""
 
 
-def receives(events: DataFrame) -> DataFrame:
+def receives(events: DataFrame, *more: str) -> DataFrame:
     return events.select(
+        *more,
         F.concat(F.lit("j"), F.col("user_id")).alias("job_id"),
         (F.col("event_type") == "purchase").alias("ok"), F.col("event_id").alias("seq"),
     )
@@ -113,6 +115,34 @@ def job_attempt_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out)
 
 
+@query("visibility_timeouts", """
+WITH RECURSIVE seq AS (SELECT 'j' || user_id AS job_id, epoch_us(ts) AS t, event_type = 'purchase' AS ok,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+mark AS (SELECT (max(epoch_us(ts)) // 1000 - 600000) * 1000 AS w FROM events),
+run AS (
+  SELECT DISTINCT job_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS t, CAST(NULL AS BIGINT) AS began, CAST(NULL AS BIGINT) AS ended, CAST(NULL AS BIGINT) AS dead FROM seq
+  UNION ALL
+  SELECT job_id, rn, t, CASE WHEN flight IS NULL THEN CASE WHEN NOT ok THEN t END WHEN ok THEN NULL ELSE flight END, CASE WHEN ok THEN flight END, gone
+  FROM (SELECT s.job_id, s.rn, s.t, s.ok, CASE WHEN r.began + 8100000000 > s.t THEN r.began END AS flight, CASE WHEN r.began + 8100000000 <= s.t THEN r.began END AS gone
+    FROM run r JOIN seq s ON s.job_id = r.job_id AND s.rn = r.rn + 1)),
+last AS (SELECT job_id, began, greatest(t, w) AS w FROM run, mark WHERE rn > 0 AND began IS NOT NULL
+  AND rn = (SELECT max(rn) FROM seq WHERE seq.job_id = run.job_id)),
+cycles AS (SELECT job_id, ended AS began, t AS upto, TRUE AS acked FROM run WHERE ended IS NOT NULL
+  UNION ALL SELECT job_id, dead, dead + 8100000000, FALSE FROM run WHERE dead IS NOT NULL
+  UNION ALL SELECT job_id, began, least(w, began + 8100000000), FALSE FROM last)
+SELECT job_id, event, receives, at_us FROM (
+  SELECT job_id, 'received' AS event, k + 1 AS receives, began + k * 2700000000 AS at_us FROM cycles, range(3) n(k) WHERE k = 0 OR began + k * 2700000000 <= upto
+  UNION ALL SELECT job_id, 'acked', (upto - began) // 2700000000 + 1, upto FROM cycles WHERE acked
+  UNION ALL SELECT job_id, 'dead_letter', 3, upto FROM cycles WHERE NOT acked AND upto = began + 8100000000)""")
+def visibility_timeouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as receives (purchases acknowledge): what comes back after 45 minutes, and what
+    is given up after the third receive."""
+    out = fresh_dir(spark, "flights")
+    rows = receives(table_stream(spark, sf_dir, "events").withColumn("_ts", F.col("ts").cast("timestamp")), "_ts")
+    run_to_end(U.usage_sink(V.flights(rows.withColumnRenamed("_ts", "ts")), out, fresh_dir(spark, "ckpt")))
+    return spark.read.parquet(out)
+
+
 def limit_requests(events: DataFrame) -> DataFrame:
     """events as search and study requests of users and addresses."""
     anonymous = F.col("event_type") == "error"

@@ -39,7 +39,7 @@ TRAILING_MARKS = f"{U}\\((\\d+)\\){WS}*\\z"
 QUESTION_MARKER = f"{U}\\A{WS}*Question{WS}+(\\d+){WS}*\\z"
 COURSE_CODE = r"\b([A-Z]{3,4}\d{5})\b"
 CALENDAR_YEAR = r"\b(20\d{2})\b"
-FILE_NUMBER = r"\A(\d+)_"
+FILE_NUMBER = r"\A(?:.*/)?(\d+)_"
 COVER_BOILERPLATE = (
     "Date", "Time", "Duration", "Instructions", "Special Instructions",
     "Special Items Permitted", "Calculator", "Convener", "External Examiner",

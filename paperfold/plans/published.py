@@ -63,6 +63,12 @@ class Published:
         rows = self.spark.read.parquet(f"{self._run(n)}/schemas").collect()
         return {r["table"]: T.StructType.fromJson(json.loads(r["schema"])) for r in rows}
 
+    def batches(self) -> set[tuple[str, int]]:
+        """The ledger of the published run: the last finished batch of each stream, the only
+        one that a restart can replay."""
+        known = self.runs()
+        return {tuple(r) for r in self.spark.read.parquet(f"{self._run(known[-1])}/batches").collect()} if known else set()
+
     def read(self, schema: T.StructType, parts: DataFrame) -> DataFrame:
         """The rows of some parts: collections are pruned by the list, whatever their names."""
         folders = [f"{self.root}/{r['folder']}" for r in parts.select("folder").distinct().collect()]
@@ -149,13 +155,14 @@ def incoming_tables(rows: DataFrame, settings: DataFrame, schema: list[dict], st
 
 
 def index_run(store: Published, chunks: DataFrame, settings: DataFrame, schema: list[dict], embedder,
-              recreate: tuple[str, ...] = (), artifacts: DataFrame | None = None) -> int:
+              recreate: tuple[str, ...] = (), artifacts: DataFrame | None = None, batch: tuple[str, int] | None = None) -> int:
     """Index chunks (with their ``collection``) and publish a run; its number.
 
     settings: name, community_id, display_name, embedding_model_id, embedding_dimension,
     metadata_schema of every collection that the chunks name. ``recreate`` names collections
     whose stored rows leave all four tables first. Stored papers keep their ids; an incoming
-    chunk replaces the stored one with its vector.
+    chunk replaces the stored one with its vector. ``batch`` (stream, number) is recorded in the
+    run's ledger of finished batches.
     """
     spark, job = store.spark, uuid.uuid4().hex
     if artifacts is not None:
@@ -187,6 +194,9 @@ def index_run(store: Published, chunks: DataFrame, settings: DataFrame, schema:
             schemas.append((table, shape.json()))
         reduce(DataFrame.unionByName, listed).coalesce(1).write.parquet(f"{staging}/parts")
         spark.createDataFrame(schemas, "table string, schema string").coalesce(1).write.parquet(f"{staging}/schemas")
+        done = {**dict(sorted(store.batches())), **dict([batch] if batch else [])}  # a stream replays its last batch only
+        done = sorted(done.items())
+        spark.createDataFrame(done, "stream string, number long").coalesce(1).write.parquet(f"{staging}/batches")
         return publish(store, staging, (before or 0) + 1)
     except BaseException:
         store._delete(staging)
