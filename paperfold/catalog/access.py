@@ -10,6 +10,7 @@ from paperfold.catalog.bridge import with_ctes
 from paperfold.catalog.registry import query
 from paperfold.operators import access as A
 from paperfold.operators import upsert as U
+from paperfold.operators.identity import upsert_identities
 from paperfold.plans import search as S
 
 
@@ -216,3 +217,69 @@ def domain_rule_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("suffix").alias("match_mode"), F.lit(True).alias("is_active"),
     )
     return U.upsert_domain_rules(b.domain_rules(spark, sf_dir), seed)
+
+
+UPSERT_SQL = """WITH RECURSIVE seq AS (
+  SELECT o_orderkey AS seq, o_custkey // 3 AS g, row_number() OVER (PARTITION BY o_custkey // 3 ORDER BY o_orderkey) AS rn,
+    CASE WHEN o_orderkey % 4 = 0 THEN 'stub_header' ELSE 'oidc' END AS p,
+    CASE WHEN o_orderkey % 13 <> 5 THEN 's' || (o_custkey // 3) || '-' || (o_orderkey % 5) END AS s,
+    CASE WHEN o_orderkey % 7 < 3 THEN 'a' || (o_custkey // 3) || '@x.org' WHEN o_orderkey % 7 < 5 THEN 'b' || (o_custkey // 3) || '@x.org'
+         WHEN o_orderkey % 7 = 5 THEN 'c' || (o_custkey // 3) || '@x.org' END AS e, o_orderkey % 11 <> 3 AS v
+  FROM orders),
+groups AS (SELECT DISTINCT o_custkey // 3 AS g FROM orders),
+run AS (
+  SELECT g, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS seq, CASE WHEN g % 2 = 0 THEN ['a' || g || '@x.org'] ELSE CAST([] AS VARCHAR[]) END AS people,
+    CASE WHEN g % 8 = 0 THEN [{'p': 'oidc', 's': 's' || g || '-1', 'e': 'a' || g || '@x.org'}, {'p': 'oidc', 's': 's' || g || '-2', 'e': 'a' || g || '@x.org'}]
+         WHEN g % 4 = 0 THEN [{'p': 'oidc', 's': 's' || g || '-1', 'e': 'a' || g || '@x.org'}]
+         ELSE CAST([] AS STRUCT(p VARCHAR, s VARCHAR, e VARCHAR)[]) END AS ids,
+    CAST(NULL AS VARCHAR) AS email, CAST(NULL AS VARCHAR) AS action, CAST(NULL AS VARCHAR) AS reason, FALSE AS v
+  FROM groups
+  UNION ALL
+  SELECT g, rn, seq, CASE WHEN reason IS NULL AND NOT list_contains(people, who) THEN list_append(people, who) ELSE people END,
+    CASE WHEN reason IS NULL AND own IS NULL THEN list_append(ids, {'p': p, 's': s, 'e': who}) ELSE ids END,
+    CASE WHEN reason IS NULL THEN who END,
+    CASE WHEN reason IS NOT NULL THEN 'reject' WHEN own IS NOT NULL THEN 'known' WHEN list_contains(people, who) THEN 'link' ELSE 'create' END, reason, v
+  FROM (SELECT *, CASE WHEN bad IS NOT NULL THEN bad WHEN (own IS NOT NULL OR p = 'oidc') AND len(list_filter(ids, lambda x: x.p = p AND x.e = who AND x.s <> s)) > 0
+        THEN 'identity_collision' END AS reason
+    FROM (SELECT *, coalesce(own, e) AS who FROM (
+      SELECT q.*, r.people, r.ids, CASE WHEN q.s IS NULL THEN 'identity_incomplete' WHEN q.p = 'oidc' AND NOT q.v THEN 'email_not_verified' WHEN q.e IS NULL THEN 'email_missing' END AS bad,
+        list_filter(r.ids, lambda x: x.p = q.p AND x.s = q.s)[1].e AS own
+      FROM run r JOIN seq q ON q.g = r.g AND q.rn = r.rn + 1))))
+"""
+
+
+def upserted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """orders as logins: three customers share subjects and e-mails; some of them are stored."""
+    k, g = F.col("o_orderkey"), F.floor(F.col("o_custkey") / 3)
+    orders = b.table(spark, sf_dir, "orders")
+    mail = lambda letter: F.concat(F.lit(letter), g, F.lit("@x.org"))
+    logins = orders.select(
+        k.alias("seq"), F.when(k % 4 == 0, "stub_header").otherwise("oidc").alias("provider"),
+        F.when(k % 13 != 5, F.concat(F.lit("s"), g, F.lit("-"), k % 5)).alias("external_subject"),
+        F.when(k % 7 < 3, mail("a")).when(k % 7 < 5, F.concat(F.lit(" B"), g, F.lit("@X.org"))).when(k % 7 == 5, mail("c")).alias("email"),
+        (k % 11 != 3).alias("email_verified"))
+    stored = orders.select(g.alias("g")).distinct().where("g % 2 = 0")
+    g = F.col("g")
+    people = stored.select(F.concat(F.lit("u"), g).alias("id"), mail("a").alias("email"), F.lit(False).alias("email_verified"))
+    subjects = F.explode(F.when(g % 8 == 0, F.array(F.lit("-1"), F.lit("-2"))).otherwise(F.array(F.lit("-1"))))
+    links = stored.where("g % 4 = 0").select(F.concat(F.lit("u"), g).alias("user_id"), F.lit("oidc").alias("provider"), "g", subjects.alias("x")).select(
+        "user_id", "provider", F.concat(F.lit("s"), g, "x").alias("external_subject"))
+    return upsert_identities(logins, people, links)
+
+
+@query("identity_upsert", UPSERT_SQL + "SELECT seq, email, action, reason FROM run WHERE rn > 0")
+def identity_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each login of a batch comes to, as if taken one by one."""
+    return upserted(spark, sf_dir)[0].select("seq", "email", "action", "reason")
+
+
+@query("identity_upsert_users", UPSERT_SQL + """, last AS (SELECT people, ids FROM run r WHERE rn = (SELECT max(rn) FROM run x WHERE x.g = r.g)),
+u AS (SELECT unnest(people) AS email FROM last),
+i AS (SELECT i.e AS email, count(*) AS identities FROM (SELECT unnest(ids) AS i FROM last) GROUP BY 1)
+SELECT u.email, coalesce(bool_or(r.v), FALSE) AS email_verified, coalesce(any_value(identities), 0) AS identities
+FROM u LEFT JOIN run r ON r.email = u.email AND r.action <> 'reject' LEFT JOIN i ON i.email = u.email GROUP BY u.email""")
+def identity_upsert_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users and the number of their identities after the batch."""
+    _, people, links = upserted(spark, sf_dir)
+    n = links.groupBy(F.col("user_id").alias("id")).agg(F.count(F.lit(1)).alias("identities"))
+    return people.join(n, "id", "left").select("email", "email_verified", F.coalesce("identities", F.lit(0)).alias("identities"))
