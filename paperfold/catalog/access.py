@@ -10,6 +10,7 @@ from paperfold.catalog.bridge import with_ctes
 from paperfold.catalog.registry import query
 from paperfold.operators import access as A
 from paperfold.operators import upsert as U
+from paperfold.operators import viewers as V
 from paperfold.operators.identity import upsert_identities
 from paperfold.plans import search as S
 
@@ -219,6 +220,38 @@ def domain_rule_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.upsert_domain_rules(b.domain_rules(spark, sf_dir), seed)
 
 
+def all_viewers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer, and someone who isn't signed in."""
+    signed = b.users(spark, sf_dir).join(affiliation_table(spark, sf_dir), "email").select(
+        F.col("id").alias("user_id"), F.col("community_id").alias("affiliation_community_id"))
+    nobody = spark.range(1).select(F.lit(None).cast("string").alias("user_id"), F.lit(None).cast("string").alias("affiliation_community_id"))
+    return signed.unionByName(nobody)
+
+
+@query("viewer_listings", with_ctes("acc", body="""
+SELECT v.user_id, string_agg(CASE WHEN ok THEN v.name END, ',' ORDER BY v.name) AS accessible, count(*) FILTER (WHERE NOT ok) AS locked,
+  CASE WHEN v.user_id IS NULL THEN 'locked_requires_signin' ELSE 'locked_wrong_affiliation' END AS locked_state
+FROM (SELECT u.id AS user_id, c.name, c.community_id IS NULL OR (m.user_id IS NOT NULL AND (a.community_id IS NULL OR a.community_id = c.community_id)) AS ok
+  FROM (SELECT id, email FROM users UNION ALL SELECT NULL, NULL) u CROSS JOIN colls c LEFT JOIN aff a ON a.email = u.email
+  LEFT JOIN (SELECT DISTINCT user_id, community_id FROM memberships WHERE status = 'active') m ON m.user_id = u.id AND m.community_id = c.community_id) v
+GROUP BY v.user_id"""))
+def viewer_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every customer may read, by classes of viewers."""
+    collections = b.collections(spark, sf_dir)
+    viewers, classes = V.viewer_classes(all_viewers(spark, sf_dir), b.memberships(spark, sf_dir), collections)
+    listings = V.class_listings(classes, collections)
+    return viewers.join(listings, "class_id").select("user_id", F.nullif(F.array_join("accessible", ","), F.lit("")).alias("accessible"), "locked", "locked_state")
+
+
+@query("class_restricted_queries", with_ctes("acc", body="SELECT event_id, user_id, collection FROM states WHERE access_state = 'accessible'"))
+def class_restricted_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries that may run, decided once per class of viewers."""
+    collections = b.collections(spark, sf_dir)
+    viewers, classes = V.viewer_classes(all_viewers(spark, sf_dir), b.memberships(spark, sf_dir), collections)
+    queries = b.requests(spark, sf_dir).select("event_id", "user_id", "collection").join(collections.select(F.col("name").alias("collection")), "collection", "left_semi")
+    return V.allowed_queries(queries.select("event_id", "user_id", "collection"), viewers, V.readable(classes, collections), V.open_to_all(collections))
+
+
 UPSERT_SQL = """WITH RECURSIVE seq AS (
   SELECT o_orderkey AS seq, o_custkey // 3 AS g, row_number() OVER (PARTITION BY o_custkey // 3 ORDER BY o_orderkey) AS rn,
     CASE WHEN o_orderkey % 4 = 0 THEN 'stub_header' ELSE 'oidc' END AS p,
