@@ -57,10 +57,10 @@ def blocks(data: np.ndarray, at: np.ndarray, most: int = BLOCK_BYTES) -> Iterato
         first = last
 
 
-def split(batch: pa.RecordBatch, text: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def split(batch: pa.RecordBatch, text: str, most: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, bytes, offsets) of the blocks of a batch."""
     data, at = flat(batch.column(batch.schema.get_field_index(text)))
-    for first, last in blocks(data, at):
+    for first, last in blocks(data, at, most):
         yield batch.slice(first, last - first), data[at[first] : at[last]], at[first : last + 1] - at[first]
 
 

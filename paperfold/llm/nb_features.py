@@ -3,8 +3,9 @@
 Features are hashed n-grams of units (characters or tokens) in 2 ** BITS places. How many
 labelled texts of each class hold a feature is counted over all training rows by Spark; those
 of LEAST_TEXTS texts or more stay, each scaled by its log-count ratio, and the regularised fit
-weighs them. Nothing but the number of places bounds the model. The fit takes a bounded,
-hash-ordered sample of the labelled texts (its bound is a parameter); every text is scored.
+weighs them. The fit takes a bounded, hash-ordered sample of the labelled texts (its bound is
+a parameter). It can move the weights of features that the sample holds only, so these alone,
+with their ratios from all texts, reach the driver and the tasks; every text is scored.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from paperfold.llm.store import Stages, text_of
 BITS = 22
 LEAST_TEXTS = 2
 BROADCAST_TEXTS = 2_000_000
+BLOCK_BYTES = 1 << 18
 SMOOTHING = 1.0
 # Classes of bytes for tokens: 0 white space, 1 letters, digits and non-ASCII, 2 the rest.
 KINDS = np.full(256, 2, np.uint8)
@@ -61,9 +63,11 @@ class Features:
         """(rows, features, documents): the distinct (document, feature) pairs of a block, of
         the wanted features if a table of them is given."""
         for batch in batches:
-            for rows, data, at in b.split(batch, "text"):
+            for rows, data, at in b.split(batch, "text", BLOCK_BYTES):
                 h, unit_at = self.units(rows, data, at)
                 doc = b.owner(unit_at)
+                kind = np.uint32 if len(rows) <= 1 << (32 - BITS) else np.int64  # short keys sort faster
+                upper = doc.astype(kind) << kind(BITS)
                 found = []
                 g = h
                 for n in range(1, max(self.orders) + 1):
@@ -71,16 +75,18 @@ class Features:
                         g = g[:-1] * b.NGRAM + h[n - 1 :]
                     if n not in self.orders or not len(g):
                         continue
-                    place = ((g ^ (g >> b.U64(29))) * b.U64(0xBF58476D1CE4E5B9) >> b.U64(64 - BITS)).astype(np.int64)
+                    place = ((g ^ (g >> b.U64(29))) * b.U64(0xBF58476D1CE4E5B9) >> b.U64(64 - BITS)).astype(kind)
                     use = doc[: len(g)] == doc[n - 1 :]
                     if wanted is not None:
                         use &= wanted[place]
-                    use = np.flatnonzero(use)
-                    found.append(doc[use] << BITS | place[use])
+                    found.append((upper[: len(g)] | place)[use])
                 if self.echo and len(h) > 1 and (wanted is None or wanted[0]):
-                    found.append(doc[1:][(h[1:] == h[:-1]) & (doc[1:] == doc[:-1])] << BITS)
-                pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-                yield rows, pairs & ((1 << BITS) - 1), pairs >> BITS
+                    found.append(upper[1:][(h[1:] == h[:-1]) & (doc[1:] == doc[:-1])])
+                pairs = np.sort(np.concatenate(found)) if found else np.zeros(0, kind)
+                new = np.ones(len(pairs), bool)
+                new[1:] = pairs[1:] != pairs[:-1]
+                pairs = pairs[new]
+                yield rows, (pairs & kind((1 << BITS) - 1)).astype(np.int64), (pairs >> kind(BITS)).astype(np.int64)
 
 
 @dataclass(frozen=True)
@@ -118,60 +124,78 @@ def class_counts(rows: DataFrame, features: Features) -> DataFrame:
     the texts themselves. A task sums what it reads before anything is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, 1 << BITS), np.int64)
+        sums = np.zeros((2, 1 << BITS), np.int32)
         texts = np.zeros(2, np.int64)
         for part, places, doc in features.each(batches, None):
             y = part.column(2).to_numpy(zero_copy_only=False)
             for c in (0, 1):
-                sums[c] += np.bincount(places[y[doc] == c], minlength=1 << BITS)
+                np.add.at(sums[c], places[y[doc] == c], 1)
                 texts[c] += (y == c).sum()
         used = np.flatnonzero(sums.any(0))
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, used].astype(np.int32)), pa.array(np.r_[texts[1], sums[1][used]]), pa.array(np.r_[texts[0], sums[0][used]])],
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, used].astype(np.int32)), pa.array(np.r_[texts[1], sums[1][used].astype(np.int64)]), pa.array(np.r_[texts[0], sums[0][used].astype(np.int64)])],
                                          names=["place", "ones", "zeros"])
 
     return rows.mapInArrow(run, "place int, ones long, zeros long").groupBy("place").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
 
 
-def log_count_ratios(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, float, float]:
-    """(places, ratios) of the features, at most 2 ** BITS, and the texts of class 1 and 0."""
+def sample(docs: DataFrame, once: DataFrame, features: Features, per_class: int) -> DataFrame:
+    """(doc_id, y, places): at most ``per_class`` of the labelled texts of each class, in hash
+    order, with their features."""
+    some = [once.where(F.col("y") == c).orderBy(F.xxhash64("doc_id"), "pair").limit(per_class) for c in (0, 1)]
+    picked = texts_of(docs, some[0].unionByName(some[1]), True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, found, doc in features.each(batches, None):
+            ends = np.searchsorted(doc, np.arange(len(part) + 1)).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(found.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), lists], names=["doc_id", "y", "places"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return picked.mapInArrow(run, f"doc_id {kind}, y int, places array<int>")
+
+
+def log_count_ratios(counts: DataFrame, picked: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(places, ratios) of the sample's features that LEAST_TEXTS of all texts hold; the sample
+    bounds them."""
     whole = counts.where("place = -1").first()
     ones, zeros = (float(whole["ones"]), float(whole["zeros"])) if whole else (0.0, 0.0)
     if not ones or not zeros:
-        return np.zeros(0, np.int64), np.zeros(0), ones, zeros
+        return np.zeros(0, np.int64), np.zeros(0)
     ratio = F.log((F.col("ones") + SMOOTHING) / (ones + 2 * SMOOTHING)) - F.log((F.col("zeros") + SMOOTHING) / (zeros + 2 * SMOOTHING))
-    told = counts.where("place >= 0").where(F.col("ones") + F.col("zeros") >= LEAST_TEXTS).select("place", ratio.alias("ratio")).toPandas().sort_values("place")
-    return told["place"].to_numpy(np.int64), told["ratio"].to_numpy(float), ones, zeros
+    held = picked.select(F.explode("places").alias("place")).distinct()
+    told = counts.where(F.col("ones") + F.col("zeros") >= LEAST_TEXTS).join(held, "place").select("place", ratio.alias("ratio")).toArrow()
+    places, ratios = told["place"].to_numpy().astype(np.int64), told["ratio"].to_numpy()
+    order = np.argsort(places)
+    return places[order], ratios[order]
 
 
-def sample(docs: DataFrame, once: DataFrame, features: Features, places: np.ndarray, per_class: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """At most ``per_class`` of the labelled texts of each class, in hash order, as positions
-    in ``places``."""
-    some = [once.where(F.col("y") == c).orderBy(F.xxhash64("doc_id"), "pair").limit(per_class) for c in (0, 1)]
-    picked = texts_of(docs, some[0].unionByName(some[1]), True)
-    wanted = docs.sparkSession.sparkContext.broadcast(places)
+def collected(picked: DataFrame, places: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The sample's texts as positions in ``places``, and their classes."""
+    wanted = picked.sparkSession.sparkContext.broadcast(places)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << BITS, bool)
-        table[wanted.value] = True
-        for part, found, doc in features.each(batches, table):
-            at = np.searchsorted(doc, np.arange(len(part) + 1))
-            cols = [found[at[i] : at[i + 1]] for i in range(len(part))]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([c.astype(np.int32) for c in cols], pa.list_(pa.int32()))], names=["doc_id", "y", "places"])
+        at = np.full(1 << BITS, -1, np.int32)
+        at[wanted.value] = np.arange(len(wanted.value))
+        for batch in batches:
+            lists = batch.column(2)
+            flat = at[lists.flatten().to_numpy()]
+            upto = np.r_[0, np.cumsum(flat >= 0)]
+            ends = upto[np.r_[0, np.cumsum(lists.value_lengths().to_numpy())]].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat[flat >= 0]))], names=["doc_id", "y", "places"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = picked.mapInArrow(run, f"doc_id {kind}, y int, places array<int>").toArrow()
-    rows = rows.take(pa.array(np.argsort(rows["doc_id"].to_numpy(), kind="stable"))).combine_chunks()
-    y, parts = rows["y"].to_numpy(), rows["places"].combine_chunks()
-    ends = np.r_[0, np.cumsum(parts.value_lengths().to_numpy())] if len(rows) else np.zeros(1, np.int64)
-    at = np.zeros(1 << BITS, np.int32)
-    at[places] = np.arange(len(places))
-    flat = at[parts.flatten().to_numpy()]
-    return [flat[i:j] for i, j in zip(ends, ends[1:], strict=False)], y
+    rows = picked.mapInArrow(run, picked.schema).toArrow()
+    parts, ids = [], rows["doc_id"].to_numpy()
+    for chunk in rows["places"].chunks:
+        flat, ends = chunk.flatten().to_numpy(), np.r_[0, np.cumsum(chunk.value_lengths().to_numpy())]
+        parts += [flat[i:j] for i, j in zip(ends, ends[1:], strict=False)]
+    order = np.argsort(ids, kind="stable")
+    return [parts[i] for i in order], rows["y"].to_numpy()[order]
 
 
 def score(docs: DataFrame, features: Features, model: Model, ident: str = "doc_id") -> DataFrame:
     """(id, margin) of every row: the summed weights of its distinct features and the bias."""
-    sent = docs.sparkSession.sparkContext.broadcast((model.places, model.weights, model.bias))  # at most 2 ** BITS weights
+    some = model.weights != 0  # at most the features of the sample
+    sent = docs.sparkSession.sparkContext.broadcast((model.places[some].astype(np.int32), model.weights[some], model.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, weights, bias = sent.value
@@ -196,10 +220,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str, train_on: Column, feat
     prior = math.log(((known["ones"] or 0) + 1e-6) / (known["n"] - (known["ones"] or 0) + 1e-6))
     once = labelled(docs, labels, label, train_on, stages)
     counts = stages.put("counts", class_counts(texts_of(docs, once, once.count() <= BROADCAST_TEXTS), features))
-    places, ratios, _, _ = log_count_ratios(counts)
+    picked = stages.put("sample", sample(docs, once, features, fitted))
+    places, ratios = log_count_ratios(counts, picked)
     model = Model(places, ratios, max(-30.0, min(30.0, prior)))
     if len(places):
-        found, y = sample(docs, once, features, places, fitted)
-        model = Model(places, *fit(found, y, ratios, prior))
-    stages.drop("counts", "once")
+        model = Model(places, *fit(*collected(picked, places), ratios, prior))
+    stages.drop("counts", "once", "sample")
     return model
