@@ -95,7 +95,8 @@ def op2_secrets(spark, sf_dir):
 
 @query("op4_decontaminate")
 def op4_decontaminate(spark, sf_dir):
-    return decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("item_ids", F.array_join(F.col("item_ids").cast("array<string>"), ","))
 
 
 @query("op10_pii")
