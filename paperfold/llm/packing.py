@@ -18,7 +18,7 @@ itself; an empty table gives no piece; columns besides id and text are not read.
 from __future__ import annotations
 
 import sys
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from itertools import chain
 from types import ModuleType
@@ -30,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paperfold.llm import blocks as b
 from paperfold.llm.store import Stages
 
 WINDOW = 4096
@@ -37,6 +38,7 @@ OPEN_WINDOWS = 64
 MERGE_FAN = 64
 END_ID = 2
 CACHED_WORDS = 700_000
+BLOCK_BYTES = 4 << 20
 PIECE = "doc_id {kind}, start long, length long, doc_tokens long, window long, at long, open boolean, ids binary"
 
 
@@ -124,16 +126,29 @@ class WordEncoder:
         if len(self.parts.place) > self.most:
             self.parts.forget([*alone, *many])
 
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(set(chain.from_iterable(split)).difference(self.words.place))
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text. Arrow finds the distinct words of the block; Python sees these only."""
+        data, at = b.flat(texts)
+        gap = (data == 32) | (data == 10)
+        start, end = b.edges(~gap, at)
+        kept = np.ascontiguousarray(data[~gap])
+        coded = pa.LargeStringArray.from_buffers(
+            len(start), pa.py_buffer(np.r_[0, np.cumsum(end - start)].astype(np.int64)), pa.py_buffer(kept)).dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        new = [w for w in words if w not in self.words.place]
         if new:
             self.learn(new)
-        ids, upto = self.words.of(chain.from_iterable(split))
+        place = np.fromiter(map(self.words.place.__getitem__, words), np.int64, len(words))
+        place = place[coded.indices.to_numpy()]
+        size = self.words.ends[place + 1] - self.words.ends[place]
+        upto = np.cumsum(size)
+        where = np.repeat(self.words.ends[place] - upto + size, size)
+        where += np.arange(len(where))
+        ids = self.words.ids[where]
         if len(self.words.place) > self.most:  # what was known before this block stays
             self.words.forget(new)
-        ends = upto[np.cumsum([len(p) for p in split]) - 1]
-        return [ids[a:b] for a, b in zip(np.r_[0, ends[:-1]], ends, strict=True)]
+        ends = np.r_[0, upto][np.searchsorted(start, at)]
+        return [ids[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def encoder(path: str) -> WordEncoder:
@@ -145,26 +160,31 @@ def encoder(path: str) -> WordEncoder:
 
 
 class OpenWindows:
-    """At most ``most`` open windows of ``size`` tokens, by number: (tokens used, number)."""
+    """At most ``most`` open windows of ``size`` tokens, by number, with the tokens used; also
+    kept in the order of (used, -number)."""
 
     def __init__(self, size: int, most: int, number) -> None:
-        self.size, self.most, self.number, self.used = size, most, number, {}
+        self.size, self.most, self.number = size, most, number
+        self.used: dict[int, int] = {}
+        self.order: list[tuple[int, int]] = []
 
     def place(self, length: int) -> tuple[int, int, int | None]:
         """(window, offset in it, window emitted to make room)."""
-        fits = [(u, -w) for w, u in self.used.items() if u + length <= self.size]
+        fits = bisect_right(self.order, (self.size - length, 1))
         emitted = None
         if fits:
-            used, window = max(fits)
+            used, window = self.order.pop(fits - 1)
             window = -window
         else:
-            if len(self.used) >= self.most:
-                emitted = max(self.used.items(), key=lambda x: (x[1], -x[0]))[0]
+            if len(self.order) >= self.most:
+                emitted = -self.order.pop()[1]
                 del self.used[emitted]
             used, window = 0, self.number()
-        self.used[window] = used + length
-        if self.used[window] == self.size:
-            del self.used[window]
+        if used + length == self.size:
+            self.used.pop(window, None)
+        else:
+            self.used[window] = used + length
+            insort(self.order, (used + length, -window))
         return window, used, emitted
 
 
@@ -201,11 +221,8 @@ def pack(docs: DataFrame, ident: str = "doc_id", text: str = "text", path: str |
 
         for batch in batches:
             pa_kind = batch.schema.field(0).type
-            size = max(1, min(256, batch.num_rows * (4 << 20) // max(batch.nbytes, 1)))
-            for first in range(0, batch.num_rows, size):
-                part = batch.slice(first, size)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                for doc, ids in zip(part.column(0).to_pylist(), encode(texts), strict=True):
+            for part, _, _ in b.split(batch, "text", BLOCK_BYTES):
+                for doc, ids in zip(part.column(0).to_pylist(), encode(part.column(1)), strict=True):
                     ids = np.append(ids, np.uint32(end_id))
                     for start in range(0, len(ids), window):
                         piece = ids[start : start + window]
