@@ -25,7 +25,9 @@ def query(name: str, sql: str | None = None):
 def load_all() -> None:
     from paperfold.catalog import (  # noqa: F401
         access,
+        constraints,
         corpus,
+        evaluating,
         published,
         quality,
         retrieval,

@@ -55,17 +55,6 @@ def membership_checks() -> dict[str, Column]:
     }
 
 
-def domain_rule_checks() -> dict[str, Column]:
-    return {
-        "domain_lowercase": F.col("domain") == F.lower("domain"),
-        "match_mode": F.col("match_mode").isin("exact", "suffix"),
-    }
-
-
-def collection_checks() -> dict[str, Column]:
-    return {"dimension_positive": F.col("embedding_dimension") > 0}
-
-
 def render_block_problems(chunks: DataFrame) -> DataFrame:
     """(chunk_id, block_index, problem) of every invalid block."""
     return chunks.filter(F.col("render_blocks").isNotNull()).select(
