@@ -472,5 +472,5 @@ def test_pipeline_stages(spark, tmp_path):
 
 
 def test_queries_are_registered():
-    assert sorted({int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")}) == list(range(1, 11))
+    assert sorted({int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")}) == list(range(1, 14))
     assert queries.QUERIES is QUERIES if hasattr(queries, "QUERIES") else True
