@@ -138,7 +138,7 @@ def class_counts(rows: DataFrame, features: Features) -> DataFrame:
     return rows.mapInArrow(run, "place int, ones long, zeros long").groupBy("place").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
 
 
-def sample(docs: DataFrame, once: DataFrame, features: Features, per_class: int) -> DataFrame:
+def chosen(docs: DataFrame, once: DataFrame, features: Features, per_class: int) -> DataFrame:
     """(doc_id, y, places): at most ``per_class`` of the labelled texts of each class, in hash
     order, with their features."""
     some = [once.where(F.col("y") == c).orderBy(F.xxhash64("doc_id"), "pair").limit(per_class) for c in (0, 1)]
@@ -192,6 +192,11 @@ def collected(picked: DataFrame, places: np.ndarray) -> tuple[list[np.ndarray],
     return [parts[i] for i in order], rows["y"].to_numpy()[order]
 
 
+def sample(docs: DataFrame, once: DataFrame, features: Features, places: np.ndarray, per_class: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The chosen texts as positions in ``places``, and their classes, without a stage."""
+    return collected(chosen(docs, once, features, per_class), places)
+
+
 def score(docs: DataFrame, features: Features, model: Model, ident: str = "doc_id") -> DataFrame:
     """(id, margin) of every row: the summed weights of its distinct features and the bias."""
     some = model.weights != 0  # at most the features of the sample
@@ -220,7 +225,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, train_on: Column, feat
     prior = math.log(((known["ones"] or 0) + 1e-6) / (known["n"] - (known["ones"] or 0) + 1e-6))
     once = labelled(docs, labels, label, train_on, stages)
     counts = stages.put("counts", class_counts(texts_of(docs, once, once.count() <= BROADCAST_TEXTS), features))
-    picked = stages.put("sample", sample(docs, once, features, fitted))
+    picked = stages.put("sample", chosen(docs, once, features, fitted))
     places, ratios = log_count_ratios(counts, picked)
     model = Model(places, ratios, max(-30.0, min(30.0, prior)))
     if len(places):
