@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from paperfold.catalog import bridge as b
 from paperfold.catalog.corpus import bracket_papers
 from paperfold.catalog.registry import query
+from paperfold.catalog.retrieval import RANKED_SQL
+from paperfold.catalog.study import PACK_SQL
 from paperfold.functions.providers import hashing_embedder, lexical_overlap
 from paperfold.plans import chunking as CH
 from paperfold.plans import indexing as IX
@@ -310,9 +312,54 @@ def index_and_reindex(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("study_answers")
+# Item ids of the second pass are 3,000,000 higher in the SQL.
+STUDY_SQL = """WITH RECURSIVE asked AS (SELECT item_id, text FROM benchmark UNION ALL
+  SELECT 3000000 + item_id, array_to_string(regexp_extract_all('more ' || text, '\\S+')[1:40], ' ') FROM benchmark),
+""" + b.CTE["ch"] + ",\n" + b.CTE["tok"].replace("FROM benchmark", "FROM asked") + ",\n" + RANKED_SQL.replace("WHERE score >= 0.25", "") + """,
+plans AS (SELECT item_id AS k, 'q' || item_id AS rid, 'q' || (3000000 + item_id) AS again,
+    len(regexp_extract_all(text, '\\S+')) BETWEEN 1 AND 40 AS planned FROM benchmark),
+routed AS (SELECT *, planned AND k % 6 = 5 AS direct FROM plans),
+seen AS (SELECT query_id, count(*) AS n, list(chunk_id ORDER BY rank) AS ids FROM results GROUP BY 1),
+passes AS (SELECT p.*, a.n AS n1, b.n AS n2, a.ids[1] AS t1, coalesce(a.ids[3], a.ids[1]) AS t3,
+    CASE WHEN direct OR a.n IS NULL THEN NULL WHEN k % 7 = 3 THEN 'keep_all' WHEN k % 4 = 0 THEN 'requery' ELSE 'keep' END AS d1,
+    len([x FOR x IN b.ids IF NOT list_contains(a.ids, x)]) AS fresh
+  FROM routed p LEFT JOIN seen a ON a.query_id = p.rid LEFT JOIN seen b ON b.query_id = p.again),
+decided AS (SELECT *, CASE WHEN direct THEN 'direct' WHEN d1 IS NULL THEN 'empty' WHEN d1 <> 'requery' THEN d1
+    WHEN n2 IS NULL THEN 'empty' WHEN fresh = 0 OR k % 8 = 0 THEN 'abstain' ELSE 'keep_second' END AS decision FROM passes),
+runs AS (SELECT d.rid AS query_id, r.rank, r.chunk_id, r.score, r.chunk_level, r.parent_chunk_id, r.text FROM decided d
+  JOIN results r ON r.query_id = CASE WHEN d.decision = 'keep_second' THEN d.again ELSE d.rid END
+  WHERE d.decision IN ('keep_all', 'keep_second') OR (d.decision = 'keep' AND r.rank <> 2)),
+removed AS (SELECT DISTINCT s.query_id, CASE WHEN s.score > p.score THEN p.chunk_id ELSE s.chunk_id END AS chunk_id
+  FROM runs s JOIN runs p ON p.query_id = s.query_id AND p.chunk_id = s.parent_chunk_id WHERE s.chunk_level = 'sub_question'),
+remaining AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank, chunk_id, text FROM runs r
+  WHERE NOT EXISTS (SELECT 1 FROM removed x WHERE x.query_id = r.query_id AND x.chunk_id = r.chunk_id)),
+""" + PACK_SQL.replace("FROM results)", "FROM remaining)") + """,
+context AS (SELECT t.query_id, list(t.chunk_id ORDER BY t.rank) AS ctx FROM tokens t
+  JOIN fold f ON f.query_id = t.query_id AND f.rank = t.rank AND f.packed GROUP BY 1),
+cited AS (SELECT d.*, c.ctx, CASE k % 5 WHEN 0 THEN [t1, t1] WHEN 1 THEN [t1, 'x0'] WHEN 2 THEN ['x0', 'x1'] WHEN 3 THEN [t1, t3] END AS cites
+  FROM decided d LEFT JOIN context c ON c.query_id = d.rid),
+resolved AS (SELECT *, [x FOR x IN cites IF list_contains(ctx, x)] AS kept, decision IN ('keep', 'keep_all', 'keep_second') AS shown FROM cited),
+judged AS (SELECT *, CASE WHEN NOT shown THEN NULL WHEN cites IS NULL THEN 'schema_validation_failed'
+    WHEN len(kept) = 0 THEN 'citation_validation_cascade_failure' END AS error FROM resolved)
+SELECT rid AS request_id, CASE WHEN direct THEN 'out_of_scope' ELSE 'content_retrieval' END AS intent,
+  CASE WHEN planned THEN 'ok' ELSE 'fallback' END AS planning_status,
+  CASE WHEN direct THEN 'no_corpus_answer' WHEN NOT shown THEN 'insufficient_evidence' WHEN error IS NOT NULL THEN 'generation_failed'
+    WHEN len(kept) < len(cites) THEN 'partial' ELSE 'ok' END AS answer_status,
+  CASE decision WHEN 'direct' THEN 'skipped' WHEN 'empty' THEN 'empty' WHEN 'abstain' THEN 'low_relevance' ELSE 'ok' END AS retrieval_status,
+  CASE WHEN NOT shown THEN 0 WHEN decision = 'keep_second' THEN n2 ELSE n1 END AS returned_result_count,
+  coalesce(d1 = 'requery', FALSE) AS requery_attempted,
+  CASE WHEN shown AND cites IS NOT NULL THEN len(cites) - len(kept) ELSE 0 END AS citation_drops, error AS error_category,
+  CASE WHEN decision = 'abstain' THEN 'reflection_abstained' WHEN direct THEN 'no_corpus_answer' ELSE coalesce(error, 'ok') END AS outcome,
+  CASE WHEN shown THEN array_to_string(ctx, ',') ELSE '' END AS context_ids,
+  CASE WHEN NOT shown THEN '' WHEN error IS NOT NULL THEN array_to_string(ctx, ',')
+    WHEN kept[1] = kept[2] THEN kept[1] ELSE array_to_string(kept, ',') END AS source_ids FROM judged"""
+
+
+@query("study_answers", STUDY_SQL)
 def study_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole study job: plans, search, grades, one requery, packing, citations."""
+    """The whole study job: plans, search, grades, one requery, packing, citations. Graders and
+    drafts work on the request's own results: a grader fails, rejects all or leaves out the second
+    one; a draft cites own results, an id with a suffix, ids that nobody was shown, or is missing."""
     k = F.col("item_id")
     items = b.table(spark, sf_dir, "benchmark")
     rid = F.concat(F.lit("q"), k).alias("request_id")
@@ -324,6 +371,8 @@ def study_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array("text").alias("semantic_queries"),
         F.when(k % 6 == 5, "out_of_scope").otherwise("content_retrieval").alias("intent"),
     )).alias("plan_json"), F.lit(None).cast("string").alias("plan_error"))
+    more = F.concat(F.lit("more "), F.col("text"))
+    again = items.select(rid, more.alias("reformulated_query"))
     embed = hashing_embedder(64)
     vectors = b.text_vectors(spark, sf_dir)
     stored = b.stored_chunks(spark, sf_dir)
@@ -333,28 +382,32 @@ def study_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
             queries.withColumn("vector", embed("query")), vectors, stored, None, lexical_overlap
         )
 
-    def judged(query: Column, n: int) -> DataFrame:
-        """Grader output of a pass: every result of that pass's own search is accepted."""
-        found = searcher(requests.select(F.col("request_id").alias("query_id"), query.alias("query"), "collection",
-                                         "filters", F.col("top_k").alias("limit"), F.lit(True).alias("rerank")))
-        k = F.substr("query_id", F.lit(2)).cast("bigint")
-        return found.groupBy("query_id").agg(F.collect_list("chunk_id").alias("ids")).select(
-            F.col("query_id").alias("request_id"), F.lit(n).alias("pass"), F.to_json(F.struct(
-                F.when(k % 4 == 0, F.array().cast("array<string>")).otherwise(F.col("ids")).alias("accepted_chunk_ids"),
-                F.lit("").alias("critique"))).alias("grade_json"))
-
-    grades = materialise(judged(F.col("query"), 1).unionByName(
-        judged(F.concat(F.lit("more "), F.col("query")), 2)), "grades")
-    again = items.select(rid, F.concat(F.lit("more "), "text").alias("reformulated_query"))
-    drafts = items.select(rid, F.to_json(F.struct(
+    def asked(n: int, query: Column) -> DataFrame:
+        return items.select(F.concat(F.lit(f"{n}q"), k).alias("query_id"), query.alias("query"), b.corpus_of("item_id"),
+                            b.no_filters().alias("filters"), F.lit(15).alias("limit"), F.lit(True).alias("rerank"))
+
+    both = asked(1, F.col("text")).unionByName(asked(2, ST.check_reformulation(more, F.col("text"))))
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda x: x["chunk_id"])
+    found = materialise(searcher(both.where("query IS NOT NULL")).groupBy("query_id").agg(ids.alias("ids")).select(
+        F.substr("query_id", F.lit(2)).alias("request_id"), F.substr("query_id", F.lit(1), F.lit(1)).cast("int").alias("pass"),
+        F.substr("query_id", F.lit(3)).cast("bigint").alias("k"), "ids"), "grades")
+    n = F.col("k")
+    none = F.array().cast("array<string>")
+    accepted = F.when(F.col("pass") == 1, F.when(n % 4 == 0, none).otherwise(F.array_except("ids", F.slice("ids", 2, 1)))).otherwise(
+        F.when(n % 8 == 0, none).otherwise(F.col("ids")))
+    grades = found.select("request_id", "pass", F.when(n % 7 != 3, F.to_json(F.struct(
+        accepted.alias("accepted_chunk_ids"), F.lit("").alias("critique")))).alias("grade_json"))
+    first, third = F.get("ids", F.lit(0)), F.coalesce(F.get("ids", F.lit(2)), F.get("ids", F.lit(0)))
+    support = (F.when(n % 5 == 1, F.array(F.concat(first, F.lit("(a)")), F.lit("x0"))).when(n % 5 == 2, F.array(F.lit("x0"), F.lit("x1")))
+               .otherwise(F.array(first)))
+    sources = F.when(n % 5 == 0, F.array(first)).when(n % 5 == 3, F.array(third)).otherwise(none)
+    drafts = found.where("pass = 1").select("request_id", F.when(n % 5 != 4, F.to_json(F.struct(
         F.lit("ok").alias("answer_status"), F.lit("found").alias("overview"),
-        F.array(F.struct(F.lit("a").alias("label"), F.lit("b").alias("summary"),
-                         F.array(F.lit("d0"), F.lit("d1")).alias("supporting_chunk_ids")))
-        .alias("patterns"),
-        F.array().cast("array<struct<chunk_id:string,why_cited:string>>").alias("cited_sources"),
-        F.array().cast("array<string>").alias("limitations"),
-    )).alias("draft_json"))
-    out = ST.study(requests, plans, searcher, grades, again, drafts)
+        F.array(F.struct(F.lit("a").alias("label"), F.lit("b").alias("summary"), support.alias("supporting_chunk_ids"))).alias("patterns"),
+        F.transform(sources, lambda c: F.struct(c.alias("chunk_id"), F.lit("why").alias("why_cited"))).alias("cited_sources"),
+        none.alias("limitations"),
+    ))).alias("draft_json"))
+    out = ST.study(requests, plans, searcher, grades, again, drafts, 1000, 400)
     return out.select(
         "request_id", "intent", "planning_status", "answer_status", "retrieval_status",
         "returned_result_count", "requery_attempted", "citation_drops", "error_category", "outcome",
