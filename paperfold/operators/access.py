@@ -9,6 +9,9 @@ from paperfold.functions.metadata import has_key, typed_value
 from paperfold.functions.text import display_name, email_domain, normalize_email
 
 
+MOST_COLLECTIONS = 100_000  # broadcast up to this count
+
+
 def domain_matches(emails: DataFrame, rules: DataFrame) -> DataFrame:
     """(email, community_id, domain, match_mode) of active rules that match.
 
@@ -72,9 +75,10 @@ def access_states(requests: DataFrame, collections: DataFrame, communities: Data
     """Access state and lock reason of each (user, collection) request.
 
     requests: collection, user_id (NULL = anonymous), affiliation_community_id.
-    Equi joins on collection and on (user, community); the small tables are left to
-    the optimizer's own size check for broadcasting.
+    Equi joins on collection and on (user, community). Collections are counted and broadcast if
+    they are at most MOST_COLLECTIONS, so a popular one doesn't put its requests in one task.
     """
+    few = collections.limit(MOST_COLLECTIONS + 1).count() <= MOST_COLLECTIONS
     dims = collections.select(
         F.col("name").alias("collection"), F.col("community_id").alias("collection_community")
     ).join(
@@ -87,7 +91,7 @@ def access_states(requests: DataFrame, collections: DataFrame, communities: Data
         "user_id", F.col("community_id").alias("collection_community"),
         F.lit(True).alias("is_member"),
     )
-    df = requests.join(dims, "collection").join(
+    df = requests.join(F.broadcast(dims) if few else dims, "collection").join(
         member, ["user_id", "collection_community"], "left"
     )
     return df.withColumn("access_state", state_of()).withColumn("lock_reason", lock_reason())
