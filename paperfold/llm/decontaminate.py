@@ -11,6 +11,9 @@ copies are found as well as questions with new numbers and names.
 The template of a window that is mostly placeholders says little, so such windows (tables,
 arithmetic) are hashed by their lower-cased tokens instead and found as copies only.
 
+Items of fewer than LEAST_TOKENS tokens are too common to speak of a leak: they are found as
+copies only, reported in ``short_item_ids``, and contaminate nothing.
+
 Words that start with a capital within a sentence count as names in a second template, which
 is made only of texts that have such words.
 
@@ -34,6 +37,7 @@ from paperfold.llm import names
 from paperfold.llm.store import Stages, row_key, text_of
 
 WINDOW = 13
+LEAST_TOKENS = 5
 BROADCAST_WINDOWS = 200_000
 BROADCAST_KEYS = 1_000_000
 TOKEN = r"\d+(?:[.,]\d+)*+|[\p{L}\p{M}]+"
@@ -115,7 +119,7 @@ def counted(met: Column) -> Column:
     """The windows (at, n, pairs) of one alignment that count as hits."""
 
     def of(parts: Column) -> Column:
-        return F.filter(parts["met"], lambda m: ~F.arrays_overlap(m["pairs"]["item"], parts["unclear"]) | is_copy(m))
+        return F.filter(parts["met"], lambda m: (m["n"] >= LEAST_TOKENS) & ~F.arrays_overlap(m["pairs"]["item"], parts["unclear"]) | is_copy(m))
 
     def is_copy(m: Column) -> Column:
         return F.forall(m["pairs"], lambda p: p["item"] == p["own"])
@@ -134,8 +138,9 @@ def few(keys: DataFrame) -> DataFrame:
 
 def hits(docs: DataFrame, benchmark: DataFrame, ident: str = "doc_id", text: str = "text",
          item: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """(key_id, key_text, item_ids, covered): the rows that hold benchmark items, the items
-    and the most tokens of one item found on one alignment."""
+    """(key_id, key_text, item_ids, covered, short_item_ids): the rows that hold benchmark
+    items, the items and the most tokens of one item found on one alignment (null if only
+    items of fewer than LEAST_TOKENS tokens are there), and the latter items."""
     stages = Stages(docs.sparkSession, "benchmark")
     items = benchmark.select(benchmark[item].alias("item_id"), text_of(benchmark[item_text].cast("string")).alias("text"))
     sizes = items.select(F.size(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))).alias("n"))
@@ -159,22 +164,25 @@ def hits(docs: DataFrame, benchmark: DataFrame, ident: str = "doc_id", text: str
     # Windows of one alignment; a template with and one without capitals may both be there.
     runs = met.groupBy("key_id", "key_text", "item_id", "shift").agg(F.collect_list(F.struct("at", "n", "pairs")).alias("met"))
     runs = runs.withColumn("met", counted(F.col("met"))).where(F.size("met") > 0).select(
-        "key_id", "key_text", "item_id", (F.array_max(F.transform("met", lambda m: m["at"] + m["n"])) - F.array_min(F.col("met.at"))).alias("covered"))
+        "key_id", "key_text", "item_id", (F.array_max(F.col("met.n")) >= LEAST_TOKENS).alias("enough"), (F.array_max(F.transform("met", lambda m: m["at"] + m["n"])) - F.array_min(F.col("met.at"))).alias("covered"))
     return runs.groupBy("key_id", "key_text").agg(
-        F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.max("covered").alias("covered"))
+        F.array_sort(F.collect_set(F.when(F.col("enough"), F.col("item_id")))).alias("item_ids"), F.max(F.when(F.col("enough"), F.col("covered"))).alias("covered"),
+        F.array_sort(F.collect_set(F.when(~F.col("enough"), F.col("item_id")))).alias("short_item_ids"))
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, ident: str = "doc_id", text: str = "text", **named) -> DataFrame:
-    """Per row: id, contaminated, item_ids and covered (0 if clean)."""
+    """Per row: id, contaminated, item_ids, covered (0 if clean) and short_item_ids."""
     rows = docs.select(docs[ident].alias("doc_id"), docs[text].cast("string").alias("text")).select("doc_id", *row_key())
     found = hits(docs, benchmark, ident, text, **named)
     out = rows.join(found, ["key_id", "key_text"], "left")
+    no_items = F.array().cast(found.schema["item_ids"].dataType)
     return out.select(F.col("doc_id").alias(ident), F.col("covered").isNotNull().alias("contaminated"),
-                      F.coalesce("item_ids", F.array().cast(found.schema["item_ids"].dataType)).alias("item_ids"), F.coalesce("covered", F.lit(0)).cast("long").alias("covered"))
+                      F.coalesce("item_ids", no_items).alias("item_ids"), F.coalesce("covered", F.lit(0)).cast("long").alias("covered"),
+                      F.coalesce("short_item_ids", no_items).alias("short_item_ids"))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, ident: str = "doc_id", text: str = "text", **named) -> DataFrame:
     """The rows without benchmark items, with all their columns as they came."""
-    found = Stages(docs.sparkSession, "leaks").put("found", hits(docs, benchmark, ident, text, **named).select("key_id", "key_text"))
+    found = Stages(docs.sparkSession, "leaks").put("found", hits(docs, benchmark, ident, text, **named).where("covered IS NOT NULL").select("key_id", "key_text"))
     rows = docs.select(F.struct("*").alias("row"), *row_key(ident, text))
     return rows.join(few(found), ["key_id", "key_text"], "left_anti").select("row.*")

@@ -96,7 +96,7 @@ def op2_secrets(spark, sf_dir):
 @query("op4_decontaminate")
 def op4_decontaminate(spark, sf_dir):
     found = decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.withColumn("item_ids", F.array_join(F.col("item_ids").cast("array<string>"), ","))
+    return found.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("item_ids", "short_item_ids")})
 
 
 @query("op10_pii")

@@ -182,6 +182,15 @@ def test_decontamination_of_number_heavy_items(spark):
     assert got == {0: [1], 1: [2], 2: [], 3: [], 4: []}
 
 
+def test_decontamination_by_short_items(spark):
+    items = spark.createDataFrame([(1, "the"), (2, "Question 5"), (3, "one two three four five")], "item_id long, text string")
+    texts = ["the cat", "see question 5", "see question 6", "now one two three four five six", "the one two three four five", None, ""]
+    got = {r.doc_id: (r.contaminated, r.item_ids, r.short_item_ids, r.covered) for r in decontaminate.judge(frame(spark, texts), items).collect()}
+    clean = (False, [], [], 0)
+    assert got == {0: (False, [], [1], 0), 1: (False, [], [2], 0), 2: clean, 3: (True, [3], [], 5), 4: (True, [3], [1], 5), 5: clean, 6: clean}
+    assert sorted(r.doc_id for r in decontaminate.keep_clean(frame(spark, texts), items).collect()) == [0, 1, 2, 5, 6]
+
+
 def test_decontamination_of_edited_copies(spark):
     rng = random.Random(6)
     words = lambda n: " ".join(f"{rng.choice('abcdefgh')}{''.join(rng.choices('klmnopqr', k=6))}" for _ in range(n))
