@@ -19,7 +19,7 @@ from paperfold.plans import chunking as CH
 from paperfold.plans import indexing as IX
 from paperfold.plans import search as S
 from paperfold.plans import study as ST
-from paperfold.session import fresh_dir, materialise
+from paperfold.session import discard, fresh_dir, materialise
 from paperfold.streaming import jobs as J
 from paperfold.streaming import rate_limit as R
 from paperfold.streaming import usage as U
@@ -295,9 +295,12 @@ INDEX_SCHEMA = [
 
 def build_index(spark: SparkSession, sf_dir: str, root: str, rounds: int = 1) -> None:
     papers, _ = CH.parse_content_lists(bracket_papers(spark, sf_dir))
-    chunks = materialise(CH.chunk_papers(papers, "cambridge", "cam"), "chunks")
+    written = fresh_dir(spark, "chunks")
+    CH.chunk_papers(papers, "cambridge", "cam").write.option("compression", "zstd").parquet(written)
+    chunks = spark.read.parquet(written)
     for _ in range(rounds):
         IX.index_chunks(chunks, "corpus", INDEX_SCHEMA, hashing_embedder(64), "hash-64", 64, root)
+    discard(spark, written)
 
 
 @query("index_and_reindex", """

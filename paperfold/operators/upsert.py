@@ -2,8 +2,8 @@
 
 A stored table is partitioned by (collection, bucket), bucket = hash of the chunk id.
 An upsert rewrites only the partitions its keys fall into: unchanged rows stay by an
-anti join, the result is staged as its own table, then swapped in by a dynamic
-partition overwrite. One writer at a time is assumed. Re-running the same batch gives
+anti join, and the result is swapped in by a dynamic partition overwrite, whose commit
+replaces the old files once all new ones are written. One writer at a time is assumed. Re-running the same batch gives
 the same table.
 """
 
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
-from paperfold.session import fresh_dir
+from paperfold.session import discard, fresh_dir
 
 BUCKETS = 64
 PARTITIONS = ("collection", "bucket")
@@ -67,12 +67,25 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
         raise
 
 
-def upsert_table(path: str, incoming: DataFrame, keys: list[str]) -> None:
-    """Upsert ``incoming`` (with its partition columns) into the table at ``path``."""
+def upsert_table(path: str, incoming: DataFrame, keys: list[str], staged: bool = False) -> None:
+    """Upsert ``incoming`` (with its partition columns) into the table at ``path``.
+
+    ``staged`` says that ``incoming`` reads written files, so it needs no copy of its own.
+    Wide rows are joined only where a touched partition holds a row that stays.
+    """
     spark = incoming.sparkSession
-    stage = fresh_dir(spark, "stage")
-    incoming.write.parquet(f"{stage}/new")
-    fresh = spark.read.parquet(f"{stage}/new")
+    stage = None if staged else fresh_dir(spark, "stage")
+    try:
+        if stage:
+            incoming.write.option("compression", "zstd").parquet(stage)
+            incoming = spark.read.parquet(stage)
+        _swap_in(path, incoming, keys)
+    finally:
+        discard(spark, *([stage] if stage else []))
+
+
+def _swap_in(path: str, fresh: DataFrame, keys: list[str]) -> None:
+    spark = fresh.sparkSession
     require_none(
         fresh.groupBy(*keys).count().filter("count > 1"), f"duplicate keys for {path}"
     )
@@ -81,13 +94,16 @@ def upsert_table(path: str, incoming: DataFrame, keys: list[str]) -> None:
         merged = fresh
     else:
         touched = fresh.select(*PARTITIONS).distinct()
-        merged = upsert_rows(stored.join(touched, list(PARTITIONS), "left_semi"), fresh, keys)
-    merged.write.parquet(f"{stage}/merged")
+        held = stored.join(touched, list(PARTITIONS), "left_semi")
+        stays = held.select(*keys).join(fresh.select(*keys), keys, "left_anti")
+        merged = fresh if stays.isEmpty() else upsert_rows(held, fresh, keys)
+        # columns that only stored rows have stay, as unionByName keeps them
+        merged = merged.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in stored.schema if f.name not in merged.columns])
     (
-        spark.read.parquet(f"{stage}/merged")
-        .hint("rebalance", *PARTITIONS)  # AQE splits a hot partition, merges small ones
+        merged.hint("rebalance", *PARTITIONS)  # AQE splits a hot partition, merges small ones
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
+        .option("compression", "zstd")
         .partitionBy(*PARTITIONS)
         .parquet(path)
     )

@@ -15,12 +15,13 @@ from paperfold.functions.providers import dimension_violations
 from paperfold.operators.artifacts import map_media
 from paperfold.operators.quality import duplicates
 from paperfold.operators.upsert import bucket_of, require_none, upsert_table
-from paperfold.session import fresh_dir
+from paperfold.session import discard, fresh_dir, small_batches
 
 
 def index_rows(chunks: DataFrame, collection: str | Column, schema: list[dict], embedder,
                model_id: str) -> DataFrame:
     """Chunk rows -> stored rows: metadata JSON, embedding text's vector, bucket."""
+    small_batches(chunks.sparkSession)
     name = F.lit(collection) if isinstance(collection, str) else collection
     df = chunks.withColumn("metadata_json", project_chunk_metadata(schema))
     df = df.withColumn("embed_text", embedding_text(
@@ -60,25 +61,29 @@ def index_chunks(chunks: DataFrame, collection: str | Column, schema: list[dict]
     """Index a batch of chunks into {root}/chunks and {root}/vectors.
 
     The rows are staged once in the shared folder, so the two upserts do not chunk and
-    embed twice, and a lost executor re-reads files instead of recomputing.
+    embed twice, and a lost executor re-reads files instead of recomputing. The stage is
+    deleted once both tables are written.
     """
     spark = chunks.sparkSession
     if artifacts is not None:
         chunks = attach_object_keys(chunks, artifacts)
     stage = fresh_dir(spark, "index")
-    index_rows(chunks, collection, schema, embedder, model_id).write.parquet(stage)
-    rows = spark.read.parquet(stage)
-    require_none(
-        rows.filter(dimension_violations("embedding", dimension)).select("chunk_id"),
-        "embedding dimension mismatch",
-    )
-    require_none(duplicates(rows, ["collection", "chunk_id"]), "duplicate chunk ids")
-    keys = ["collection", "bucket", "chunk_id"]
-    upsert_table(f"{root}/chunks", rows.drop("embedding", "embedding_model_id"), keys)
-    vectors = rows.select(
-        *keys, "chunk_level", "source_pdf",
-        *[typed_value("metadata", f["key"], f["type"]).alias(f["key"]) for f in schema
-          if f["key"] not in ("chunk_level", "source_pdf")],
-        "embedding", "embedding_model_id",
-    )
-    upsert_table(f"{root}/vectors", vectors, keys)
+    try:
+        index_rows(chunks, collection, schema, embedder, model_id).write.option("compression", "zstd").parquet(stage)
+        rows = spark.read.parquet(stage)
+        require_none(
+            rows.filter(dimension_violations("embedding", dimension)).select("chunk_id"),
+            "embedding dimension mismatch",
+        )
+        require_none(duplicates(rows, ["collection", "chunk_id"]), "duplicate chunk ids")
+        keys = ["collection", "bucket", "chunk_id"]
+        upsert_table(f"{root}/chunks", rows.drop("embedding", "embedding_model_id"), keys, staged=True)
+        vectors = rows.select(
+            *keys, "chunk_level", "source_pdf",
+            *[typed_value("metadata", f["key"], f["type"]).alias(f["key"]) for f in schema
+              if f["key"] not in ("chunk_level", "source_pdf")],
+            "embedding", "embedding_model_id",
+        )
+        upsert_table(f"{root}/vectors", vectors, keys, staged=True)
+    finally:
+        discard(spark, stage)
