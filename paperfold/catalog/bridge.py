@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperfold.functions.providers import hashing_embedder
-from paperfold.session import spread
+from paperfold.session import small_batches, spread
 
 SCHEMA = [
     {"key": "year", "label": "Year", "type": "integer", "operators": ["eq", "gte", "lte"],
@@ -65,6 +65,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     """A text table, spread over the cores for per-text work."""
+    small_batches(spark)
     return spread(table(spark, sf_dir, name))
 
 

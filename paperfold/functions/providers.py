@@ -6,7 +6,7 @@ import hashlib
 import re
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,22 +18,21 @@ TOKEN = re.compile(r"[a-z0-9]+")
 
 def hashing_embedder(dimension: int = 64):
     """Arrow UDF: text -> token counts over md5 buckets (exact in float; the cosine
-    normalises)."""
+    normalises). One text at a time leaves the Arrow batch, whose bytes ``small_batches``
+    bounds, and all vectors of a batch are one array."""
 
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def embed(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def embed(texts: pa.Array) -> pa.Array:
         slot: dict[str, int] = {}
-
-        def one(text: str | None) -> np.ndarray:
-            tokens = TOKEN.findall((text or "").lower())
+        counts = np.zeros((len(texts), dimension), dtype=np.float32)
+        for i, text in enumerate(texts):
+            tokens = TOKEN.findall((text.as_py() or "").lower())
             for t in tokens:
                 if t not in slot:
                     slot[t] = int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % dimension
-            return np.bincount(
-                [slot[t] for t in tokens], minlength=dimension
-            ).astype(np.float32)
-
-        return texts.map(one)
+            counts[i] = np.bincount([slot[t] for t in tokens], minlength=dimension)
+        ends = np.arange(len(texts) + 1, dtype=np.int32) * dimension
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(counts.ravel(), pa.float32()))
 
     return embed
 
