@@ -29,6 +29,7 @@ MAX_BROADCAST_BYTES = 64 << 20
 QUERY_BLOCK = 2048
 VECTOR_BLOCK = 16384
 MAX_FILTER_SETS = 64  # so many distinct filter sets are pushed to the scan as one predicate
+SCORE_CELLS = 1 << 20  # so many scores are held at once, whatever the sizes of batch and query set
 SCORE_DIGITS = 12  # equal vectors must tie whatever order the sums were taken in
 CANDIDATES = T.StructType().add("query_id", T.StringType()).add(
     "chunk_id", T.StringType()
@@ -115,10 +116,13 @@ class QuerySet:
                 matrix = self.matrix[collection, filters]
                 if matrix.shape[1] != unit.shape[1]:
                     raise ValueError("query dimension mismatch")
-                scores = np.round(unit[rows] @ matrix.T, SCORE_DIGITS)
-                for j, q in enumerate(members):
-                    keep = best(scores[:, j], ids[rows], int(self.k[q]))
-                    yield q, ids[rows][keep], scores[keep, j]
+                wide, named = unit[rows], ids[rows]
+                step = max(1, SCORE_CELLS // len(rows))
+                for first in range(0, len(members), step):
+                    scores = np.round(wide @ matrix[first:first + step].T, SCORE_DIGITS)
+                    for j, q in enumerate(members[first:first + step]):
+                        keep = best(scores[:, j], named, int(self.k[q]))
+                        yield q, named[keep], scores[keep, j]
 
 
 def matches(values: pd.Series, item: dict) -> np.ndarray:
