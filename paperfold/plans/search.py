@@ -158,15 +158,21 @@ def authorized_only(queries: DataFrame, allowed: DataFrame) -> DataFrame:
 def chunk_lookup(keys: DataFrame, chunks: DataFrame, collections: DataFrame) -> DataFrame:
     """Batch point lookup: chunk, its parent's text, and a status per key.
 
-    keys: collection, chunk_id. A missing collection differs from a missing chunk.
+    keys: collection, chunk_id. A missing collection differs from a missing chunk. Rows
+    without a parent match nothing, so they are dealt out by their own key instead of all
+    going where a missing value hashes to; collection names are broadcast, or a join on them
+    would put all rows and parent texts of a collection in one task.
     """
+    def slot(key: str) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(1 << 31))
+
     parents = chunks.select(
         "collection", F.col("chunk_id").alias("parent_chunk_id"),
-        F.col("text").alias("parent_text"),
-    )
-    found = keys.join(chunks, ["collection", "chunk_id"], "left").join(
-        parents, ["collection", "parent_chunk_id"], "left"
+        F.col("text").alias("parent_text"), slot("chunk_id").alias("_slot"),
     )
+    found = keys.join(chunks, ["collection", "chunk_id"], "left").withColumn(
+        "_slot", F.when(F.col("parent_chunk_id").isNull(), -1 - slot("chunk_id")).otherwise(slot("parent_chunk_id"))
+    ).join(parents, ["collection", "parent_chunk_id", "_slot"], "left").drop("_slot")
     known = collections.select(
         F.col("name").alias("collection"), F.lit(True).alias("_known")
     )
@@ -175,4 +181,4 @@ def chunk_lookup(keys: DataFrame, chunks: DataFrame, collections: DataFrame) ->
         .when(F.col("chunk_level").isNull(), "chunk_not_found")
         .otherwise("ok")
     )
-    return found.join(known, "collection", "left").withColumn("status", status).drop("_known")
+    return found.join(small(known), "collection", "left").withColumn("status", status).drop("_known")
