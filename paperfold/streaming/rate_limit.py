@@ -10,8 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -30,7 +29,6 @@ POLICIES = {
 UNKNOWN_CLIENT = "unknown-client"
 # Two of the longest windows, and a day for requests that come late.
 STATE_TTL_MS = (2 * 3600 + 86_400) * 1000
-OUTPUT_ROWS = 10_000
 
 
 def with_identity(requests: DataFrame, secret: str) -> DataFrame:
@@ -93,32 +91,29 @@ class SlidingWindow(StatefulProcessor):
             "counter", "bucket bigint, prev bigint, curr bigint, clock double", **self.ttl
         )
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         policy, identity = key
         endpoint, scope = policy.split(":")
         limit, size = POLICIES[(endpoint, scope)]
-        bucket, prev, curr, clock = (
-            self.counter.get() if self.counter.exists() else (-2, 0, 0, 0.0)
-        )
-        ordered = pd.concat([batch[["epoch", "request_id"]] for batch in rows]).sort_values(["epoch", "request_id"])
-        for first in range(0, len(ordered), OUTPUT_ROWS):
-            out = []
-            part = ordered.iloc[first:first + OUTPUT_ROWS]
-            for request, epoch in zip(part["request_id"], part["epoch"]):
-                clock = max(clock, float(epoch))
-                now = int(clock // size)
-                if now != bucket:
-                    prev, curr = (curr if now == bucket + 1 else 0), 0
-                    bucket = now
-                used = math.floor(prev * (1 - (clock - now * size) / size)) + curr
-                allowed = used < limit
-                curr += allowed
-                reset = (now + 1) * size
-                out.append((
-                    request, policy, identity, allowed, max(0, limit - used - allowed), reset,
-                    0 if allowed else max(1, math.ceil(reset - clock)),
-                ))
-            yield pd.DataFrame(out, columns=self.OUTPUT.names)
+        bucket, prev, curr, clock = self.counter.get() or (-2, 0, 0, 0.0)
+        # a missing time or id comes last
+        ordered = sorted(((math.inf if r.epoch is None else r.epoch, r.request_id) for r in rows),
+                         key=lambda r: (r[0], r[1] is None, r[1] or ""))
+        for epoch, request in ordered:
+            clock = max(clock, epoch) if epoch < math.inf else clock
+            now = int(clock // size)
+            if now != bucket:
+                prev, curr = (curr if now == bucket + 1 else 0), 0
+                bucket = now
+            used = math.floor(prev * (1 - (clock - now * size) / size)) + curr
+            allowed = used < limit
+            curr += allowed
+            reset = (now + 1) * size
+            yield Row(
+                request_id=request, policy=policy, identity=identity, allowed=allowed,
+                remaining=max(0, limit - used - allowed), reset_epoch=reset,
+                retry_after=0 if allowed else max(1, math.ceil(reset - clock)),
+            )
         self.counter.update((bucket, prev, curr, clock))
 
     def close(self) -> None:
@@ -136,7 +131,7 @@ def decide(requests: DataFrame, expire: bool = False) -> DataFrame:
         F.col("request_id").cast("string").alias("request_id"), "policy", "identity",
         (F.unix_micros("ts") / 1e6).alias("epoch"),
     )
-    return keyed.groupBy("policy", "identity").transformWithStateInPandas(
+    return keyed.groupBy("policy", "identity").transformWithState(
         statefulProcessor=SlidingWindow(expire), outputStructType=SlidingWindow.OUTPUT,
         outputMode="Append", timeMode="ProcessingTime" if expire else "None",
     )
