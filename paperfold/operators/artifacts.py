@@ -15,6 +15,7 @@ from paperfold.functions.keys import (
     valid_key,
 )
 from paperfold.schemas import ARTIFACT_KINDS, MANIFEST
+from paperfold.session import materialise
 
 MANIFEST_FIELDS = tuple(MANIFEST.names)
 CONTENT_TYPES = {
@@ -186,6 +187,8 @@ def map_media(media: DataFrame, artifacts: DataFrame) -> tuple[DataFrame, DataFr
 
     media: source_pdf, chunk_id, media_id, file_path, ... ; artifacts: source_pdf,
     kind, key. Images join on (source_pdf, basename); a ref without file has no key.
+    The joined refs are written once: both results read them, so whatever made the media
+    (chunking, as a rule) doesn't run twice.
     """
     images = artifacts.filter(F.col("kind") == "image").select(
         "source_pdf", basename("key").alias("_base"), F.col("key").alias("object_key")
@@ -202,7 +205,7 @@ def map_media(media: DataFrame, artifacts: DataFrame) -> tuple[DataFrame, DataFr
         .when(F.col("object_key").isNull(), "missing_mapping")
         .when(F.col("_n") > 1, "duplicate_basename"),
     )
-    df = df.withColumn("problem", problem)
+    df = materialise(df.withColumn("problem", problem), "media")
     good = df.filter(F.col("problem").isNull()).drop("_base", "_n", "_known", "problem")
     bad = df.filter(F.col("problem").isNotNull()).select(
         "source_pdf", "chunk_id", "media_id", "problem"
