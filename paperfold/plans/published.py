@@ -22,6 +22,7 @@ from paperfold.functions.metadata import typed_value
 from paperfold.operators.quality import duplicates
 from paperfold.operators.upsert import BUCKETS, CheckFailed, bucket_of, collection_drift, require_none
 from paperfold.plans.indexing import attach_object_keys, index_rows
+from paperfold.plans.search import small
 from paperfold.session import fresh_dir
 
 KEYS = {"collections": ["collection"], "papers": ["collection", "source_pdf"],
@@ -103,7 +104,7 @@ def write_parts(store: Published, job: str, table: str, rows: DataFrame) -> Data
     by a hash, so a collection's name needs no escaping and is never read from a path."""
     at = f"data/{job}/{table}"
     (rows.withColumn("_c", F.md5("collection")).withColumn("_b", F.col("bucket"))
-     .hint("rebalance", "_c", "_b").write.partitionBy("_c", "_b").parquet(f"{store.root}/{at}"))
+     .hint("rebalance", "_c", "_b").write.option("compression", "zstd").partitionBy("_c", "_b").parquet(f"{store.root}/{at}"))
     own = T.StructType([rows.schema[c] for c in PART])
     if not store._names(f"{store.root}/{at}") or all(not n.startswith("_c=") for n in store._names(f"{store.root}/{at}")):
         return store.spark.createDataFrame([], "table string, collection string, bucket int, folder string")
@@ -118,7 +119,7 @@ def check_settings(settings: DataFrame, rows: DataFrame, stored: DataFrame | Non
     require_none(duplicates(settings, ["name"]), "a collection's settings given twice")
     if stored is not None:
         require_none(collection_drift(stored.withColumnRenamed("collection", "name").select("name", *SETTINGS), settings), "settings of a collection changed")
-    names = settings.select(F.col("name").alias("collection"), "embedding_dimension")
+    names = small(settings.select(F.col("name").alias("collection"), "embedding_dimension"))
     require_none(rows.select("collection").distinct().join(names, "collection", "left_anti"), "chunks of an unknown collection")
     require_none(duplicates(rows, ["collection", "chunk_id"]), "duplicate chunk ids")
     wrong = ~F.size("embedding").eqNullSafe(F.col("embedding_dimension"))
@@ -149,7 +150,7 @@ def incoming_tables(rows: DataFrame, settings: DataFrame, schema: list[dict], st
         "collections": known.withColumn("bucket", F.lit(0)),
         "papers": seen.withColumn("paper_id", F.sha2(F.concat_ws("\u0001", "collection", "source_pdf"), 256)).withColumn("bucket", bucket_of("source_pdf", buckets)),
         "chunks": keyed.drop("embedding", "embedding_model_id"),
-        "vectors": keyed.join(known.select("collection", F.col("embedding_model_id").alias("_model")), "collection").select(
+        "vectors": keyed.join(small(known.select("collection", F.col("embedding_model_id").alias("_model"))), "collection").select(
             *PART, "chunk_id", "chunk_level", "source_pdf", *typed, "embedding", F.col("_model").alias("embedding_model_id")),
     }
 
@@ -168,7 +169,7 @@ def index_run(store: Published, chunks: DataFrame, settings: DataFrame, schema:
     if artifacts is not None:
         chunks = attach_object_keys(chunks, artifacts)
     stage = fresh_dir(spark, "index-run")
-    index_rows(chunks, F.col("collection"), schema, embedder, "").drop("bucket").write.parquet(stage)
+    index_rows(chunks, F.col("collection"), schema, embedder, "").drop("bucket").write.option("compression", "zstd").parquet(stage)
     rows = spark.read.parquet(stage)
     known = store.runs()
     before = known[-1] if known else None

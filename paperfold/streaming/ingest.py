@@ -8,9 +8,8 @@ itself there and changes nothing; a batch that failed left nothing behind.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
@@ -19,7 +18,7 @@ from paperfold.functions.keys import basename
 from paperfold.plans.chunking import chunk_papers
 from paperfold.plans.published import Published, index_run
 from paperfold.schemas import CONTENT_BLOCK, PARSERS
-from paperfold.session import fresh_dir
+from paperfold.session import discard, fresh_dir
 from paperfold.streaming.jobs import split_messages
 
 
@@ -30,32 +29,39 @@ def one_of_each(jobs: DataFrame) -> DataFrame:
     return jobs.groupBy("collection", paper).agg(F.max(order).alias("j")).select("collection", "source_pdf", "j.*")
 
 
-def job_chunks(jobs: DataFrame, content_lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+def job_chunks(jobs: DataFrame, content_lists: DataFrame, staged: str) -> tuple[DataFrame, DataFrame]:
     """(chunks with their collection, jobs that cannot be chunked with the problem).
 
-    content_lists: paper_object_key, value (the JSON text of its blocks).
+    content_lists: paper_object_key, value (the JSON text of its blocks). A paper is chunked once
+    for all jobs that name it, below ``staged``; which of its chunks each collection takes is
+    decided on ids, and only then are the chunks joined, once. Of chunks of one collection that
+    share an id one of the largest paper name stays.
     """
-    found = jobs.join(content_lists, "paper_object_key", "left").withColumn("blocks", F.from_json("value", T.ArrayType(CONTENT_BLOCK)))
-    problem = F.when(F.col("value").isNull(), "content_list_missing").when(F.col("blocks").isNull(), "not_a_block_list")
-    failed = found.select("collection", "paper_object_key", problem.alias("problem")).where("problem IS NOT NULL")
-    papers = found.where("blocks IS NOT NULL")
-    parts = []
+    spark = jobs.sparkSession
+    key, job = F.col("paper_object_key").alias("source_pdf"), ["collection", "paper_object_key"]
+    lists = content_lists.select("paper_object_key", F.col("value").isNotNull().alias("there"), F.from_json("value", T.ArrayType(CONTENT_BLOCK)).alias("blocks"))
+    status = lists.select("paper_object_key", "there", F.col("blocks").isNotNull().alias("parsed"))
+    problem = F.when(F.col("there").isNull() | ~F.col("there"), "content_list_missing").when(~F.col("parsed"), "not_a_block_list")
+    failed = jobs.select(*job).join(status, "paper_object_key", "left").select(*job, problem.alias("problem")).where("problem IS NOT NULL")
     for parser in PARSERS:
-        own = papers.where(F.col("parser") == parser)
-        keyed = own.select(F.col("paper_object_key").alias("source_pdf"), F.regexp_replace("paper_object_key", r"/[^/]*\z", "").alias("base_dir"), "blocks").dropDuplicates(["source_pdf"])
+        wanted = jobs.where(F.col("parser") == parser).select("paper_object_key").distinct()
+        papers = lists.where("blocks IS NOT NULL").join(wanted, "paper_object_key", "left_semi")
+        keyed = papers.select(key, F.regexp_replace("paper_object_key", r"/[^/]*\z", "").alias("base_dir"), "blocks").dropDuplicates(["source_pdf"])
         chunks = chunk_papers(keyed, parser, F.lit("\u0001"))  # ids get each job's university below
-        jobs_of = own.select(F.col("paper_object_key").alias("source_pdf"), "collection", "university")
-        named = lambda c: F.when(F.startswith(c, F.lit("\u0001-")), F.concat("university", F.substring(c, 2, 1 << 30))).otherwise(F.col(c)).alias(c)
-        wide = chunks.join(jobs_of, "source_pdf")
-        parts.append(wide.select("collection", basename("source_pdf").alias("source_pdf"), named("id"), named("parent_chunk_id"),
-                                 *[c for c in chunks.columns if c not in ("id", "parent_chunk_id", "source_pdf")]))
-    return reduce(DataFrame.unionByName, parts), failed
+        (chunks.withColumn("parser", F.lit(parser)).withColumn("_row", F.concat_ws(" ", F.lit(parser), F.monotonically_increasing_id()))
+         .write.mode("append").option("compression", "zstd").parquet(staged))
+    chunks = spark.read.parquet(staged)
 
+    def named(c: str) -> Column:
+        return F.when(F.startswith(c, F.lit("\u0001-")), F.concat("university", F.substring(c, 2, 1 << 30))).otherwise(F.col(c)).alias(c)
 
-def without_repeated_ids(chunks: DataFrame) -> DataFrame:
-    """Of chunks of one collection that share an id the one of the largest paper name stays."""
-    last = chunks.groupBy("collection", "id").agg(F.max("source_pdf").alias("source_pdf"))
-    return chunks.join(last, ["collection", "id", "source_pdf"], "left_semi").dropDuplicates(["collection", "id"])
+    named_by = jobs.select(key, "parser", "collection", "university")
+    pairs = chunks.select("source_pdf", "parser", "id", "_row").join(named_by, ["source_pdf", "parser"])
+    last = F.max(F.struct(basename("source_pdf").alias("paper"), "_row", "university")).alias("j")
+    taken = pairs.select("collection", named("id"), "source_pdf", "_row", "university").where("collection IS NOT NULL AND id IS NOT NULL").groupBy("collection", "id").agg(last).select("collection", "j._row", "j.university")
+    wide = chunks.join(taken, "_row")
+    return wide.select("collection", basename("source_pdf").alias("source_pdf"), named("id"), named("parent_chunk_id"),
+                       *[c for c in chunks.columns if c not in ("id", "parent_chunk_id", "source_pdf", "parser", "_row")]), failed
 
 
 def ingest_and_index(raw: DataFrame, content_lists: DataFrame, settings: Callable[[DataFrame], DataFrame], schema: list[dict], embedder,
@@ -71,11 +77,10 @@ def ingest_and_index(raw: DataFrame, content_lists: DataFrame, settings: Callabl
         staged = fresh_dir(spark, "ingest-batch")
         one_of_each(jobs).write.parquet(f"{staged}/jobs")
         jobs = spark.read.parquet(f"{staged}/jobs")
-        chunks, failed = job_chunks(jobs, content_lists)
-        without_repeated_ids(chunks).write.parquet(f"{staged}/chunks")
+        chunks, failed = job_chunks(jobs, content_lists, f"{staged}/chunks")
         (poison.select("body", "problem").unionByName(failed.select(F.to_json(F.struct("collection", "paper_object_key")).alias("body"), "problem"))
          .write.mode("overwrite").parquet(f"{dead_path}/batch={batch_id}"))
-        index_run(store, spark.read.parquet(f"{staged}/chunks"), settings(jobs.select("collection").distinct()), schema, embedder, batch=(stream, batch_id))
-        store._delete(staged)
+        index_run(store, chunks, settings(jobs.select("collection").distinct()), schema, embedder, batch=(stream, batch_id))
+        discard(spark, staged)
 
     return raw.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
