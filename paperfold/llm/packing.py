@@ -26,18 +26,21 @@ from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperfold.llm import blocks as b
 from paperfold.llm.store import Stages
+from paperfold.session import small_batches
 
 WINDOW = 4096
 OPEN_WINDOWS = 64
 MERGE_FAN = 64
 END_ID = 2
 CACHED_WORDS = 700_000
+ENCODED_PIECES = 8192
 BLOCK_BYTES = 4 << 20
 PIECE = "doc_id {kind}, start long, length long, doc_tokens long, window long, at long, open boolean, ids binary"
 
@@ -50,32 +53,38 @@ def vocabulary() -> str:
 
 
 class Codes:
-    """Ids of strings, one after another in one array."""
+    """Ids of strings, one after another in one array. The strings are an Arrow array, so a
+    string costs its bytes and an offset instead of Python objects; its place is where it
+    stands there."""
 
     def __init__(self) -> None:
-        self.place: dict[str, int] = {}
+        self.known = pa.array([], pa.large_string())
         self.ids, self.ends = np.zeros(1 << 16, np.uint32), np.zeros(1, np.int64)
 
-    def add(self, keys: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        held, used = len(self.place), int(self.ends[-1])
-        self.place.update(zip(keys, range(held, held + len(keys)), strict=True))
+    def __len__(self) -> int:
+        return len(self.known)
+
+    def places(self, keys: pa.Array) -> np.ndarray:
+        """Where the keys stand, -1 for those not known."""
+        return pc.fill_null(pc.index_in(keys, value_set=self.known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def add(self, keys: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
+        used = int(self.ends[-1])
+        self.known = pa.concat_arrays([self.known, keys])
         self.ends = np.r_[self.ends, used + np.cumsum(sizes)]
         if used + len(ids) > len(self.ids):
             self.ids = np.r_[self.ids, np.zeros(max(len(self.ids), len(ids)), np.uint32)]
         self.ids[used : used + len(ids)] = ids
 
-    def of(self, keys) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all keys and where each key's ids end."""
-        where = np.fromiter(map(self.place.__getitem__, keys), np.int64)
+    def of(self, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of what stands at these places and where the ids of each end."""
         sizes = self.ends[where + 1] - self.ends[where]
         upto = np.cumsum(sizes)
         return self.ids[np.arange(int(sizes.sum())) + np.repeat(self.ends[where] - upto + sizes, sizes)], upto
 
-    def forget(self, keys: list[str]) -> None:
-        """Drops the keys that came last."""
-        for key in keys:
-            del self.place[key]
-        self.ends = self.ends[: len(self.place) + 1]
+    def keep(self, held: int) -> None:
+        """Drops all strings but the first ``held``."""
+        self.known, self.ends = self.known.slice(0, held), self.ends[: held + 1]
 
 
 class WordEncoder:
@@ -86,8 +95,9 @@ class WordEncoder:
     form) is cut once more, at the changes between letters, digits and signs, where the
     pre-split cuts too; new pieces go to the tokenizer in one string, a digit between them.
     Words with an apostrophe (contractions), special tokens or any other character go there
-    by themselves. Up to ``most`` words are remembered for the life of the process; later new
-    words are encoded block by block.
+    by themselves. Up to ``most`` words are remembered for the life of the process, as arrays,
+    since other operators run in the same process later; later new words are encoded block by
+    block.
     """
 
     SEPARATOR = "7"
@@ -105,26 +115,34 @@ class WordEncoder:
     def encode(self, word: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([word], add_special_tokens=False)[0].ids, np.uint32)
 
-    def learn(self, words: list[str]) -> None:
+    def learn(self, new: pa.Array) -> None:
         """Adds new words, by way of their new pieces."""
+        words = new.to_pylist()
         whole = [not (self.plain(w) and is_normalized("NFC", w)) or "\u0130" in w or "<|" in w for w in words]
         cut = [[w] if alone else self.pieces(w) for w, alone in zip(words, whole, strict=True)]
-        new = set(chain.from_iterable(cut)).difference(self.parts.place)
-        alone = [p for p in {w for w, x in zip(words, whole, strict=True) if x} | {p for p in new if len(p) == 1} if p in new]
-        many = list(new.difference(alone))
-        if alone:
-            ids = [self.encode(p) for p in alone]
-            self.parts.add(alone, np.concatenate(ids), np.array([len(i) for i in ids]))
-        if many:
-            ids = self.encode(f" {self.SEPARATOR} ".join(many))
-            marks = np.flatnonzero(ids == self.mark)
-            self.parts.add(many, np.delete(ids, marks), np.diff(np.r_[-1, marks, len(ids)]) - 1)
-        ids, upto = self.parts.of(chain.from_iterable(cut))
         last = np.cumsum([len(c) for c in cut])
+        coded = pa.array(chain.from_iterable(cut), pa.large_string()).dictionary_encode()
+        place, held = self.parts.places(coded.dictionary), len(self.parts)
+        fresh = np.flatnonzero(place < 0)
+        pieces = coded.dictionary.take(pa.array(fresh)).to_pylist()
+        by_itself = {w for w, alone in zip(words, whole, strict=True) if alone}
+        single = np.fromiter((len(p) == 1 or p in by_itself for p in pieces), bool, len(pieces))
+        alone, many = ([pieces[i] for i in np.flatnonzero(x)] for x in (single, ~single))
+        ids = [self.encode(p) for p in alone]
+        sizes = [np.array([len(i) for i in ids], np.int64)]
+        for at in range(0, len(many), ENCODED_PIECES):  # the tokenizer's own result is many times as large
+            found = self.encode(f" {self.SEPARATOR} ".join(many[at : at + ENCODED_PIECES]))
+            marks = np.flatnonzero(found == self.mark)
+            ids.append(np.delete(found, marks))
+            sizes.append(np.diff(np.r_[-1, marks, len(found)]) - 1)
+        if ids:
+            self.parts.add(pa.array(alone + many, pa.large_string()), np.concatenate(ids), np.concatenate(sizes))
+        place[np.r_[fresh[single], fresh[~single]]] = held + np.arange(len(fresh))
+        ids, upto = self.parts.of(place[coded.indices.to_numpy()])
         ends = np.r_[0, upto][last]
-        self.words.add(words, ids, np.diff(np.r_[0, ends]))
-        if len(self.parts.place) > self.most:
-            self.parts.forget([*alone, *many])
+        self.words.add(new, ids, np.diff(np.r_[0, ends]))
+        if len(self.parts) > self.most:
+            self.parts.keep(held)
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text. Arrow finds the distinct words of the block; Python sees these only."""
@@ -134,19 +152,20 @@ class WordEncoder:
         kept = np.ascontiguousarray(data[~gap])
         coded = pa.LargeStringArray.from_buffers(
             len(start), pa.py_buffer(np.r_[0, np.cumsum(end - start)].astype(np.int64)), pa.py_buffer(kept)).dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        new = [w for w in words if w not in self.words.place]
-        if new:
-            self.learn(new)
-        place = np.fromiter(map(self.words.place.__getitem__, words), np.int64, len(words))
+        place, held = self.words.places(coded.dictionary), len(self.words)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            self.learn(coded.dictionary.take(pa.array(new)))
+            place[new] = held + np.arange(len(new))
         place = place[coded.indices.to_numpy()]
         size = self.words.ends[place + 1] - self.words.ends[place]
         upto = np.cumsum(size)
         where = np.repeat(self.words.ends[place] - upto + size, size)
         where += np.arange(len(where))
         ids = self.words.ids[where]
-        if len(self.words.place) > self.most:  # what was known before this block stays
-            self.words.forget(new)
+        if len(self.words) > self.most:  # what was known before this block stays
+            self.words.keep(held)
+        pa.default_memory_pool().release_unused()  # a reused worker holds no more than the words
         ends = np.r_[0, upto][np.searchsorted(start, at)]
         return [ids[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
 
@@ -204,6 +223,7 @@ def pack(docs: DataFrame, ident: str = "doc_id", text: str = "text", path: str |
     """Per piece: doc_id, start, length, doc_tokens, sequence_id, offset and ids (unsigned
     little-endian 32-bit integers as binary)."""
     path = path or vocabulary()
+    small_batches(docs.sparkSession)
     stages = Stages(docs.sparkSession, "packing")
     kind = docs.schema[ident].dataType.simpleString()
 

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from paperfold.llm import blocks as b
+from paperfold.session import small_batches
 
 # Published limits for the share of characters in duplicate n-grams and lines.
 NGRAM_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
@@ -88,6 +89,7 @@ def measure(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataF
                 found = measures(data, at)
                 yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array(found[n]) for n in names)], names=["doc_id", *names])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[ident].dataType.simpleString()
     return (docs.select(docs[ident].alias("doc_id"), docs[text].cast("string").alias("text"))
             .mapInArrow(run, f"doc_id {kind}, {SCHEMA}").withColumnRenamed("doc_id", ident))
@@ -101,4 +103,5 @@ def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
             for rows, data, at in b.split(batch, text):
                 yield rows.filter(pa.array(measures(data, at)["kept"]))
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
