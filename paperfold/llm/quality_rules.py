@@ -85,7 +85,7 @@ def measure(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, data, at in b.split(batch, "text"):
+            for rows, data, at in b.split(batch, "text", b.SMALL_BLOCK_BYTES):
                 found = measures(data, at)
                 yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array(found[n]) for n in names)], names=["doc_id", *names])
 
@@ -100,7 +100,7 @@ def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, data, at in b.split(batch, text):
+            for rows, data, at in b.split(batch, text, b.SMALL_BLOCK_BYTES):
                 yield rows.filter(pa.array(measures(data, at)["kept"]))
 
     small_batches(docs.sparkSession)
