@@ -17,11 +17,9 @@ itself; an empty table gives no piece; columns besides id and text are not read.
 
 from __future__ import annotations
 
-import sys
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from itertools import chain
-from types import ModuleType
 from unicodedata import is_normalized
 
 import numpy as np
@@ -41,7 +39,9 @@ MERGE_FAN = 64
 END_ID = 2
 CACHED_WORDS = 700_000
 ENCODED_PIECES = 8192
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
+LEARNED_WORDS = 16_384
+HASHED_BYTES = 1 << 15
 PIECE = "doc_id {kind}, start long, length long, doc_tokens long, window long, at long, open boolean, ids binary"
 
 
@@ -52,39 +52,87 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class Codes:
-    """Ids of strings, one after another in one array. The strings are an Arrow array, so a
-    string costs its bytes and an offset instead of Python objects; its place is where it
-    stands there."""
+def spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each span, one span after another."""
+    out = np.repeat(start - np.cumsum(size) + size, size)
+    out += np.arange(len(out))
+    return out
+
+
+def hashes(keys: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each string."""
+    data, at = b.flat(keys)
+    parts = [np.zeros(0, b.U64)]
+    for first, last in b.blocks(data, at, HASHED_BYTES):
+        ends = at[first : last + 1] - at[first]
+        parts.append(b.substring(b.prefix(data[at[first] : at[last]]), ends[:-1], ends[1:]))
+    return np.concatenate(parts)
 
-    def __init__(self) -> None:
+
+class Codes:
+    """Ids of up to ``most`` strings, one after another in one array. The strings are an Arrow
+    array, so a string costs its bytes and an offset instead of Python objects; its place is
+    where it stands there. It is found by its hash among the sorted ones and then compared
+    itself, so no table of all strings is built for a block; of strings with one hash the
+    first is found, the others count as unknown."""
+
+    def __init__(self, most: int) -> None:
+        self.most = most
         self.known = pa.array([], pa.large_string())
-        self.ids, self.ends = np.zeros(1 << 16, np.uint32), np.zeros(1, np.int64)
+        self.hashes, self.order = np.zeros(0, b.U64), np.zeros(0, np.int32)
+        self.ids, self.ends = np.zeros(1 << 16, np.uint16), np.zeros(1, np.int64)
 
     def __len__(self) -> int:
         return len(self.known)
 
     def places(self, keys: pa.Array) -> np.ndarray:
         """Where the keys stand, -1 for those not known."""
-        return pc.fill_null(pc.index_in(keys, value_set=self.known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        place = np.full(len(keys), -1, np.int64)
+        if len(self.hashes):
+            wanted = hashes(keys)
+            at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
+            hit = np.flatnonzero(self.hashes[at] == wanted)
+            found = self.order[at[hit]]
+            same = pc.equal(self.known.take(pa.array(found)), keys.take(pa.array(hit))).to_numpy(zero_copy_only=False)
+            place[hit[same]] = found[same]
+        return place
 
     def add(self, keys: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
         used = int(self.ends[-1])
+        new = hashes(keys)
+        order = np.argsort(new, kind="stable")
+        at = np.searchsorted(self.hashes, new[order], "right")
+        self.order = np.insert(self.order, at, (len(self.known) + order).astype(np.int32))
+        self.hashes = np.insert(self.hashes, at, new[order])
         self.known = pa.concat_arrays([self.known, keys])
         self.ends = np.r_[self.ends, used + np.cumsum(sizes)]
+        if len(ids) and int(ids.max()) >> 16 and self.ids.dtype == np.uint16:  # of a larger vocabulary
+            self.ids = self.ids.astype(np.uint32)
         if used + len(ids) > len(self.ids):
-            self.ids = np.r_[self.ids, np.zeros(max(len(self.ids), len(ids)), np.uint32)]
+            self.ids = np.r_[self.ids, np.zeros(max(len(self.ids) // 4, len(ids)), self.ids.dtype)]
         self.ids[used : used + len(ids)] = ids
 
-    def of(self, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of what stands at these places and where the ids of each end."""
-        sizes = self.ends[where + 1] - self.ends[where]
-        upto = np.cumsum(sizes)
-        return self.ids[np.arange(int(sizes.sum())) + np.repeat(self.ends[where] - upto + sizes, sizes)], upto
-
-    def keep(self, held: int) -> None:
-        """Drops all strings but the first ``held``."""
-        self.known, self.ends = self.known.slice(0, held), self.ends[: held + 1]
+    def of(self, keys: pa.Array, learn) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct keys, one after another, and the number of each key's ids.
+        Unknown ones come from ``learn`` and are remembered while there is room."""
+        place = self.places(keys)
+        old, new = np.flatnonzero(place >= 0), np.flatnonzero(place < 0)
+        size = np.zeros(len(keys), np.int64)
+        start = self.ends[place[old]]
+        size[old] = self.ends[place[old] + 1] - start
+        known, learnt = self.ids[spans(start, size[old])], np.zeros(0, np.uint32)
+        if len(new):
+            unknown = keys.take(pa.array(new))
+            learnt, size[new] = learn(unknown)
+            room = min(self.most - len(self), len(new))
+            if room > 0:
+                sizes = size[new[:room]]
+                self.add(unknown.slice(0, room), learnt[: int(sizes.sum())], sizes)
+        at = np.cumsum(size) - size
+        out = np.empty(int(size.sum()), np.uint32)
+        out[spans(at[old], size[old])] = known
+        out[spans(at[new], size[new])] = learnt
+        return out, size
 
 
 class WordEncoder:
@@ -106,26 +154,35 @@ class WordEncoder:
         import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer = Tokenizer.from_file(path)
         self.mark = self.encode(self.SEPARATOR)[0]
         self.plain = regex.compile(r"[\p{L}\p{N}!-&(-/:-@\[-`{-~]+").fullmatch
         self.pieces = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
-        self.words, self.parts = Codes(), Codes()
+        self.words, self.parts = Codes(most), Codes(most)
 
     def encode(self, word: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([word], add_special_tokens=False)[0].ids, np.uint32)
 
-    def learn(self, new: pa.Array) -> None:
-        """Adds new words, by way of their new pieces."""
-        words = new.to_pylist()
+    def learn(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of new words and the number of each one's ids, by way of their pieces. A
+        word is several Python objects meanwhile, so a few are taken at a time."""
+        found = [self.learn_some(new.slice(first, LEARNED_WORDS).to_pylist()) for first in range(0, len(new), LEARNED_WORDS)]
+        return tuple(map(np.concatenate, zip(*found, strict=True)))
+
+    def learn_some(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         whole = [not (self.plain(w) and is_normalized("NFC", w)) or "\u0130" in w or "<|" in w for w in words]
         cut = [[w] if alone else self.pieces(w) for w, alone in zip(words, whole, strict=True)]
-        last = np.cumsum([len(c) for c in cut])
+        count = np.array([len(c) for c in cut])
         coded = pa.array(chain.from_iterable(cut), pa.large_string()).dictionary_encode()
-        place, held = self.parts.places(coded.dictionary), len(self.parts)
-        fresh = np.flatnonzero(place < 0)
-        pieces = coded.dictionary.take(pa.array(fresh)).to_pylist()
         by_itself = {w for w, alone in zip(words, whole, strict=True) if alone}
+        ids, size = self.parts.of(coded.dictionary, lambda pieces: self.tokenized(pieces.to_pylist(), by_itself))
+        which = coded.indices.to_numpy()
+        upto = np.r_[0, np.cumsum(size[which])]
+        last = np.cumsum(count)
+        return ids[spans((np.cumsum(size) - size)[which], size[which])], upto[last] - upto[last - count]
+
+    def tokenized(self, pieces: list[str], by_itself: set[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces from the tokenizer and the number of each one's ids."""
         single = np.fromiter((len(p) == 1 or p in by_itself for p in pieces), bool, len(pieces))
         alone, many = ([pieces[i] for i in np.flatnonzero(x)] for x in (single, ~single))
         ids = [self.encode(p) for p in alone]
@@ -135,14 +192,11 @@ class WordEncoder:
             marks = np.flatnonzero(found == self.mark)
             ids.append(np.delete(found, marks))
             sizes.append(np.diff(np.r_[-1, marks, len(found)]) - 1)
-        if ids:
-            self.parts.add(pa.array(alone + many, pa.large_string()), np.concatenate(ids), np.concatenate(sizes))
-        place[np.r_[fresh[single], fresh[~single]]] = held + np.arange(len(fresh))
-        ids, upto = self.parts.of(place[coded.indices.to_numpy()])
-        ends = np.r_[0, upto][last]
-        self.words.add(new, ids, np.diff(np.r_[0, ends]))
-        if len(self.parts) > self.most:
-            self.parts.keep(held)
+        ids, sizes = np.concatenate(ids), np.concatenate(sizes)
+        start, size = np.empty(len(pieces), np.int64), np.empty(len(pieces), np.int64)
+        order = np.r_[np.flatnonzero(single), np.flatnonzero(~single)]
+        start[order], size[order] = np.cumsum(sizes) - sizes, sizes
+        return ids[spans(start, size)], size
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text. Arrow finds the distinct words of the block; Python sees these only."""
@@ -152,27 +206,19 @@ class WordEncoder:
         kept = np.ascontiguousarray(data[~gap])
         coded = pa.LargeStringArray.from_buffers(
             len(start), pa.py_buffer(np.r_[0, np.cumsum(end - start)].astype(np.int64)), pa.py_buffer(kept)).dictionary_encode()
-        place, held = self.words.places(coded.dictionary), len(self.words)
-        new = np.flatnonzero(place < 0)
-        if len(new):
-            self.learn(coded.dictionary.take(pa.array(new)))
-            place[new] = held + np.arange(len(new))
-        place = place[coded.indices.to_numpy()]
-        size = self.words.ends[place + 1] - self.words.ends[place]
-        upto = np.cumsum(size)
-        where = np.repeat(self.words.ends[place] - upto + size, size)
-        where += np.arange(len(where))
-        ids = self.words.ids[where]
-        if len(self.words) > self.most:  # what was known before this block stays
-            self.words.keep(held)
+        del gap, end, kept
+        found, size = self.words.of(coded.dictionary, self.learn)
+        which = coded.indices.to_numpy()
+        ids = found[spans((np.cumsum(size) - size)[which], size[which])]
+        ends = np.r_[0, np.cumsum(size[which])][np.searchsorted(start, at)]
         pa.default_memory_pool().release_unused()  # a reused worker holds no more than the words
-        ends = np.r_[0, upto][np.searchsorted(start, at)]
         return [ids[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def encoder(path: str) -> WordEncoder:
-    """The encoder of this process: a reused Python worker keeps its words between tasks."""
-    held = sys.modules.setdefault("llm_word_encoders", ModuleType("llm_word_encoders")).__dict__
+    """The encoder of this process: a reused Python worker keeps its words between tasks of
+    packing, and gives them up to the next other operator."""
+    held = b.held("packing")
     if path not in held:
         held[path] = WordEncoder(path)
     return held[path]

@@ -84,6 +84,7 @@ def measure(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataF
     names = (*COUNTS, "base_failed", "kept", *SHARES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        b.held("quality rules")
         for batch in batches:
             for rows, data, at in b.split(batch, "text", b.SMALL_BLOCK_BYTES):
                 found = measures(data, at)
@@ -99,6 +100,7 @@ def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows that pass, with all their columns as they came."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        b.held("quality rules")
         for batch in batches:
             for rows, data, at in b.split(batch, text, b.SMALL_BLOCK_BYTES):
                 yield rows.filter(pa.array(measures(data, at)["kept"]))
